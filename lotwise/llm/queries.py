@@ -4,13 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotwise.llm import tiff
+from lotwise.llm import linededup, mixing, sharding, tiff
 from lotwise.llm.tables import read
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    state = linededup.line_state(documents)
+    return linededup.without_repeated_lines(documents, state).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards_of(read(spark, sf_dir, "documents"))
+
+
 def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_features(tiff.store_texts(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op10_tiff": op10_tiff}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_mixing": op1_mixing, "op2_line_dedup": op2_line_dedup, "op9_sharding": op9_sharding, "op10_tiff": op10_tiff}
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": rf"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM split),
+k AS (SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '{UPPER}', '{LOWER}') AS line_key FROM l),
+h AS (SELECT line_key AS hot, max(doc_id) AS keeper FROM k WHERE length(line_key) >= 40 GROUP BY line_key HAVING count(DISTINCT doc_id) >= 5),
+d AS (SELECT k.*, hot IS NOT NULL AND doc_id <> keeper AS gone FROM k LEFT JOIN h ON line_key = hot)
+SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id""",
+}
