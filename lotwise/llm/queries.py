@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotwise.llm import linededup, mixing, sharding, tiff
+from lotwise.llm import linededup, mixing, sharding, substring, tiff
 from lotwise.llm.tables import read
 
 
@@ -18,6 +18,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.without_repeated_lines(documents, state).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.without_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards_of(read(spark, sf_dir, "documents"))
 
@@ -26,7 +30,7 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_features(tiff.store_texts(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_line_dedup": op2_line_dedup, "op9_sharding": op9_sharding, "op10_tiff": op10_tiff}
+QUERIES = {"op1_mixing": op1_mixing, "op2_line_dedup": op2_line_dedup, "op3_substring": op3_substring, "op9_sharding": op9_sharding, "op10_tiff": op10_tiff}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLES: dict[str, str] = {
@@ -39,4 +43,14 @@ d AS (SELECT k.*, hot IS NOT NULL AND doc_id <> keeper AS gone FROM k LEFT JOIN
 SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM d GROUP BY doc_id""",
+    "op3_substring": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i, len(words) AS n FROM w),
+s AS (SELECT p.doc_id, p.i, md5(array_to_string(w.words[p.i : p.i + 49], ' ')) AS h FROM p JOIN w ON p.doc_id = w.doc_id WHERE p.i + 49 <= p.n),
+o AS (SELECT h, min(doc_id) AS owner FROM s GROUP BY h HAVING count(*) > 1),
+d AS (SELECT DISTINCT s.doc_id, s.i FROM s JOIN o ON s.h = o.h WHERE s.doc_id > owner),
+c AS (SELECT p.doc_id, p.i, p.word, max(d.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+      FROM p LEFT JOIN d ON p.doc_id = d.doc_id AND p.i = d.i),
+g AS (SELECT doc_id, count(*) AS n_words, CAST(count_if(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN g ON w.doc_id = g.doc_id""",
 }

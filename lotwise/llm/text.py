@@ -128,3 +128,34 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
             step = step * step
             size *= 2
     return mix(out ^ U64(n))
+
+
+_inverse = pow(int(_STEP), -1, 1 << 64)
+_steps = _back = np.ones(1, U64)
+
+
+class Spans:
+    """Hashes of arbitrary ranges of consecutive words, from prefix sums of one chunk's word hashes."""
+
+    def __init__(self, h: np.ndarray, salt: int = 0):
+        global _steps, _back
+        if len(_steps) < len(h) + 1:
+            n = max(len(h) + 1, 1 << 16)
+            _steps, _back = (np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(n, s, U64)])) for s in (_STEP, U64(_inverse)))
+        h = mix(h + U64(salt)) if salt else h
+        self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(h * _steps[: len(h)], dtype=U64)])
+
+    def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of the words a to b - 1."""
+        return mix((self.sums[b] - self.sums[a]) * _back[a] ^ mix((b - a).astype(U64)))
+
+
+def sliding(x: np.ndarray, n: int, best=np.minimum) -> np.ndarray:
+    """The least (or greatest) of each n consecutive entries; len(x) - n + 1 entries."""
+    if len(x) < n:
+        return x[:0]
+    size = 1
+    while size * 2 <= n:
+        x = best(x[: len(x) - size], x[size:])
+        size *= 2
+    return best(x[: len(x) - (n - size)], x[n - size :]) if size < n else x
