@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotwise.llm import linededup, mixing, sharding, substring, tiff
+from lotwise.llm import jaccard, linededup, mixing, sharding, substring, tiff
 from lotwise.llm.tables import read
 
 
@@ -22,6 +22,10 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards_of(read(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_features(tiff.store_texts(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_line_dedup": op2_line_dedup, "op3_substring": op3_substring, "op9_sharding": op9_sharding, "op10_tiff": op10_tiff}
+QUERIES = {"op1_mixing": op1_mixing, "op2_line_dedup": op2_line_dedup, "op3_substring": op3_substring, "op7_jaccard": op7_jaccard, "op9_sharding": op9_sharding, "op10_tiff": op10_tiff}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLES: dict[str, str] = {
@@ -53,4 +57,18 @@ c AS (SELECT p.doc_id, p.i, p.word, max(d.i) OVER (PARTITION BY p.doc_id ORDER B
       FROM p LEFT JOIN d ON p.doc_id = d.doc_id AND p.i = d.i),
 g AS (SELECT doc_id, count(*) AS n_words, CAST(count_if(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN g ON w.doc_id = g.doc_id""",
+    "op7_jaccard": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+t AS MATERIALIZED (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [md5(array_to_string(words, ' '))]
+      ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: md5(array_to_string(words[i : i + 4], ' ')))) END AS shingles FROM w),
+n AS MATERIALIZED (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS size, md5(array_to_string(list_sort(shingles), ' ')) AS digest FROM t),
+class AS MATERIALIZED (SELECT digest, min(doc_id) AS class_id, any_value(size) AS size FROM n WHERE size > 0 GROUP BY digest),
+s AS MATERIALIZED (SELECT t.doc_id, unnest(shingles) AS shingle FROM t JOIN class ON t.doc_id = class_id),
+pair AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM pair JOIN class x ON a = x.class_id JOIN class y ON b = y.class_id WHERE 100 * common >= 80 * (x.size + y.size - common)),
+both_ways AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(node, other) AS (SELECT class_id, class_id FROM class UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
+comp AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT n.doc_id, n.size AS n_shingles, coalesce(comp.component_id, n.doc_id) AS component_id, coalesce(class.class_id, n.doc_id) AS class_id
+FROM n LEFT JOIN class ON n.digest = class.digest AND n.size > 0 LEFT JOIN comp ON class.class_id = comp.node""",
 }
