@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lotwise.llm import jaccard, linededup, mixing, sharding, substring, tiff
+from lotwise.llm import decontaminate, jaccard, linededup, mixing, quality, sharding, substring, tiff
 from lotwise.llm.tables import read
 
 
@@ -22,6 +23,15 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classified(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).filter("kept")
+    return found.select("doc_id", "lang", "n_symbols", F.exp(F.col("score") / 1000).alias("perplexity"), F.exp(F.col("threshold") / 1000).alias("threshold"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -34,7 +44,7 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_features(tiff.store_texts(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_line_dedup": op2_line_dedup, "op3_substring": op3_substring, "op7_jaccard": op7_jaccard, "op9_sharding": op9_sharding, "op10_tiff": op10_tiff}
+QUERIES = {"op1_mixing": op1_mixing, "op2_line_dedup": op2_line_dedup, "op3_substring": op3_substring, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op7_jaccard": op7_jaccard, "op9_sharding": op9_sharding, "op10_tiff": op10_tiff}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLES: dict[str, str] = {
