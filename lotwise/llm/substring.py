@@ -1,16 +1,17 @@
 """Operator 3, substring dedup: a De Bruijn graph of token k-mers, compacted along nonbranching paths.
 
-Windows of 50 words are the edges to be found twice. The graph is first built on anchors: the k-mers of 12 words that
-are the least by hash of the 39 in some window. Equal windows have an equal anchor at the same offset, so that anchors
-which one document alone holds end the search for most of the text. Between neighbouring anchors runs an edge, hashed
-over all its words; ends of a document are edges too. An anchor is nonbranching if all its occurrences have the same
-edges on both sides. A window whose anchors are all nonbranching lies on a path that all occurrences run through, and
-its smallest document is that of its anchor: such runs compact to spans by one Spark join of anchors, without a row a
-window. Only windows at branching anchors, where copies part, become rows of their own, keyed by 128 bits, whose
-source coordinates (document and word position) verify what repeats. The result is exact for every window.
-
-Joins on anchors and windows see each key at most once a document; keys with very many documents come from partial
-aggregates and are split by the adaptive skew join.
+Windows of 50 words are to be found twice. The graph is built on anchors: the k-mers of 12 words that are the least by
+hash of the 39 in some window. Each window belongs to the first least anchor in it, and equal windows to equal anchors
+at the same offset; anchors that one document alone holds end the search for most of the text. The region of an anchor
+is what all its windows can cover, 38 words before it to 49 after its start, or to the document's end. If all
+occurrences of an anchor have one region, copies run through it without branching, and the smallest document of all its
+windows is that of the anchor: one row for some twenty windows. Where regions differ, copies part. There a region that
+a smaller document holds too is decided at once as well, and only the smallest document of each region gives rows for
+its windows, keyed by 128 bits. Source coordinates (document and word position) verify what repeats, and runs of
+windows compact to spans. The result is exact for every window.
+
+Joins see each key at most as often as documents hold it; least documents come from partial aggregates, and large
+groups of a join are split by the adaptive skew join.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm import text as words
-from lotwise.llm.tables import written
+from lotwise.llm.tables import drop, written
 
 WINDOW, ANCHOR = 50, 12
 OTHER = 0x51ED270B
 
 
 class Anchors:
-    """Anchors of a chunk: ``at`` (word index), ``h`` and ``context`` (the edges on both sides) of each."""
+    """Anchors of a chunk: ``at`` (word index) and ``h`` of each; ``key`` also tells their regions apart."""
 
     def __init__(self, w: words.Words, window: int = WINDOW, k: int = ANCHOR):
         reach = window - k + 1
@@ -41,23 +42,29 @@ class Anchors:
         grams = self.spans.hash(a, a + k)
         whole = w.gram_ok(window) if n >= window else np.zeros(0, bool)
         self.starts = np.flatnonzero(whole)
-        self.least = words.sliding(grams, reach)  # entry s: of the window that starts at s
-        floor = np.where(whole, self.least, words.U64(0))
-        if not len(self.starts):
-            self.at = np.zeros(0, np.int64)
-        else:
+        least = words.sliding(grams, reach)  # entry s: of the window that starts at s
+        self.least = least[self.starts]
+        if len(self.starts):
             pad = np.zeros(reach - 1, words.U64)
-            most = words.sliding(np.concatenate([pad, floor, pad]), reach, np.maximum)
+            most = words.sliding(np.concatenate([pad, np.where(whole, least, words.U64(0)), pad]), reach, np.maximum)
             self.at = np.flatnonzero(most == grams)
+        else:
+            self.at = np.zeros(0, np.int64)
         self.h = grams[self.at]
-        row = w.row[self.at] if n else self.at
-        begin, end = w.first[row], w.first[row + 1]
-        new, last = np.ones(len(row), bool), np.ones(len(row), bool)
-        new[1:], last[:-1] = row[1:] != row[:-1], row[1:] != row[:-1]
-        before = self.spans.hash(np.where(new, begin, np.roll(self.at, 1)), self.at + k) ^ new.astype(words.U64)
-        after = self.spans.hash(self.at, np.where(last, end, np.roll(self.at, -1) + k)) ^ last.astype(words.U64)
-        self.context = words.mix(before * words.U64(3) + after)
-        self.row, self.reach = row, reach
+        self.row = w.row[self.at] if n else self.at
+        low = np.maximum(self.at - reach + 1, w.first[self.row])
+        high = np.minimum(self.at + window, w.first[self.row + 1])
+        self.region = words.mix(self.spans.hash(low, high) ^ (self.at - low).astype(words.U64))
+        self.key = words.mix(self.h * words.U64(3) + self.region)
+
+    def of_windows(self) -> np.ndarray:
+        """The anchor (by index) to which each window of ``starts`` belongs: the first least one in it."""
+        values = np.unique(self.h)
+        long = int(self.at[-1]) + 1
+        place = np.searchsorted(values, self.h) * long + self.at
+        order = np.argsort(place)
+        asked = np.searchsorted(values, self.least) * long + self.starts
+        return order[np.searchsorted(place[order], asked)]
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -65,24 +72,37 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def anchor_rows(documents: DataFrame, window: int, k: int) -> DataFrame:
-    """(anchor, doc_id, text_id, context), a row for each anchor of each document with a doc_id."""
+    """(anchor, region, doc_id), a row for each anchor of each document with a doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for low, _, data, at in words.chunks(batch.column(2)):
+            ids = batch.column(0).to_numpy()
+            for low, _, data, at in words.chunks(batch.column(1)):
                 found = Anchors(words.Words(data, at), window, k)
-                own = found.row + low
-                yield pa.RecordBatch.from_arrays([signed(found.h), pa.array(ids[own]), pa.array(texts[own]), signed(found.context)], ["anchor", "doc_id", "text_id", "context"])
+                yield pa.RecordBatch.from_arrays([signed(found.h), signed(found.region), pa.array(ids[found.row + low])], ["anchor", "region", "doc_id"])
+
+    return documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(run, "anchor bigint, region bigint, doc_id bigint")
+
 
-    return documents.select("doc_id", "text_id", "text").filter("doc_id is not null and text is not null").mapInArrow(run, "anchor bigint, doc_id bigint, text_id bigint, context bigint")
+def decided(anchors: DataFrame) -> DataFrame:
+    """(doc_id, marks): of each document the anchors that matter, as (anchor, region, owner).
+
+    An owner smaller than the document holds all windows of the anchor. The document itself as the owner means that
+    its windows are to be given as rows, as the anchor has other regions too. Other anchors don't matter.
+    """
+    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("largest"), (F.min("region") != F.max("region")).alias("branching")).filter("least <> largest").drop("largest")
+    held = written(anchors.join(shared, "anchor"), "substring-shared")
+    straight = held.filter("not branching and least < doc_id").select("doc_id", "anchor", "region", F.col("least").alias("owner"))
+    parted = held.filter("branching").select("doc_id", "anchor", "region")
+    owners = parted.groupBy("anchor", "region").agg(F.min("doc_id").alias("owner"))
+    both = straight.unionByName(parted.join(owners, ["anchor", "region"]))
+    return both.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "region", "owner")).alias("marks"))
 
 
 def edge_rows(marked: DataFrame, window: int, k: int) -> DataFrame:
-    """(h, h2, doc_id, text_id, start, size) from documents with their shared anchors (anchor, owner, branching).
+    """(h, h2, doc_id, text_id, start, size) from documents with their marks.
 
-    With h: a window at a branching anchor. Without: words to be removed, as a run of windows on nonbranching paths
-    that a smaller document holds too.
+    With h: a window that a smaller document may hold. Without: a run of words to be removed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,60 +110,42 @@ def edge_rows(marked: DataFrame, window: int, k: int) -> DataFrame:
         for batch in batches:
             ids, texts = (batch.column(i).to_numpy() for i in (0, 1))
             marks = batch.column(3)
-            fields = [marks.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            anchor, region, owner = (marks.flatten().field(i).to_numpy() for i in range(3))
             cut = marks.offsets.to_numpy()
             cut = cut - cut[0]
+            key = words.mix(anchor.view(words.U64) * words.U64(3) + region.view(words.U64))
             for low, high, data, at in words.chunks(batch.column(2)):
                 w = words.Words(data, at)
                 found = Anchors(w, window, k)
-                other = words.Spans(w.hashes(), OTHER)
-                here = found.h.view(np.int64)
-                shared, split = np.zeros(len(w) + 1, bool), np.zeros(len(w) + 1, bool)
-                owner = np.full(len(w) + 1, -1, np.int64)
+                if not len(found.starts):
+                    continue
+                gone, open_ = np.zeros(len(found.at), bool), np.zeros(len(found.at), bool)
+                edges = np.searchsorted(found.row, np.arange(high - low + 1))
                 for r in range(high - low):
-                    a, b = cut[low + r], cut[low + r + 1]
-                    order = np.argsort(fields[0][a:b])
-                    known, held, parts = (f[a:b][order] for f in fields)
-                    mine = np.flatnonzero(found.row == r) if high - low == 1 else slice(*np.searchsorted(found.row, [r, r + 1]))
-                    h, place = here[mine], found.at[mine]
-                    if not len(known) or not len(h):
+                    known, held = key[cut[low + r] : cut[low + r + 1]], owner[cut[low + r] : cut[low + r + 1]]
+                    mine = found.key[edges[r] : edges[r + 1]]
+                    if not len(mine):
                         continue
-                    i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    hit = known[i] == h
-                    shared[place[hit]] = True
-                    split[place[hit]] = parts[i[hit]]
-                    owner[place[hit]] = held[i[hit]]
-                # The minimizer of each window is shared or not; equal k-mers are, all alike, in or out.
-                value = np.full(len(w) + 1, np.iinfo(np.uint64).max, words.U64)
-                value[found.at[shared[found.at]]] = found.h[shared[found.at]]
-                nearest = words.sliding(value, found.reach)[: len(found.least)]
-                starts = found.starts
-                starts = starts[nearest[starts] == found.least[starts]]
-                branches = np.concatenate([[0], np.cumsum(split)])
-                parted = branches[starts + found.reach] > branches[starts]
-                own_row = w.row[starts] if len(starts) else starts
-                first = w.first[own_row]
-                p = starts[parted]
-                yield pa.RecordBatch.from_arrays(
-                    [signed(found.spans.hash(p, p + window)), signed(other.hash(p, p + window)), pa.array(ids[own_row[parted] + low]), pa.array(texts[own_row[parted] + low]), pa.array((p - first[parted]).astype(np.int32)), pa.array(np.full(len(p), window, np.int32))],
-                    names,
-                )
-                smooth = starts[~parted]
-                if not len(smooth):
-                    continue
-                # On a nonbranching path all anchors in reach have one owner's document among theirs; take the least.
-                low_owner = words.sliding(np.where(shared, owner, np.iinfo(np.int64).max), found.reach)
-                gone = low_owner[smooth] < ids[own_row[~parted] + low]
-                p, r = smooth[gone], own_row[~parted][gone]
+                    order = np.argsort(known)
+                    i = np.minimum(np.searchsorted(known[order], mine), len(known) - 1)
+                    hit = known[order[i]] == mine
+                    gone[edges[r] : edges[r + 1]] = hit & (held[order[i]] < ids[low + r])
+                    open_[edges[r] : edges[r + 1]] = hit & (held[order[i]] == ids[low + r])
+                of = found.of_windows()
+                other = words.Spans(w.hashes(), OTHER)
+                p = found.starts[open_[of]]
+                own = w.row[p]
+                yield pa.RecordBatch.from_arrays([signed(found.spans.hash(p, p + window)), signed(other.hash(p, p + window)), pa.array(ids[own + low]), pa.array(texts[own + low]), pa.array((p - w.first[own]).astype(np.int32)), pa.array(np.full(len(p), window, np.int32))], names)
+                p = found.starts[gone[of]]
                 if not len(p):
                     continue
-                begins = np.r_[True, (np.diff(p) > 1) | (np.diff(r) > 0)]
-                i = np.flatnonzero(begins)
+                own = w.row[p]
+                i = np.flatnonzero(np.r_[True, (np.diff(p) > 1) | (np.diff(own) > 0)])
                 ends = np.r_[i[1:], len(p)] - 1
                 none = pa.nulls(len(i), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(ids[r[i] + low]), pa.array(texts[r[i] + low]), pa.array((p[i] - w.first[r[i]]).astype(np.int32)), pa.array((p[ends] + window - p[i]).astype(np.int32))], names)
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(ids[own[i] + low]), pa.array(texts[own[i] + low]), pa.array((p[i] - w.first[own[i]]).astype(np.int32)), pa.array((p[ends] + window - p[i]).astype(np.int32))], names)
 
-    return marked.select("doc_id", "text_id", "text", "marks").mapInArrow(run, "h bigint, h2 bigint, doc_id bigint, text_id bigint, start int, size int")
+    return marked.select("doc_id", "text_id", "text", "marks").mapInArrow(run, "h bigint, h2 bigint, doc_id bigint, text_id int, start int, size int")
 
 
 def repeated_spans(documents: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
@@ -152,10 +154,9 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, k: int = ANCHOR)
     documents needs doc_id, text and text_id, a hash of the text that tells rows of one doc_id apart.
     """
     anchors = written(anchor_rows(documents, window, k), "substring-anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("largest"), (F.min("context") != F.max("context")).alias("branching")).filter("owner <> largest").drop("largest")
-    marks = anchors.select("anchor", "doc_id", "text_id").join(shared, "anchor").groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("anchor", "owner", "branching")).alias("marks"))
-    marked = documents.select("doc_id", "text_id", "text").join(marks, ["doc_id", "text_id"])
+    marked = documents.select("doc_id", "text_id", "text").join(decided(anchors), "doc_id")
     edges = written(edge_rows(marked, window, k), "substring-edges")
+    drop(anchors)
     parted = edges.filter("h is not null")
     owners = parted.groupBy("h", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("largest")).filter("owner <> largest").drop("largest")
     twice = parted.join(owners, ["h", "h2"]).filter("doc_id > owner")
@@ -191,6 +192,6 @@ def without_repeats(documents: DataFrame, window: int = WINDOW, k: int = ANCHOR)
                 rows.append((doc, n, n - len(own), hashlib.sha256(kept).hexdigest(), kept.decode()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names)
 
-    own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_id"))
+    own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.hash("text").alias("text_id"))
     spans = repeated_spans(own, window, k).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     return own.join(spans, ["doc_id", "text_id"], "left").select("doc_id", "text", "spans").mapInArrow(run, KEPT)
