@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import decontaminate, jaccard, linededup, mixing, quality, sharding, substring, tiff, warc
+from lotwise.llm import decontaminate, htmltext, jaccard, linededup, mixing, quality, sharding, substring, tiff, warc
 from lotwise.llm.tables import read
 
 
@@ -40,6 +40,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.visible_text(read(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards_of(read(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_features(tiff.store_texts(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_line_dedup": op2_line_dedup, "op3_substring": op3_substring, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_warc": op6_warc, "op7_jaccard": op7_jaccard, "op9_sharding": op9_sharding, "op10_tiff": op10_tiff}
+QUERIES = {"op1_mixing": op1_mixing, "op2_line_dedup": op2_line_dedup, "op3_substring": op3_substring, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_warc": op6_warc, "op7_jaccard": op7_jaccard, "op8_html": op8_html, "op9_sharding": op9_sharding, "op10_tiff": op10_tiff}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLES: dict[str, str] = {
