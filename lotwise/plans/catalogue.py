@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lotwise.plans import basics
+
+QUERIES: dict = dict(basics.QUERIES)
+ORACLES: dict[str, str] = dict(basics.ORACLES)
