@@ -79,7 +79,9 @@ def anchor_rows(documents: DataFrame, window: int, k: int) -> DataFrame:
             ids = batch.column(0).to_numpy()
             for low, _, data, at in words.chunks(batch.column(1)):
                 found = Anchors(words.Words(data, at), window, k)
-                yield pa.RecordBatch.from_arrays([signed(found.h), signed(found.region), pa.array(ids[found.row + low])], ["anchor", "region", "doc_id"])
+                once = np.lexsort((found.key, found.row))  # a document that repeats itself gives each row once
+                once = once[np.r_[True, (np.diff(found.row[once]) > 0) | (found.key[once][1:] != found.key[once][:-1])]] if len(once) else once
+                yield pa.RecordBatch.from_arrays([signed(found.h[once]), signed(found.region[once]), pa.array(ids[found.row[once] + low])], ["anchor", "region", "doc_id"])
 
     return documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(run, "anchor bigint, region bigint, doc_id bigint")
 
