@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwise.plans import basics
+from lotwise.plans import basics, calibrated, timed  # noqa: F401  each registers its queries
 
-QUERIES: dict = dict(basics.QUERIES)
-ORACLES: dict[str, str] = dict(basics.ORACLES)
+QUERIES: dict = basics.QUERIES
+ORACLES: dict[str, str] = basics.ORACLES
