@@ -15,7 +15,7 @@ NULL, REAL, VOTES, TOP = 12, 4, 6, 5
 
 def rankings(spark, d):
     w = resampling.bootstrap(adapters.embedding_units(spark, d), B, 5)
-    return stability.replicate_rankings(adapters.embedding_readings(spark, d), w, K, ["rep"]), w
+    return graph.checkpointed(stability.replicate_rankings(adapters.embedding_readings(spark, d), w, K, ["rep"])), w
 
 
 RANK = f"""{sql.F1U}, {sql.F1R}, {sql.boot(B, 5)}, wr AS (SELECT b.rep, b.y, b.mult, r.sensor_id, r.value FROM r JOIN b USING (unit_id)), {sql.wauc("wa", "wr", "rep, sensor_id")},
@@ -68,7 +68,8 @@ def families_in_top(spark, d):
 
 
 def supports(spark, d):
-    return calibration.worlds(adapters.embedding_units(spark, d), adapters.embedding_readings(spark, d), NULL, REAL, VOTES, TOP)
+    # A row a world and named sensor, used many times: the plan starts anew from here.
+    return graph.checkpointed(calibration.worlds(adapters.embedding_units(spark, d), adapters.embedding_readings(spark, d), NULL, REAL, VOTES, TOP))
 
 
 SUP = f"""{sql.F1U}, {sql.F1R}, {sql.boot((NULL + REAL) * VOTES, 0)},
@@ -97,7 +98,7 @@ def null_tau(spark, d):
 
 @query(f"WITH {SUP} SELECT alpha, round(tau, 9) AS tau, world, permuted, CAST(count_if(support >= tau - 1e-12) AS BIGINT) AS n_over FROM su CROSS JOIN ta GROUP BY ALL")
 def suspects_over_tau(spark, d):
-    s = supports(spark, d).cache()
+    s = supports(spark, d)
     return calibration.over(s, calibration.taus(calibration.maxima(s))).select("alpha", r("tau"), "world", "permuted", "n_over")
 
 
@@ -111,7 +112,7 @@ re AS (SELECT alpha, split, dir, avg(CAST(n = 0 AS DOUBLE)) AS ra, avg(n) AS rr
 SELECT alpha, round(avg(tau), 9) AS tau_mean, round(stddev_samp(tau), 7) AS tau_sd, round(min(tau), 9) AS tau_min, round(max(tau), 9) AS tau_max, round(avg(na), 9) AS null_abstention, round(avg(nr), 9) AS null_reported, round(avg(ra), 9) AS real_abstention, round(avg(rr), 9) AS real_reported
 FROM nu JOIN re USING (alpha, split, dir) GROUP BY alpha""")
 def split_half_calibration(spark, d):
-    s = calibration.split_half(supports(spark, d).cache(), 20)
+    s = calibration.split_half(supports(spark, d), 20)
     return s.select("alpha", r("tau_mean"), r("tau_sd", 7), r("tau_min"), r("tau_max"), r("null_abstention"), r("null_reported"), r("real_abstention"), r("real_reported"))
 
 
@@ -145,7 +146,7 @@ def null_saturation(spark, d):
 
 @query(f"WITH {SUP} SELECT alpha, max_support < 0.5 AS fired, max_support >= tau - 1e-12 AS reached, count(*) AS n FROM mx CROSS JOIN ta WHERE permuted GROUP BY ALL")
 def fallback_reach(spark, d):
-    s = supports(spark, d).cache()
+    s = supports(spark, d)
     return calibration.fallback_reach(s, 0.5, calibration.taus(calibration.maxima(s)))
 
 
