@@ -53,20 +53,20 @@ def exponent(sources: DataFrame, target: float = TARGET, repeats: float = REPEAT
         least, n = head["least"] / head["t"], len(points)
         return [(np.log(sums[i]) - a * sums[n + i] / sums[i], budget_share * max(least ** (a - 1), 1.0) / sums[i]) for i, a in enumerate(points)]
 
-    def bisected(good) -> float:
-        """The end of the range of exponents, from 0 on, in which good() holds."""
+    def bisected(good) -> tuple[float, float]:
+        """The end of the range of exponents, from 0 on, in which good() holds: the last known in it, and one beyond."""
         low, high = 0.0, 1.0
         for _ in range(PASSES):
             points = [low + (high - low) * k / 64 for k in range(1, 64)]
             holds = [good(m) for m in measured(points)]
             k = holds.index(False) if False in holds else 63
             low, high = ([low, *points, high][k], [low, *points, high][k + 1])
-        return low
+        return low, high
 
     (h0, r0), (h1, r1) = measured([0.0, 1.0])
     goal = target * float(np.log(head["n"]))
-    by_entropy = 1.0 if h1 >= goal else 0.0 if h0 < goal else bisected(lambda m: m[0] >= goal)
-    by_repeats = 0.0 if r0 <= repeats else 1.0 if r1 > repeats else bisected(lambda m: m[1] > repeats)
+    by_entropy = 1.0 if h1 >= goal else 0.0 if h0 < goal else bisected(lambda m: m[0] >= goal)[0]
+    by_repeats = 0.0 if r0 <= repeats else 1.0 if r1 > repeats else bisected(lambda m: m[1] > repeats)[1]
     return max(by_entropy, by_repeats)
 
 
