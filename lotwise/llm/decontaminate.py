@@ -1,8 +1,9 @@
 """Operator 4, benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are compared with A-Z lower-cased and ASCII punctuation as space. Each 3-gram of a test item is a seed. Their
-document frequencies are counted over all documents; an item keeps the seeds that at most RARE of the documents hold
-and in any case its KEEP rarest, so that a passage leaked into very many documents still has seeds. Where a document
+document frequencies are counted over all documents. A seed is rare if at most FEW documents or the share RARE of them
+hold it, or if it is at most twice as frequent as the item's median seed: an item leaked into very many documents keeps
+its seeds, also those that edited copies have left, and only word sequences frequent for other reasons go. Where a document
 holds a seed, the words around it are aligned with the item: 2 for a match, -1 for a mismatch, -1 for a gap. The score
 over the best that the item allows tells a copy, also an edited one, from a chance seed.
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lotwise.llm import text as words
 
-SEED, RARE, KEEP, LEAST = 3, 0.001, 8, 0.5
+SEED, RARE, FEW, LEAST = 3, 0.001, 50, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 8 << 20
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -98,15 +99,13 @@ def seed_counts(documents: DataFrame, items: Items, n: int) -> dict[int, int]:
     return {r["seed"]: r["docs"] for r in found.collect()}
 
 
-def rare(items: Items, counts: dict[int, int], n_docs: int, share: float, keep: int) -> Items:
+def rare(items: Items, counts: dict[int, int], n_docs: int, share: float, few: int) -> Items:
     first = np.searchsorted(items.hashes, items.hashes)
     docs = np.array([counts.get(int(i), 0) for i in first], np.int64)
-    order = np.lexsort((items.word, docs, items.item))
-    own = items.item[order]
-    rank = np.arange(len(own)) - np.searchsorted(own, own)
-    kept = np.zeros(len(own), bool)
-    kept[order] = (docs[order] <= share * n_docs) | (rank < keep)
-    return items.only(np.flatnonzero(kept))
+    limit = np.zeros(len(items.ids))
+    for k in np.unique(items.item):
+        limit[k] = 2 * np.median(docs[items.item == k])
+    return items.only(np.flatnonzero(docs <= np.maximum(limit[items.item], max(few, share * n_docs))))
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -170,13 +169,13 @@ def blocks(benchmark: DataFrame, n: int, limit: int = BLOCK_BYTES) -> Iterator[I
         yield Items.of(held, n)
 
 
-def prepared(documents: DataFrame, benchmark: DataFrame, n: int = SEED, share: float = RARE, keep: int = KEEP) -> Iterator[Items]:
+def prepared(documents: DataFrame, benchmark: DataFrame, n: int = SEED, share: float = RARE, few: int = FEW) -> Iterator[Items]:
     n_docs = documents.count()
     for items in blocks(benchmark, n):
-        yield rare(items, seed_counts(documents, items, n), n_docs, share, keep)
+        yield rare(items, seed_counts(documents, items, n), n_docs, share, few)
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, n: int = SEED, share: float = RARE, keep: int = KEEP, least: float = LEAST) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, n: int = SEED, share: float = RARE, few: int = FEW, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): test items found in documents, the best place of each pair.
 
     start_word and end_word count the document's words as compared here. Null and empty texts and items without words
@@ -199,12 +198,12 @@ def leaks(documents: DataFrame, benchmark: DataFrame, n: int = SEED, share: floa
     schema = "doc_id bigint, item_id bigint, score double, start_word int, end_word int"
     own = documents.select(F.col("doc_id").cast("bigint"), "text")
     out = documents.sparkSession.createDataFrame([], schema)
-    for items in prepared(documents, benchmark, n, share, keep):
+    for items in prepared(documents, benchmark, n, share, few):
         out = out.unionByName(own.mapInArrow(run_for(items), schema))
     return out
 
 
-def without_leaks(documents: DataFrame, benchmark: DataFrame, n: int = SEED, share: float = RARE, keep: int = KEEP, least: float = LEAST) -> DataFrame:
+def without_leaks(documents: DataFrame, benchmark: DataFrame, n: int = SEED, share: float = RARE, few: int = FEW, least: float = LEAST) -> DataFrame:
     """documents without the rows in which leaks() finds a test item; all columns pass through, nothing is joined."""
     at = documents.columns.index("text")
 
@@ -220,6 +219,6 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, n: int = SEED, sha
         return run
 
     out = documents
-    for items in prepared(documents, benchmark, n, share, keep):
+    for items in prepared(documents, benchmark, n, share, few):
         out = out.mapInArrow(run_for(items), documents.schema)
     return out
