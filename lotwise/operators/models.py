@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.operators import cleaning, kernels, resampling
+from lotwise.operators.graph import checkpointed
 
 
 def vectors(readings: DataFrame, sensors: list[int]) -> DataFrame:
@@ -115,7 +116,7 @@ def permutation_importance(readings: DataFrame, estimator, sensors: list[int], n
     than two failures on a side are left out. held_out=False measures on the training units themselves.
     """
     units = readings.select("unit_id", "y").distinct()
-    roles = resampling.shuffle_split(units, n_splits, test_share, seed)
+    roles = checkpointed(resampling.shuffle_split(units, n_splits, test_share, seed))
     total, used = dict.fromkeys(sensors, 0.0), 0
     for split in range(n_splits if held_out else 1):
         own = roles.filter(F.col("rep") == split).select("unit_id", "role")
@@ -124,7 +125,8 @@ def permutation_importance(readings: DataFrame, estimator, sensors: list[int], n
         if any(x.filter("y = 1").select("unit_id").distinct().limit(2).count() < 2 for x in (train, test)):
             continue
         made, used = fit(train, estimator, sensors), used + 1
-        rows = made.prepared(test).withColumn("f", vector_to_array("features")).select("unit_id", "y", "f").cache()
+        rows = made.prepared(test).withColumn("f", vector_to_array("features")).select("unit_id", "y", "f")
+        rows = checkpointed(rows)
         cells = rows.select("unit_id", F.posexplode("f").alias("j", "value"))
         moved = resampling.permuted_column(cells.withColumnRenamed("j", "sensor_id"), n_repeats, f"{seed}{split}").withColumnRenamed("sensor_id", "j")
         changed = moved.join(rows, "unit_id").select("j", "rep", "unit_id", "y", F.transform("f", lambda x, i: F.when(i == F.col("j"), F.col("value")).otherwise(x)).alias("f"))
@@ -133,7 +135,6 @@ def permutation_importance(readings: DataFrame, estimator, sensors: list[int], n
         auc = {(r["j"], r["rep"]): r["auc"] for r in kernels.roc_auc(scored, ["j", "rep"], "s").collect()}
         for j, s in enumerate(sensors):
             total[s] += auc[-1, 0] - sum(auc[j, k] for k in range(n_repeats)) / n_repeats
-        rows.unpersist()
     return {s: v / max(used, 1) for s, v in total.items()}
 
 
