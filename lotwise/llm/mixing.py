@@ -2,9 +2,9 @@
 
 Token shares p of the sources become weights p^a / sum p^a. The exponent a is bisected between 1 (the corpus as it
 is) and 0 (all sources alike): the largest a whose weights reach the target entropy, raised as far as needed to keep
-the most repeated source within the repetition limit. A source's budget is its weight times the token budget. It is
-realised as block permutations: documents are dealt into blocks by hash, each epoch orders the source's blocks anew by
-a keyed hash, whole epochs are taken while the budget lasts, and of the last epoch the blocks up to the budget; of the
+the most repeated source within the repetition limit. A source's budget is its weight times the token budget, rounded down, so that neither it nor the
+limit is exceeded. It is realised as block permutations: documents are dealt into blocks by hash, each epoch orders the
+source's blocks anew by a keyed hash, whole epochs are taken while the budget lasts, and of the last epoch the blocks up to the budget; of the
 block at its edge, the documents that still fit.
 
 Sums over sources are Spark aggregates, 63 exponents a pass (six bisections at once), so that nothing depends on how
@@ -24,6 +24,8 @@ from lotwise.llm import text as words
 from lotwise.llm.tables import written
 
 TARGET, REPEATS, BLOCKS, BLOCK_TOKENS, PASSES = 0.97, 3.0, 1024, 20_000, 5
+#: Four units in the last place, so that a share of all tokens that is whole stays whole when rounded down.
+EXACT = 1 + 2.0**-50
 
 
 def source_tokens(documents: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ def mixed(documents: DataFrame, target: float = TARGET, repeats: float = REPEATS
     total, z = sources.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("tokens") > 0, F.pow("tokens", F.lit(a)))), F.lit(1.0))).first()
     weight = F.when(F.col("tokens") > 0, F.pow("tokens", F.lit(a)) / F.lit(float(z))).otherwise(F.lit(0.0))
     plan = sources.select(
-        "source", weight.alias("weight"), F.col("tokens").alias("source_tokens"), F.round(weight * F.lit(total * budget_share)).cast("bigint").alias("budget"),
+        "source", weight.alias("weight"), F.col("tokens").alias("source_tokens"), F.floor(weight * F.lit(total * budget_share * EXACT)).cast("bigint").alias("budget"),
         F.least(F.lit(BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(BLOCK_TOKENS)))).cast("int").alias("n_blocks"),
     )
     plan = plan.withColumn("whole", F.when(F.col("source_tokens") > 0, F.floor(F.col("budget") / F.col("source_tokens"))).otherwise(F.lit(1)).cast("int"))
