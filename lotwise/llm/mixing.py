@@ -1,11 +1,11 @@
 """Operator 1, mixing sources to target weights by temperature.
 
-Token shares p of the sources become weights p^a / sum p^a. The exponent a is bisected between 1 (the corpus as it
-is) and 0 (all sources alike): the largest a whose weights reach the target entropy, raised as far as needed to keep
-the most repeated source within the repetition limit. A source's budget is its weight times the token budget, rounded down, so that neither it nor the
-limit is exceeded. It is realised as block permutations: documents are dealt into blocks by hash, each epoch orders the
-source's blocks anew by a keyed hash, whole epochs are taken while the budget lasts, and of the last epoch the blocks up to the budget; of the
-block at its edge, the documents that still fit.
+Token shares p of the sources become weights p^a / sum p^a. The exponent a is bisected between 1 (the corpus as it is)
+and 0 (all sources alike): the largest a whose weights reach the target entropy, raised as far as needed to keep the
+most repeated source within the repetition limit. A source's budget is its weight times the token budget, rounded down,
+so that neither it nor the limit is exceeded. It is realised as block permutations: documents are dealt into blocks by
+hash, each epoch orders the source's blocks anew by a keyed hash, whole epochs are taken while the budget lasts, and of
+the last epoch the blocks up to the budget; of the block at its edge, the documents that still fit.
 
 Sums over sources are Spark aggregates, 63 exponents a pass (six bisections at once), so that nothing depends on how
 many sources there are. The windows run over a source's blocks, at most BLOCKS, and over the documents of edge blocks.
