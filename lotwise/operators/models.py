@@ -81,6 +81,8 @@ def boosted(rounds: int = 40, seed: int = 0) -> Callable:
     return lambda n: GBTClassifier(featuresCol="features", labelCol="y", weightCol="weight", maxIter=rounds, stepSize=0.05, maxDepth=4, minInstancesPerNode=20, seed=seed)
 
 
+# The grid of the tuned forest.
+FORESTS: dict[str, Callable] = {f"leaf_{leaf}": forest(500, leaf) for leaf in (1, 5, 10)}
 BASES: dict[str, Callable[[], Callable]] = {"logreg": logistic, "rf": forest, "hgb": boosted}
 
 

@@ -124,14 +124,10 @@ def synthetic_recovery(spark, d):
 query()(synthetic_recovery)
 
 
-def few(spark, d, sensors: int = 8):
-    """The embedding sensors with the strongest univariate signal, for queries that fit models many times."""
+def cleaned(spark, d):
+    """The embedding readings of every sensor that the cleaner keeps, for queries that fit models many times."""
     x = adapters.embedding_readings(spark, d)
-    best = cleaning.univariate_top(x, sensors).select("sensor_id")
-    return checkpointed(x.join(F.broadcast(best), "sensor_id", "left_semi"))
-
-
-SMALL = loop.Config(base="logreg", screen="univariate", n_screen=8, n_screen_boot=6, select_k=6, n_boot=2, n_inner=2, n_repeats=1, max_select=5)
+    return checkpointed(cleaning.kept_readings(x, cleaning.cleaner(x)))
 
 
 @query()
@@ -146,27 +142,27 @@ def logreg_screen(spark, d):
 
 @query()
 def perm_importance(spark, d):
-    x = few(spark, d)
-    found = models.permutation_importance(x, models.logistic(), sorted(r[0] for r in x.select("sensor_id").distinct().collect()), 2, 2)
+    x = cleaned(spark, d)
+    found = models.permutation_importance(x, models.logistic(), sorted(r[0] for r in x.select("sensor_id").distinct().collect()))
     return models.ranking(spark, found)
 
 
 @query()
 def tuned_forest(spark, d):
-    best, made, mean = models.tuned(few(spark, d), {"leaf_1": models.forest(10, 1), "leaf_10": models.forest(10, 10)}, 2)
+    best, made, mean = models.tuned(cleaned(spark, d), models.FORESTS)
     return spark.createDataFrame([(k, v, k == best) for k, v in mean.items()], "config string, auc double, chosen boolean")
 
 
 @query()
 def agent_loop(spark, d):
-    rep = loop.run(few(spark, d), SMALL)
+    rep = loop.run(checkpointed(adapters.embedding_readings(spark, d)))
     return spark.createDataFrame([(s, rep.importance[s], rep.stability.get(s), s in rep.selected, s in rep.reported) for s in rep.ranking()], "sensor_id int, importance double, stability double, selected boolean, reported boolean")
 
 
 @query()
 def predict_all_report_few(spark, d):
-    x = few(spark, d)
-    made, rep = loop.predict_all_report_few(x, "logreg", SMALL)
+    x = checkpointed(adapters.embedding_readings(spark, d))
+    made, rep = loop.predict_all_report_few(x)
     return kernels.roc_auc(made.score(x), [], "s").select("n1", "n0", "auc", F.lit(len(rep.reported)).alias("n_reported"))
 
 
