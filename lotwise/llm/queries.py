@@ -40,6 +40,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_links(read(spark, sf_dir, "documents"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.visible_text(read(spark, sf_dir, "pages"))
 
@@ -52,7 +56,7 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_features(tiff.store_texts(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_line_dedup": op2_line_dedup, "op3_substring": op3_substring, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_warc": op6_warc, "op7_jaccard": op7_jaccard, "op8_html": op8_html, "op9_sharding": op9_sharding, "op10_tiff": op10_tiff}
+QUERIES = {"op1_mixing": op1_mixing, "op2_line_dedup": op2_line_dedup, "op3_substring": op3_substring, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_warc": op6_warc, "op7_jaccard": op7_jaccard, "op7_links": op7_links, "op8_html": op8_html, "op9_sharding": op9_sharding, "op10_tiff": op10_tiff}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLES: dict[str, str] = {
@@ -90,3 +94,5 @@ comp AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
 SELECT n.doc_id, n.size AS n_shingles, coalesce(comp.component_id, n.doc_id) AS component_id, coalesce(class.class_id, n.doc_id) AS class_id
 FROM n LEFT JOIN class ON n.digest = class.digest AND n.size > 0 LEFT JOIN comp ON class.class_id = comp.node""",
 }
+# The links from which the SQL of op7_jaccard makes its components.
+ORACLES["op7_links"] = ORACLES["op7_jaccard"].split("\nboth_ways AS")[0].rstrip(",") + "\nSELECT a, b FROM link"

@@ -96,6 +96,35 @@ def test_jaccard_against_all_pairs(spark, corpus, small, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_links_are_all_pairs(spark, corpus, small, monkeypatch):
+    """A group of near copies has every pair that links, and not only those that span it."""
+    if small:
+        monkeypatch.setattr(jaccard, "POINTS", 3)
+        monkeypatch.setattr(jaccard, "UNIT", 200)
+        monkeypatch.setattr(jaccard, "RUN", 2)
+    base = [f"w{i}" for i in range(100)]
+    copies = [(300 + i, " ".join([*base[: 4 * i], f"x{i}", *base[4 * i + 1 :]])) for i in range(20)] + [(400, " ".join(base[:84])), (401, " ".join(base[16:]))]
+    rows = copies + corpus[:20] + corpus[90:]
+    sets, seen = {}, set()
+    for i, t in sorted(rows):
+        w = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        own = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+        if own and own not in seen:
+            seen.add(own)
+            sets[i] = own
+    want = sorted((min(a, b), max(a, b)) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    assert sum(a >= 300 for a, _ in want) > 21
+    assert sorted((r.a, r.b) for r in jaccard.near_links(frame(spark, rows)).collect()) == want
+
+
+def test_links_of_odd_rows(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    got = jaccard.near_links(frame(spark, [(5, t), (6, t), (None, t + " a"), (7, t + " b"), (8, ""), (9, None)])).collect()
+    assert sorted((r.a or 0, r.b) for r in got) == [(0, 5), (0, 7), (5, 7)]
+    assert jaccard.near_links(frame(spark, []).limit(0)).count() == 0
+
+
 def test_jaccard_odd_rows(spark):
     t = "one two three four five six seven"
     got = jaccard.near_duplicates(frame(spark, [(5, t), (5, t), (None, t), (7, None), (7, "")])).collect()
