@@ -3,8 +3,9 @@
 A tree builder reads tags as browsers do, with implied end tags and tags closed out of order; visibility rules drop
 what a browser doesn't show; a renderer emits all text that is left, in the page's order. Blocks stand on lines of
 their own, with an empty line where browsers leave a margin; list items bear their marks and indents; the cells of a
-table's rows are aligned in columns; preformatted text keeps its spaces. Pages are rendered one at a time in linear
-time, without any other row.
+table's rows are aligned in columns; preformatted text keeps its spaces. The tree has any depth. Beyond LEVELS lists, quotations
+and tables inside each other lines are indented no further and cells stand below each other, as the indents would be
+longer than the page squared; text and marks stay. Pages are rendered one at a time, without any other row.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import Counter, defaultdict
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +41,7 @@ IMPLIED = {
 IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
 HEAD_ONLY = frozenset("meta link base title script style template noscript head html".split())
 
-DEPTH, COLUMN, COLUMNS = 150, 60, 200
+LEVELS, COLUMN, COLUMNS = 200, 60, 200
 OPEN = re.compile(r"</?([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 LOOSE = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
@@ -73,11 +75,11 @@ class Node:
 
 
 class Builder:
-    """The tree of a page; elements nested deeper than DEPTH are hung up at that depth."""
+    """The tree of a page, at any depth; ``places`` has where in the stack the open elements of a tag are."""
 
     def __init__(self, page: str):
         self.root = Node("html")
-        self.stack, self.open = [self.root], Counter(html=1)
+        self.stack, self.places = [self.root], defaultdict(list, html=[0])
         self.read(page)
 
     def read(self, page: str) -> None:
@@ -124,34 +126,33 @@ class Builder:
         top.children.append(raw)
 
     def pop_to(self, tag: str) -> None:
-        while self.stack:
-            gone = self.stack.pop()
-            self.open[gone.tag] -= 1
-            if gone.tag == tag:
-                return
+        if self.places[tag]:
+            self.cut(self.places[tag][-1])
+
+    def cut(self, at: int) -> None:
+        """Closes the open elements from place ``at`` on."""
+        while len(self.stack) > at:
+            self.places[self.stack.pop().tag].pop()
+
+    def nearest(self, tags: frozenset) -> int:
+        """The place of the innermost open element of ``tags``, -1 if none is open."""
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=-1)
 
     def close(self, tags: frozenset, until: frozenset) -> None:
         """Closes the open elements of ``tags`` that stand above the nearest of ``until``."""
-        if not any(self.open[t] for t in tags):
+        if not any(self.places.get(t) for t in tags):
             return
-        last = None
-        for node in reversed(self.stack):
-            if node.tag in until:
-                break
-            if node.tag in tags:
-                last = node
-        while last is not None:
-            gone = self.stack.pop()
-            self.open[gone.tag] -= 1
-            if gone is last:
-                return
+        limit = self.nearest(until)
+        found = [own[k] for t in tags if (own := self.places.get(t)) and (k := bisect_right(own, limit)) < len(own)]
+        if found:
+            self.cut(min(found))
 
     def start(self, tag: str, attributes: str) -> None:
-        if tag in ("html", "body") and self.open[tag]:
+        if tag in ("html", "body") and self.places[tag]:
             return
-        if self.open["head"] and tag not in HEAD_ONLY and tag != "body":
+        if self.places["head"] and tag not in HEAD_ONLY and tag != "body":
             self.close(frozenset(["head"]), frozenset())
-        if tag in CLOSES_P and self.open["p"]:
+        if tag in CLOSES_P and self.places["p"]:
             self.close(frozenset(["p"]), SCOPE)
         if tag in IMPLIED:
             self.close(*IMPLIED[tag])
@@ -159,22 +160,16 @@ class Builder:
         self.stack[-1].children.append(node)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK | RAW:
             return
-        if len(self.stack) >= DEPTH and tag not in RAW:
-            return
+        self.places[tag].append(len(self.stack))
         self.stack.append(node)
-        self.open[tag] += 1
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self.start("br", "")
-        elif tag not in ("html", "body") and self.open[tag]:
+        elif tag not in ("html", "body") and self.places[tag]:
             keep = frozenset(["table"]) if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else SCOPE - {tag} if tag != "table" else frozenset()
-            for node in reversed(self.stack):
-                if node.tag == tag:
-                    self.pop_to(tag)
-                    return
-                if node.tag in keep:
-                    return
+            if self.nearest(keep) < self.places[tag][-1]:
+                self.pop_to(tag)
 
 
 def wide(s: str) -> int:
@@ -188,7 +183,7 @@ class Flow:
     """Lines of a block under construction."""
 
     def __init__(self):
-        self.lines, self.now, self.space, self.gap = [], [], False, False
+        self.lines, self.now, self.space, self.gap, self.marks = [], [], False, False, []
 
     def text(self, raw: str, kept: bool = False) -> None:
         if kept:
@@ -217,6 +212,8 @@ class Flow:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = False
+        if self.marks:
+            line, self.marks = "".join(self.marks) + line if line else line, []
         self.lines.append(line)
 
     def block(self, margin: bool) -> None:
@@ -228,7 +225,22 @@ class Flow:
         return self.lines
 
 
-def table(node: Node) -> list[str]:
+def run(first: Generator):
+    """The result of a generator that yields the generators whose results it needs: recursion on a stack of our own."""
+    stack, value = [first], None
+    while stack:
+        try:
+            more = stack[-1].send(value)
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+        else:
+            stack.append(more)
+            value = None
+    return value
+
+
+def table(node: Node, level: int) -> Generator:
     """A table's caption and rows, cells aligned in columns two spaces apart; cells of several lines stay side by side."""
     rows, captions, more = [], [], [node]
     while more:
@@ -237,19 +249,22 @@ def table(node: Node) -> list[str]:
         for child in part.children:
             if isinstance(child, str):
                 if child.strip():
-                    captions += rendered(Node("div").with_children([child]))
+                    captions += yield lines_of(Node("div").with_children([child]), level)
             elif child.hidden():
                 continue
             elif child.tag in ("tbody", "thead", "tfoot"):
                 own.append(child)
             elif child.tag == "tr":
-                rows.append([(rendered(c), span(c)) for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden()])
+                rows.append([])
+                for c in child.children:
+                    if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden():
+                        rows[-1].append(((yield lines_of(c, level)), span(c)))
                 loose = [c for c in child.children if (not isinstance(c, Node) or c.tag not in ("td", "th"))]
-                if text := rendered(Node("div").with_children(loose)):
+                if text := (yield lines_of(Node("div").with_children(loose), level)):
                     rows[-1].append((text, 1))
             elif child.tag in ("td", "th"):
-                rows.append([(rendered(child), span(child))])
-            elif text := rendered(Node("div").with_children([child])):
+                rows.append([((yield lines_of(child, level)), span(child))])
+            elif text := (yield lines_of(Node("div").with_children([child]), level)):
                 captions += text
         more += reversed(own)
     width: list[int] = []
@@ -279,13 +294,18 @@ def span(cell: Node) -> int:
 
 
 def rendered(node: Node) -> list[str]:
+    return run(lines_of(node, 0))
+
+
+def lines_of(node: Node, level: int) -> Generator:
     flow = Flow()
-    fill(flow, node, False)
+    yield fill(flow, node, False, level)
     return flow.done()
 
 
-def fill(flow: Flow, node: Node, kept: bool) -> None:
-    """Puts what is visible in node into flow; ``kept`` where white space counts."""
+def fill(flow: Flow, node: Node, kept: bool, level: int) -> Generator:
+    """Puts what is visible in node into flow; ``kept`` where white space counts; ``level`` lists, quotations and tables
+    are around it."""
     shut = node.tag == "details" and node.get("open") is None
     number = node.get("start") if node.tag == "ol" and node.attributes else None
     number = int(number) if number and number.strip().lstrip("-").isdecimal() else 1
@@ -312,10 +332,20 @@ def fill(flow: Flow, node: Node, kept: bool) -> None:
         elif tag == "table" or tag == "li" or tag in ("blockquote", "dd"):
             margin = tag in MARGIN
             flow.block(margin)
+            if level >= LEVELS:
+                start = len(flow.lines)
+                if tag == "li":
+                    flow.marks.append(f"{number}. " if node.tag == "ol" else "- ")
+                    number += 1
+                yield fill(flow, child, False, level)
+                flow.block(margin)
+                if tag == "li" and len(flow.lines) == start:
+                    flow.marks.pop()
+                continue
             if tag == "table":
-                lines, mark = table(child), ""
+                lines, mark = (yield table(child, level + 1)), ""
             else:
-                lines = rendered(child)
+                lines = yield lines_of(child, level + 1)
                 mark = "  " if tag != "li" else f"{number}. " if node.tag == "ol" else "- "
                 number += tag == "li"
             for i, line in enumerate(lines):
@@ -324,10 +354,10 @@ def fill(flow: Flow, node: Node, kept: bool) -> None:
         elif tag in BLOCK:
             margin = tag in MARGIN and not (tag in LISTS and node.tag == "li")
             flow.block(margin)
-            fill(flow, child, kept or tag in ("pre", "listing", "xmp", "plaintext", "textarea"))
+            yield fill(flow, child, kept or tag in ("pre", "listing", "xmp", "plaintext", "textarea"), level)
             flow.block(margin)
         else:
-            fill(flow, child, kept or tag == "textarea")
+            yield fill(flow, child, kept or tag == "textarea", level)
 
 
 def extract(page: str) -> tuple[str, str, dict[str, int]]:

@@ -39,6 +39,28 @@ def test_deep_and_long_pages_end():
     assert len(htmltext.extract("<ul><li>" * 300 + "x")[1]) > 1
 
 
+@pytest.mark.parametrize("tag", ["font", "span", "div", "b"])
+@pytest.mark.parametrize("depth", [200, 30000])
+def test_rules_hold_at_any_depth(tag, depth):
+    deep = f"<{tag}>" * depth
+    for page, want in [
+        ("a<i style='display:none'>x</i>b", "ab"), ("a<template>x</template><noscript>y</noscript>b", "ab"),
+        ("<details>x<summary>s</summary></details>", "s"), ("<ol start=9><li>a<li>b</ol>", "9. a\n10. b"),
+        ("<table><tr><th>n<th>count<tr><td>long name<td>5</table>", "n          count\nlong name  5"),
+        (f"<{tag}>c</{tag}><p hidden>x</p>", "c"),
+    ]:
+        assert htmltext.extract(deep + page)[1] == want
+
+
+def test_lists_and_tables_at_any_depth():
+    for n in (100, 190, 300, 5000):
+        text = htmltext.extract("".join(f"<ul><li>x{i}" for i in range(n)))[1]
+        assert [x.strip() for x in text.split("\n") if x] == [f"- x{i}" for i in range(n)]
+        text = htmltext.extract("".join(f"<table><tr><td>x{i}" for i in range(n)) + "<td>y")[1]
+        assert text.split() == [*(f"x{i}" for i in range(n)), "y"]
+    assert htmltext.extract("<ul><li>" * 300 + "x")[1] == "- " * 300 + "x"
+
+
 class Plain(HTMLParser):
     """All text of tags that are shown, by the standard library's parser."""
 
