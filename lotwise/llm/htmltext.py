@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 # Fixed values of HTML: classes of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title plaintext".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist meta link param source track area base object audio video canvas svg math".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist meta link param source track area base object audio video canvas".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section select summary table ul xmp caption tr tbody thead tfoot td th".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir table pre listing xmp plaintext blockquote figure hr fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre listing search section table ul".split())
@@ -39,6 +39,10 @@ IMPLIED = {
     "body": (frozenset(["head"]), frozenset(["html"])),
 }
 IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
+# In svg and math: elements that are not drawn, those with HTML inside, and HTML tags that end svg and math.
+UNDRAWN = frozenset("annotation annotation-xml desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 HEAD_ONLY = frozenset("meta link base title script style template noscript head html".split())
 
 LEVELS, COLUMN, COLUMNS = 200, 60, 200
@@ -50,10 +54,10 @@ UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "foreign")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children, self.foreign = tag, attributes, [], False
 
     def with_children(self, children: list) -> Node:
         self.children = children
@@ -66,7 +70,7 @@ class Node:
         return None
 
     def hidden(self) -> bool:
-        if self.tag in HIDDEN:
+        if self.tag in HIDDEN or self.foreign and self.tag in UNDRAWN:
             return True
         if not self.attributes:
             return False
@@ -104,7 +108,7 @@ class Builder:
                     self.end(tag)
                 else:
                     self.start(tag, m[2])
-                    if tag in RAW:
+                    if tag in RAW and self.stack[-1].tag == tag:
                         close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*+>?", re.I).search(page, at)
                         self.text(page[at : close.start() if close else n], tag in ("textarea", "title"))
                         at = close.end() if close else n
@@ -156,13 +160,22 @@ class Builder:
             self.close(frozenset(["p"]), SCOPE)
         if tag in IMPLIED:
             self.close(*IMPLIED[tag])
+        if tag in ENDS_FOREIGN and self.inside():
+            while self.inside():
+                self.cut(len(self.stack) - 1)
         node = Node(tag, attributes)
+        node.foreign = tag in ("svg", "math") or self.inside()
         self.stack[-1].children.append(node)
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCK | RAW:
+        if tag in VOID or attributes.endswith("/") and (node.foreign or tag not in BLOCK | RAW):
             return
         self.places[tag].append(len(self.stack))
         self.stack.append(node)
 
+    def inside(self) -> bool:
+        """Whether a new element belongs to svg or math."""
+        top = self.stack[-1]
+        return top.foreign and top.tag not in HOLDS_HTML
+
     def end(self, tag: str) -> None:
         if tag == "br":
             self.start("br", "")
@@ -329,6 +342,10 @@ def fill(flow: Flow, node: Node, kept: bool, level: int) -> Generator:
                 flow.text(f" {text} ")
         elif tag == "wbr":
             continue
+        elif tag == "text" and child.foreign:  # a label at a place of its own
+            flow.text(" ")
+            yield fill(flow, child, kept, level)
+            flow.text(" ")
         elif tag == "table" or tag == "li" or tag in ("blockquote", "dd"):
             margin = tag in MARGIN
             flow.block(margin)

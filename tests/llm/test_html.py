@@ -52,6 +52,22 @@ def test_rules_hold_at_any_depth(tag, depth):
         assert htmltext.extract(deep + page)[1] == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b", "a x=2 b"),
+        ("<math><semantics><mi>y</mi><annotation encoding='tex'>\\y</annotation></semantics></math>", "y"),
+        ("<svg><title>t</title><desc>d</desc><metadata>m</metadata><defs><text>u</text></defs><text>one</text><text>two</text></svg>z", "one two z"),
+        ("<svg><title/><style/><path d='M0'/><text>label</text></svg>after", "label after"),
+        ("<svg><g><foreignObject><p>in</p></foreignObject></g></svg>out", "in\n\nout"),
+        ("<svg><defs><p>broken out</p>", "broken out"),
+        ("<desc>shown</desc><p style='display:none'><svg><text>x</text></svg></p>", "shown"),
+    ],
+)
+def test_svg_and_math_text_is_shown(page, want):
+    assert htmltext.extract(page)[1] == want
+
+
 def test_lists_and_tables_at_any_depth():
     for n in (100, 190, 300, 5000):
         text = htmltext.extract("".join(f"<ul><li>x{i}" for i in range(n)))[1]
