@@ -151,3 +151,16 @@ def tuned(readings: DataFrame, grid: dict[str, Callable], k: int = 3, seed: str
     return best, fit(readings, grid[best]), mean
 
 
+def held_out_aucs(readings: DataFrame, grid: dict[str, Callable], k: int, n_reps: int, seed: str = "fold") -> list[float]:
+    """The AUC of each of k stratified folds in each of n_reps repetitions, so that every unit is scored held out once a
+    repetition; cleaning and tuning see the other folds only."""
+    folds = checkpointed(resampling.stratified_folds(readings.select("unit_id", "y").distinct(), k, n_reps, seed))
+    out = []
+    for rep in range(n_reps):
+        for f in range(k):
+            here = folds.filter(F.col("rep") == rep).select("unit_id", "fold")
+            train = readings.join(here.filter(F.col("fold") != f), "unit_id", "left_semi")
+            train = checkpointed(cleaning.kept_readings(train, cleaning.cleaner(train)))
+            _, made, _ = tuned(train, grid)
+            out.append(auc_of(made.score(readings.join(here.filter(F.col("fold") == f), "unit_id", "left_semi"))))
+    return out

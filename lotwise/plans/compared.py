@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import statistics
+
 from pyspark.sql import functions as F
 
 from lotwise.operators import cleaning, evaluation, kernels, loop, models, periods, reporting, resampling
@@ -171,11 +173,10 @@ def adversarial_validation(spark, d):
     """How well a forest tells late events from early ones, and from events at random (the control)."""
     units = adapters.event_units(spark, d)
     x = adapters.event_readings(spark, d).drop("ts", "y")
-    folds = resampling.stratified_folds(periods.era(units), 2).select("unit_id", "fold")
     shuffled = resampling.permuted_labels(periods.era(units), 1).select("unit_id", "y")
     out = []
     for name, label in (("era", periods.era(units).select("unit_id", "y")), ("control", shuffled)):
-        rows = x.join(label, "unit_id").cache()
-        made = models.fit(rows.join(folds.filter("fold = 0"), "unit_id", "left_semi"), models.forest(10))
-        out.append((name, models.auc_of(made.score(rows.join(folds.filter("fold = 1"), "unit_id", "left_semi")))))
-    return spark.createDataFrame(out, "labels string, auc double")
+        rows = checkpointed(x.join(label, "unit_id"))
+        aucs = models.held_out_aucs(rows, models.FORESTS, 5, 3)
+        out.append((name, statistics.fmean(aucs), statistics.stdev(aucs), len(aucs)))
+    return spark.createDataFrame(out, "labels string, auc double, sd double, n_folds int")

@@ -32,3 +32,28 @@ def test_model_queries_take_every_sensor(spark, monkeypatch, name, owner, operat
         assert len(rest) == 1 and {e.getMinInstancesPerNode() for e in grid} == {1, 5, 10} and {e.getNumTrees() for e in grid} == {500}
     else:
         assert rest == ()
+
+
+def test_adversarial_validation_scores_every_unit(spark, monkeypatch):
+    scored, grids = [], []
+
+    class Made:
+        def score(self, readings):
+            return readings
+
+    def tuned(readings, grid, *rest):
+        grids.append((list(grid), rest))
+        return None, Made(), {}
+
+    def auc_of(scores):
+        scored.append({r[0] for r in scores.select("unit_id").distinct().collect()})
+        return 0.5
+
+    monkeypatch.setattr(models, "tuned", tuned)
+    monkeypatch.setattr(models, "auc_of", auc_of)
+    got = compared.adversarial_validation(spark, SF).collect()
+    units = {r[0] for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect()}
+    assert {r.labels: r.n_folds for r in got} == {"era": 15, "control": 15}
+    assert grids == [(list(models.FORESTS), ())] * 30 and len(scored) == 30
+    for at in range(0, 30, 5):
+        assert set().union(*scored[at : at + 5]) == units and sum(map(len, scored[at : at + 5])) == len(units)
