@@ -118,6 +118,15 @@ def test_links_are_all_pairs(spark, corpus, small, monkeypatch):
     assert sorted((r.a, r.b) for r in jaccard.near_links(frame(spark, rows)).collect()) == want
 
 
+@pytest.mark.parametrize("percent, sizes", [(80, (100, 125)), (70, (100, 140)), (50, (64, 128)), (100, (100, 100))])
+def test_split_blocks_keep_sizes_that_link_together(spark, percent, sizes):
+    rows = spark.createDataFrame([(1, node, size) for node, size in enumerate(sizes)], "block long, node long, size int")
+    units = {}
+    for r in jaccard.in_units(rows, "size", 10, percent).collect():
+        units.setdefault(r.unit, set()).add(r.node)
+    assert {0, 1} in units.values()
+
+
 def test_links_of_odd_rows(spark):
     t = " ".join(f"w{i}" for i in range(60))
     got = jaccard.near_links(frame(spark, [(5, t), (6, t), (None, t + " a"), (7, t + " b"), (8, ""), (9, None)])).collect()
