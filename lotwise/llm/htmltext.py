@@ -3,9 +3,11 @@
 A tree builder reads tags as browsers do, with implied end tags and tags closed out of order; visibility rules drop
 what a browser doesn't show; a renderer emits all text that is left, in the page's order. Blocks stand on lines of
 their own, with an empty line where browsers leave a margin; list items bear their marks and indents; the cells of a
-table's rows are aligned in columns; preformatted text keeps its spaces. The tree has any depth. Beyond LEVELS lists, quotations
-and tables inside each other lines are indented no further and cells stand below each other, as the indents would be
-longer than the page squared; text and marks stay. Pages are rendered one at a time, without any other row.
+table's rows are aligned in columns, spans of rows and columns included; preformatted text keeps its spaces. The tree
+has any depth. Beyond LEVELS lists, quotations and tables inside each other lines are indented no further and cells
+stand below each other, as the indents would be longer than the page squared; a table whose padding would be many times
+its text has narrower columns, out of which long cells stick. Text and marks stay in all of this. Reading a page takes
+one pass, whatever it holds. Pages are rendered one at a time, without any other row.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Generator, Iterator
 
@@ -45,9 +47,11 @@ HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xm
 ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 HEAD_ONLY = frozenset("meta link base title script style template noscript head html".split())
 
-LEVELS, COLUMN, COLUMNS = 200, 60, 200
-OPEN = re.compile(r"</?([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-LOOSE = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)>")
+LEVELS, COLUMN = 200, 60
+COLSPAN, ROWSPAN = 1000, 65534  # fixed values of HTML: the most that a cell can span
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+MARK = re.compile(r"[>\"']")
+NUMBER = re.compile(r"[ \t\n\f\r]*([+-]?)0*([0-9]*)")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 SPACE = re.compile(r"[ \t\n\f\r]+")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
@@ -84,8 +88,22 @@ class Builder:
     def __init__(self, page: str):
         self.root = Node("html")
         self.stack, self.places = [self.root], defaultdict(list, html=[0])
+        self.unclosed: set[int] = set()
         self.read(page)
 
+    def tag_end(self, page: str, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``: the first > outside quotes, or if none is, the first one; -1
+        without any. Quotes met on a way that leads nowhere are kept, so that no other tag takes that way again."""
+        place, met = at, []
+        while (m := MARK.search(page, place)) and m.start() not in self.unclosed:
+            if m[0] == ">":
+                return m.start()
+            met.append(m.start())
+            if (place := page.find(m[0], m.end()) + 1) == 0:
+                break
+        self.unclosed.update(met)
+        return page.find(">", at)
+
     def read(self, page: str) -> None:
         at, n = 0, len(page)
         while at < n:
@@ -102,12 +120,16 @@ class Builder:
             elif follow in "!?" and follow:
                 end = page.find(">", lt)
                 at = n if end < 0 else end + 1
-            elif m := OPEN.match(page, lt) or LOOSE.match(page, lt):
-                tag, at = m[1].lower(), m.end()
+            elif m := NAME.match(page, lt):
+                tag, end = m[1].lower(), self.tag_end(page, m.end())
+                if end < 0:  # no tag ends from here on
+                    self.text(page[lt:])
+                    return
+                at = end + 1
                 if follow == "/":
                     self.end(tag)
                 else:
-                    self.start(tag, m[2])
+                    self.start(tag, page[m.end() : end])
                     if tag in RAW and self.stack[-1].tag == tag:
                         close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*+>?", re.I).search(page, at)
                         self.text(page[at : close.start() if close else n], tag in ("textarea", "title"))
@@ -253,11 +275,97 @@ def run(first: Generator):
     return value
 
 
+def number(value: str | None, default: int, least: int, most: int) -> int:
+    """The number at the start of an attribute's value, within its limits; ``default`` where there is none."""
+    m = NUMBER.match(value or "")
+    if m.end() == 0 or not m[0][-1:].isdigit():
+        return default
+    x = int(m[2] or 0) if len(m[2]) < 10 else 10**9
+    return min(max(-x if m[1] == "-" else x, least), most)
+
+
+Cell = tuple[list[str], int, int]  # lines, columns, rows
+
+
+def cell(node: Node, lines: list[str]) -> Cell:
+    if not node.attributes:
+        return lines, 1, 1
+    return lines, number(node.get("colspan"), 1, 1, COLSPAN), number(node.get("rowspan"), 1, 0, ROWSPAN) or ROWSPAN
+
+
+def gridded(rows: list[tuple[int, list[Cell]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """(column, columns, lines) of each row's cells: in the first column that no cell of an earlier row of the same
+    group reaches into. At most COLSPAN cells reach into further rows at a time, so that rows stay cheap."""
+    out, held, last = [], [], None
+    for group, cells in rows:
+        if group != last:
+            held, last = [], group
+        column, k, own, more = 0, 0, [], []
+        for lines, across, down in cells:
+            while k < len(held) and held[k][0] <= column:
+                column = max(column, held[k][1])
+                k += 1
+            own.append((column, across, lines))
+            if down > 1 and len(held) + len(more) < COLSPAN:
+                more.append((column, column + across, down))
+            column += across
+        held = sorted([(a, b, left - 1) for a, b, left in [*held, *more] if left > 1])
+        out.append(own)
+    return out
+
+
+def columns(grid: list, limit: float) -> tuple[dict[int, int], int]:
+    """The place of each column in which a cell starts, and how much padding these places take."""
+    starts = sorted({c for row in grid for c, _, _ in row})
+    width = dict.fromkeys(starts, 0)
+    wider = []
+    for row in grid:
+        for c, across, lines in row:
+            need = min(limit, max(map(wide, lines), default=0))
+            if across == 1:
+                width[c] = max(width[c], need)
+            else:
+                wider.append((across, c, need))
+    for across, c, need in sorted(wider):
+        own = starts[bisect_left(starts, c) : bisect_left(starts, c + across)]
+        room = sum(width[x] + 2 for x in own) - 2
+        width[own[-1]] += max(0, need - room)
+    at, place = 0, {}
+    for c in starts:
+        place[c] = at
+        at += width[c] + 2
+    return place, sum(place[row[-1][0]] * max(len(lines) for _, _, lines in row) for row in grid if row)
+
+
+def aligned(grid: list) -> list[str]:
+    text = sum(len(x) for row in grid for _, _, lines in row for x in lines)
+    for limit in (float("inf"), COLUMN, 0):
+        place, padding = columns(grid, limit)
+        if padding <= 4096 + 8 * text:
+            break
+    else:
+        place = None
+    out = []
+    for row in grid:
+        for i in range(max([len(lines) for _, _, lines in row], default=0)):
+            line, end = [], 0
+            for column, _, lines in row:
+                piece = lines[i] if i < len(lines) else ""
+                at = max(place[column] if place else 0, end)
+                line.append(" " * (at - end) + piece if piece else "")
+                if piece:
+                    end = at + wide(piece)
+                    line.append("  ")
+                    end += 2
+            out.append("".join(line).rstrip(" "))
+    return out
+
+
 def table(node: Node, level: int) -> Generator:
     """A table's caption and rows, cells aligned in columns two spaces apart; cells of several lines stay side by side."""
-    rows, captions, more = [], [], [node]
+    rows, captions, more, groups = [], [], [(node, 0)], 0
     while more:
-        part = more.pop()
+        part, group = more.pop()
         own = []
         for child in part.children:
             if isinstance(child, str):
@@ -266,44 +374,23 @@ def table(node: Node, level: int) -> Generator:
             elif child.hidden():
                 continue
             elif child.tag in ("tbody", "thead", "tfoot"):
-                own.append(child)
+                groups += 1
+                own.append((child, groups))
             elif child.tag == "tr":
-                rows.append([])
+                cells = []
                 for c in child.children:
                     if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden():
-                        rows[-1].append(((yield lines_of(c, level)), span(c)))
+                        cells.append(cell(c, (yield lines_of(c, level))))
                 loose = [c for c in child.children if (not isinstance(c, Node) or c.tag not in ("td", "th"))]
                 if text := (yield lines_of(Node("div").with_children(loose), level)):
-                    rows[-1].append((text, 1))
+                    cells.append((text, 1, 1))
+                rows.append((group, cells))
             elif child.tag in ("td", "th"):
-                rows.append([((yield lines_of(child, level)), span(child))])
+                rows.append((group, [cell(child, (yield lines_of(child, level)))]))
             elif text := (yield lines_of(Node("div").with_children([child]), level)):
                 captions += text
         more += reversed(own)
-    width: list[int] = []
-    for row in rows:
-        column = 0
-        for text, cells in row:
-            width += [0] * (column + cells - len(width))
-            if cells == 1:
-                width[column] = max([width[column], *(wide(x) for x in text if wide(x) <= COLUMN)])
-            column += cells
-    out = captions
-    for row in rows:
-        for i in range(max([len(text) for text, _ in row], default=0)):
-            line, column = "", 0
-            for text, cells in row:
-                room = sum(width[column : column + cells]) + 2 * (cells - 1)
-                piece = text[i] if i < len(text) else ""
-                line += piece + " " * (max(0, room - wide(piece)) + 2)
-                column += cells
-            out.append(line.rstrip(" "))
-    return out
-
-
-def span(cell: Node) -> int:
-    value = cell.get("colspan") if cell.attributes else None
-    return min(max(int(value), 1), COLUMNS) if value and value.strip().isdecimal() else 1
+    return captions + aligned(gridded(rows))
 
 
 def rendered(node: Node) -> list[str]:
@@ -320,8 +407,7 @@ def fill(flow: Flow, node: Node, kept: bool, level: int) -> Generator:
     """Puts what is visible in node into flow; ``kept`` where white space counts; ``level`` lists, quotations and tables
     are around it."""
     shut = node.tag == "details" and node.get("open") is None
-    number = node.get("start") if node.tag == "ol" and node.attributes else None
-    number = int(number) if number and number.strip().lstrip("-").isdecimal() else 1
+    item = number(node.get("start"), 1, -(10**9), 10**9) if node.tag == "ol" and node.attributes else 1
     for child in node.children:
         if isinstance(child, str):
             if not shut:
@@ -349,11 +435,13 @@ def fill(flow: Flow, node: Node, kept: bool, level: int) -> Generator:
         elif tag == "table" or tag == "li" or tag in ("blockquote", "dd"):
             margin = tag in MARGIN
             flow.block(margin)
+            if tag == "li" and child.attributes:
+                item = number(child.get("value"), item, -(10**9), 10**9)
             if level >= LEVELS:
                 start = len(flow.lines)
                 if tag == "li":
-                    flow.marks.append(f"{number}. " if node.tag == "ol" else "- ")
-                    number += 1
+                    flow.marks.append(f"{item}. " if node.tag == "ol" else "- ")
+                    item += 1
                 yield fill(flow, child, False, level)
                 flow.block(margin)
                 if tag == "li" and len(flow.lines) == start:
@@ -363,8 +451,8 @@ def fill(flow: Flow, node: Node, kept: bool, level: int) -> Generator:
                 lines, mark = (yield table(child, level + 1)), ""
             else:
                 lines = yield lines_of(child, level + 1)
-                mark = "  " if tag != "li" else f"{number}. " if node.tag == "ol" else "- "
-                number += tag == "li"
+                mark = "  " if tag != "li" else f"{item}. " if node.tag == "ol" else "- "
+                item += tag == "li"
             for i, line in enumerate(lines):
                 flow.put((mark if not i else " " * len(mark)) + line if line else "")
             flow.block(margin)

@@ -1,4 +1,5 @@
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -32,6 +33,45 @@ def test_layout(page, want):
     assert htmltext.extract(page)[1] == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div>" * 160 + "<div hidden>secret</div>ok", "ok"),
+        ('<ol start="--5"><li>a<li>b</ol>', "1. a\n2. b"),
+        ("<ol start=-3><li>a<li value=9>b<li>c</ol>", "-3. a\n9. b\n10. c"),
+        ("<ol start=" + "9" * 5000 + "><li>a</ol>", "1000000000. a"),
+        ("<table><tr><td colspan=" + "9" * 5000 + ">one<tr><td>a<td>b</table>", "one\na  b"),
+        ("<table><tr><td colspan=x>one<td rowspan=-2>b<tr><td>a</table>", "one  b\na"),
+        ("<table><tr><td rowspan=2>Mon<td>a<td>b<tr><td>c<td>d</table>", "Mon  a  b\n     c  d"),
+        ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e</table>", "a  b  c\nd     e"),
+        ("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>", "a  b\nc  d"),
+        ("<table><tr><td>" + "x" * 70 + "<td>b<tr><td>c<td>d</table>", "x" * 70 + "  b\nc" + " " * 71 + "d"),
+        ("<table><tr><td colspan=2>long heading here<td>z<tr><td>c<td>d<td>e</table>", "long heading here  z\nc  d               e"),
+        ('a < b <c and "d', 'a < b <c and "d'),
+        ("<a x=\"1>b<i y='>c", "bc"),
+    ],
+)
+def test_odd_attributes_and_spans(page, want):
+    assert htmltext.extract(page)[1] == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '\">", '<a "><', "<table><td rowspan=9>", "<!--", "<script>", "<td rowspan=60000>x<tr>"])
+def test_reading_is_linear(piece):
+    """Eight times the page takes nowhere near 64 times as long."""
+    took = []
+    for n in (4000, 32000):
+        began = time.process_time()
+        htmltext.extract(piece * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.02)
+
+
+def test_padding_is_bounded():
+    page = "<table><tr>" + "<td>x" * 1000 + "<tr><td colspan=1000>y<td>z" * 2000 + "</table>"
+    text = htmltext.extract(page)[1]
+    assert len(text) < 20 * len(page) and text.count("z") == 2000
+
+
 def test_deep_and_long_pages_end():
     assert htmltext.extract("<div>" * 20000 + "x" + "</div>" * 20000)[1] == "x"
     assert htmltext.extract("<b>" * 50000 + "x")[1] == "x"
