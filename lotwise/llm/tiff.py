@@ -1,8 +1,9 @@
 """Operator 10, media columns: TIFF files in a binary column, one row per page.
 
 The reader walks the chain of image directories, decodes strips or tiles that are stored plain, as PackBits, LZW or
-deflate, undoes the horizontal predictor, and emits one row per page. The writer makes multi-page grey files with any
-of these codecs, in strips or tiles. Files are read whole, one at a time; no row needs another row.
+deflate, undoes the horizontal predictor, unpacks samples of 1, 2, 4, 8 or 16 bits, chunky or planar, and emits one row
+per page; a page that can't be read is a row with the reason and hides no other page. The writer makes multi-page grey
+files with any of these codecs, in strips or tiles. Files are read whole, one at a time; no row needs another row.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Fixed values of the TIFF 6.0 format: tags, codecs and the byte width of field types.
 NEW_SUBFILE, WIDTH, HEIGHT, BITS, CODEC, PHOTOMETRIC = 254, 256, 257, 258, 259, 262
@@ -241,7 +243,7 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         if at + 2 + 12 * count + 4 > len(data):
             raise BadTiff("a directory that is cut off")
         fields = {}
-        for k in range(count):
+        for k in range(count):  # a field's values are at most as long as the file
             tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
             if kind not in FIELD:
                 continue
@@ -254,39 +256,70 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * count)[0]
 
 
-def read_page(data: bytes, order: str, fields: dict[int, tuple]) -> Page:
-    one = lambda tag, default=None: fields[tag][0] if fields.get(tag) else default
+def read_page(data: bytes, order: str, fields: dict[int, tuple], most: int = 1 << 30) -> Page:
+    """A page with its samples chunky, one byte a sample up to 8 bits and two, in the machine's order, for 16."""
+
+    def one(tag: int, default: int | None = None) -> int | None:
+        value = fields[tag][0] if fields.get(tag) else default
+        if value is not None and not isinstance(value, int) or value is not None and value < 0:
+            raise BadTiff(f"tag {tag} is {value}")
+        return value
+
     width, height, bits, samples = one(WIDTH), one(HEIGHT), one(BITS, 1), one(SAMPLES, 1)
-    codec, predictor = one(CODEC, PLAIN), one(PREDICTOR, 1)
-    if not width or not height:
-        raise BadTiff("no width or height")
-    if bits not in (8, 16) or len(set(fields.get(BITS, (8,)))) > 1 or one(PLANAR, 1) != 1 and samples > 1:
-        raise BadTiff("only 8 or 16 bits a sample, chunky, are read")
-    if predictor not in (1, 2):
-        raise BadTiff(f"predictor {predictor}")
+    codec, predictor, planar = one(CODEC, PLAIN), one(PREDICTOR, 1), one(PLANAR, 1)
+    if not width or not height or not samples:
+        raise BadTiff("no width, height or samples")
+    if bits not in (1, 2, 4, 8, 16) or len(set(fields.get(BITS, (bits,)))) > 1:
+        raise BadTiff(f"{fields.get(BITS)} bits a sample")
+    if predictor not in (1, 2) or predictor == 2 and bits < 8:
+        raise BadTiff(f"predictor {predictor} with {bits} bits")
+    if planar not in (1, 2):
+        raise BadTiff(f"planar configuration {planar}")
+    size = 2 if bits == 16 else 1
+    if width * height * samples * size > most:
+        raise BadTiff(f"{width} x {height} x {samples} samples are more than {most} bytes")
     tiled = TILE_AT in fields
     wide, tall = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (width, min(one(STRIP_ROWS, height), height))
-    at, sizes = (fields.get(k, ()) for k in ((TILE_AT, TILE_BYTES) if tiled else (STRIP_AT, STRIP_BYTES)))
     if not wide or not tall:
         raise BadTiff("strips or tiles without a size")
+    planes, inside = (samples, 1) if planar == 2 else (1, samples)
+    line = -(-wide * inside * bits // 8)
+    if tiled and line * tall > most:
+        raise BadTiff(f"tiles of {wide} x {tall} samples are more than {most} bytes")
+    at, sizes = (fields.get(k, ()) for k in ((TILE_AT, TILE_BYTES) if tiled else (STRIP_AT, STRIP_BYTES)))
     across, down = -(-width // wide), -(-height // tall)
-    if len(at) < across * down or len(sizes) < across * down:
-        raise BadTiff("too few strips or tiles")
-    kind = np.dtype({8: "u1", 16: order + "u2"}[bits])
-    page = np.empty((height, width, samples), kind)
-    for k in range(across * down):
-        top, left = k // across * tall, k % across * wide
+    if min(len(at), len(sizes)) < across * down * planes or min([*at, *sizes], default=0) < 0:
+        raise BadTiff("too few strips or tiles, or such before the file's start")
+    kind = np.dtype(order + "u2" if bits == 16 else "u1")
+    page = np.zeros((height, width, samples), kind.newbyteorder("="))
+    for k in range(across * down * planes):
+        plane, spot = divmod(k, across * down)
+        top, left = spot // across * tall, spot % across * wide
         rows = tall if tiled else min(tall, height - top)
-        raw = decode(data[at[k] : at[k] + sizes[k]], codec, rows * wide * samples * kind.itemsize)
-        block = np.frombuffer(raw, kind).reshape(rows, wide, samples)
+        raw = np.frombuffer(decode(data[at[k] : at[k] + sizes[k]], codec, rows * line), np.uint8)
+        if bits < 8:
+            split = np.unpackbits(raw).reshape(rows, line * 8 // bits, bits)
+            block = (split @ (1 << np.arange(bits - 1, -1, -1, dtype=np.uint8)))[:, : wide * inside].reshape(rows, wide, inside)
+        else:
+            block = raw.view(kind).reshape(rows, wide, inside)
         if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
-        page[top : top + rows, left : left + wide] = block[: height - top, : width - left]
+            block = np.cumsum(block, axis=1, dtype=page.dtype)
+        page[top : top + rows, left : left + wide, plane : plane + inside] = block[: height - top, : width - left]
     return Page(width, height, bits, samples, codec, predictor, page.tobytes())
 
 
-def read_pages(data: bytes) -> list[Page]:
-    return [read_page(data, order, fields) for order, fields in directories(data)]
+def read_pages(data: bytes) -> list[Page | BadTiff]:
+    """The pages in the order of their directories, an error in place of one that can't be read; a broken chain of
+    directories ends the list with its error."""
+    out, chain = [], directories(data)
+    while True:
+        try:
+            order, fields = next(chain)
+            out.append(read_page(data, order, fields))
+        except StopIteration:
+            return out
+        except BadTiff as why:
+            out.append(why)
 
 
 PAGES = "page int, n_pages int, width int, height int, bits int, samples int, codec int, predictor int, data binary, error string"
@@ -295,7 +328,8 @@ PAGES = "page int, n_pages int, width int, height int, bits int, samples int, co
 def tiff_pages(df: DataFrame, key: str, media: str) -> DataFrame:
     """One row per page of each file in the binary column ``media``, with the bigint column ``key``.
 
-    A null, empty or broken file gives one row with page null and the reason in ``error``; no file stops the job.
+    A page that can't be read has the reason in ``error`` and no samples; a null or empty file, or one without a page,
+    gives one row with page null. No file stops the job. Samples of up to 8 bits come as one byte each, of 16 as two.
     Rows with equal keys or equal files each give their own rows, and other columns of df play no part.
     """
 
@@ -303,39 +337,47 @@ def tiff_pages(df: DataFrame, key: str, media: str) -> DataFrame:
         names = [key, *(x.split()[0] for x in PAGES.split(", "))]
         kinds = [pa.int64(), *[pa.int32()] * 8, pa.binary(), pa.string()]
         for batch in batches:
-            for row, data in zip(batch.column(0), batch.column(1), strict=True):
-                try:
-                    found = read_pages(data.as_py() or b"")
-                    rows = [(row.as_py(), i, len(found), p.width, p.height, p.bits, p.samples, p.codec, p.predictor, p.data, None) for i, p in enumerate(found)]
-                    if not rows:
-                        raise BadTiff("no page")
-                except BadTiff as why:
-                    rows = [(row.as_py(), *[None] * 9, str(why))]
+            for row, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = read_pages(data.as_py() or b"")
+                rows = []
+                for i, p in enumerate(found):
+                    if isinstance(p, Page):
+                        rows.append((row, i, len(found), p.width, p.height, p.bits, p.samples, p.codec, p.predictor, p.data, None))
+                    else:
+                        rows.append((row, i if len(found) > 1 else None, len(found), *[None] * 7, str(p)))
+                rows = rows or [(row, *[None] * 9, "no page")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return df.select(df[key].cast("bigint").alias(key), df[media]).mapInArrow(run, f"{key} bigint, {PAGES}")
 
 
-WIDE, PAGE_ROWS, ROWS = 64, 1024, 256
+WIDE, PAGE_ROWS, ROWS, TILE = 64, 1024, 256, 64
+#: Of each 16 texts, by a digest: LZW strips, LZW tiles, four PackBits strips, two PackBits tiles, two deflate tiles.
+FORMS = [(LZW, 0), (LZW, TILE), *[(PACKBITS, 0)] * 4, *[(PACKBITS, TILE)] * 2, *[(DEFLATE, TILE)] * 2, *[(DEFLATE, 0)] * 6]
+
+
+def stored_form(payload: bytes) -> bytes:
+    """The payload as a TIFF file, whose codec and layout its own bytes choose, so that equal texts have equal files."""
+    codec, tile = FORMS[zlib.crc32(payload) % len(FORMS)]
+    return write(payload, WIDE, PAGE_ROWS, ROWS, codec, 1 if codec == PACKBITS else 2, tile)
 
 
 def store_texts(documents: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text in UTF-8, filled with bytes 0 to a positive multiple of 64, as a TIFF file.
 
-    The samples are rows of 64 grey pixels in pages of up to 1024 rows, in deflate strips of 256 rows with the
-    horizontal predictor. A null text counts as empty and gives one row of zero pixels.
+    The samples are rows of 64 grey pixels in pages of up to 1024 rows, in strips of 256 rows or tiles of 64 x 64, as
+    PackBits, or as LZW or deflate with the horizontal predictor (FORMS). A null text counts as empty and gives one row
+    of zero pixels. Columns other than doc_id and text play no part; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, files = [], []
-            for text in batch.column(1).cast(pa.large_binary()):
+            for i, text in enumerate(batch.column(1).cast(pa.large_binary())):
                 data = text.as_py() or b""
-                sizes.append(len(data))
-                files.append(write(data + b"\0" * (-len(data) % WIDE if data else WIDE), WIDE, PAGE_ROWS, ROWS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
+                media = stored_form(data + b"\0" * (-len(data) % WIDE if data else WIDE))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([len(data)], pa.int64()), pa.array([media], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
+    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
 
 
 FEATURES = ("doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_pages int")
@@ -355,6 +397,8 @@ def stored_features(stored: DataFrame) -> DataFrame:
             for key, n, media in zip(*(batch.column(i) for i in range(3)), strict=True):
                 media = media.as_py()
                 pages = read_pages(media)
+                if errors := [p for p in pages if isinstance(p, BadTiff)]:
+                    raise errors[0]  # a file of our own that can't be read is no input error
                 payload = b"".join(p.data for p in pages)
                 x = np.frombuffer(payload, np.uint8)
                 values = np.bincount(x, minlength=256)
