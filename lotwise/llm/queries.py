@@ -28,8 +28,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.classified(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).filter("kept")
-    return found.select("doc_id", "lang", "n_symbols", F.exp(F.col("score") / 1000).alias("perplexity"), F.exp(F.col("threshold") / 1000).alias("threshold"))
+    found = quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).filter("kept")
+    return found.select("doc_id", "lang", "n_symbols", F.exp("score").alias("perplexity"), F.exp("threshold").alias("threshold"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

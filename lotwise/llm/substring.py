@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm import text as words
-from lotwise.llm.tables import drop, written
+from lotwise.llm.tables import drop, joined, written
 
 WINDOW, ANCHOR = 50, 12
-HOT_ROWS, HOT_KEYS, ROUNDS = 20_000, 10_000, 40
+ROUNDS = 40
 OTHER, LEFT, RIGHT = 0x51ED270B, words.U64(0xA24BAED4963EE407), words.U64(0x9FB21C651E98DF25)
 
 
@@ -108,15 +108,6 @@ def anchor_rows(documents: DataFrame, window: int, k: int) -> DataFrame:
     return documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(run, NODES)
 
 
-def joined(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """rows joined with keyed(keys, n_rows, ...), a row a key. Keys with over total / HOT_KEYS rows, of which there are
-    at most HOT_KEYS, are broadcast: their rows are not gathered."""
-    limit = max(HOT_ROWS, total // HOT_KEYS)
-    hot = F.broadcast(keyed.filter(F.col("n_rows") > limit))
-    cold = keyed.filter(F.col("n_rows") <= limit).hint("merge")
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
-
-
 def shared_nodes(anchors: DataFrame) -> DataFrame:
     """(node, n_rows, straight, next) of the nodes that two documents or more hold: straight if of degree one both ways."""
     one = lambda c: F.min(c) == F.max(c)

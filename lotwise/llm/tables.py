@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+HOT_ROWS, HOT_KEYS = 20_000, 10_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,23 +16,38 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests, a laptop) one of our own."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir, which driver and executors share; without it there is none to write to."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="lotwise-")
-        sc._conf.set("spark.checkpoint.dir", folder)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: later reads survive lost executors and repeat no work."""
+    """df as a table in the shared folder, read again: later reads survive lost executors and repeat no work.
+
+    The shuffle files behind it go once it is written, so that at most one step's shuffles take disk at a time.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with keyed(keys, n_rows, ...), a row a key that has n_rows of the ``total`` rows. Keys with over
+    total / HOT_KEYS rows, of which there are at most HOT_KEYS, are broadcast: their rows are not gathered."""
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(keyed.filter(F.col("n_rows") > limit))
+    cold = keyed.filter(F.col("n_rows") <= limit).hint("merge")
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table made by written() once nothing reads it any more."""
     spark = df.sparkSession

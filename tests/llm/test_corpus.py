@@ -101,20 +101,73 @@ def test_leaks_copied_and_edited(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
-def test_model_is_a_distribution(spark):
-    docs = frame(spark, [(i, "the quick brown fox jumps over the lazy dog. " * 3, "en", "a") for i in range(5)])
-    rows = quality.model_rows(quality.gram_counts(docs))
-    p = np.exp(-quality.costs(rows).astype(float) / 1000).reshape(-1, quality.SYMBOLS).sum(1)
-    assert np.abs(p - 1).max() < 0.02
-    counts = Counter(quality.codes(np.frombuffer(b"abab", np.uint8), np.array([0, 2, 4])).tolist())
-    assert max(counts.values()) == 2 and len(counts) == 2  # both rows begin anew
+def kneser_ney(texts, order):
+    """p(symbols) of an interpolated modified Kneser-Ney model in plain Python; symbols: order bytes, the last predicted."""
+    counts = [Counter()]
+    for t in texts:
+        padded = b"\n" * (order - 1) + t
+        counts[0].update(padded[i : i + order] for i in range(len(t)))
+    for size in range(order - 1, 0, -1):
+        counts.insert(0, Counter(g[1:] for g in counts[0]))
+    tables = []
+    for c in counts:
+        n = Counter(c.values())
+        d = [0.5, 0.5, 0.5]
+        if n[1] and n[2]:
+            y = n[1] / (n[1] + 2 * n[2])
+            d = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] and n[4] else None]
+            d = [0.5 if v is None else min(max(v, 0.05), k - 0.05) for k, v in enumerate(d, 1)]
+        total, free = Counter(), Counter()
+        for g, k in c.items():
+            total[g[:-1]] += k
+            free[g[:-1]] += d[min(k, 3) - 1]
+        tables.append((c, d, total, free))
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        c, d, total, free = tables[len(g) - 1]
+        lower = p(g[1:])
+        if g[:-1] not in total:
+            return lower
+        own = c[g] - d[min(c[g], 3) - 1] if g in c else 0.0
+        return (own + free[g[:-1]] * lower) / total[g[:-1]]
+
+    return p
+
+
+def test_perplexity_against_plain_python(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("ab\u00e9 \nc") for _ in range(rng.choice([0, 3, 40, 90]))), rng.choice(["en", "fr", None]), "a") for i in range(120)]
+    rows += [(None, "abc abc", "en", "a"), (7, "another text under a known id", "en", "a"), (500, None, "en", "a")]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)] + [(None, 1)], "doc_id long, quality int")
+    trained = {r.doc_id for r in quality.trusted_ids(labels).filter("not held").collect()}
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 700)
+    got = Counter((r.doc_id, r.lang, r.n_symbols, round(r.score, 6)) for r in quality.judged(frame(spark, rows), labels).collect())
+    texts = [(t or "").encode() for _, t, *_ in rows]
+    model = kneser_ney([t for (i, *_), t in zip(rows, texts, strict=True) if i in trained], quality.ORDER)
+    cost = lambda t: [-math.log(model((b"\n" * (quality.ORDER - 1) + t)[i : i + quality.ORDER])) for i in range(len(t))]
+    each = [cost(t) for t in texts]
+    own = [x for (i, *_), c in zip(rows, each, strict=True) if i in trained for x in c]
+    mean = sum(own) / len(own)
+    want = Counter((i, lang, len(t), round((sum(c) + quality.PRIOR * mean) / (len(t) + quality.PRIOR), 6)) for (i, _, lang, _), t, c in zip(rows, texts, each, strict=True))
+    assert len(got) > 100 and sum((got - want).values()) <= 1  # a figure may round the other way
+
+
+def test_thresholds_are_quantiles_of_languages(spark):
+    rows = [("en", 1.0 + i / 1000) for i in range(400)] + [("fr", 2.0)] * 25 + [("xx", 9.0)] * 3 + [(None, 0.5)] * 40
+    limits = {r.lang: round(r.threshold, 9) for r in quality.thresholds(spark.createDataFrame(rows, "lang string, score double"), 0.99, 0.5).collect()}
+    assert limits == {"en": 1.895, "fr": 2.5, None: 2.5}
 
 
 def test_classifier_on_labelled_documents(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    got = quality.classified(docs, labels).join(labels, "doc_id").select("quality", "kept").collect()
-    assert all(r.kept for r in got if r.quality == 1)
-    assert sum(not r.kept for r in got if r.quality == 0) >= 0.7 * sum(r.quality == 0 for r in got)
+    found = quality.judged(docs, labels)
+    got = found.join(labels, "doc_id").select("quality", "kept").collect()
+    assert sum(not r.kept for r in got if r.quality == 1) <= 0.01 * len(got)
+    assert sum(not r.kept for r in got if r.quality == 0) >= 0.85 * sum(r.quality == 0 for r in got)
+    # A score at its threshold is kept.
+    assert all(r.kept == (r.n_symbols == 0 or r.score <= r.threshold) for r in found.collect())
 
 
 def test_classifier_odd_rows(spark):
@@ -122,6 +175,9 @@ def test_classifier_odd_rows(spark):
     assert quality.kept(frame(spark, ODD), labels).columns == frame(spark, ODD).columns
     assert quality.kept(frame(spark, ODD), labels.limit(0)).count() == len(ODD)
     assert quality.kept(frame(spark, ODD).limit(0), labels).count() == 0
+    clash = frame(spark, ODD).selectExpr("doc_id", "text", "lang", "1 AS score", "2 AS kept", "3 AS threshold", "4 AS block", "5 AS code")
+    many = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    assert quality.kept(clash, many).columns == clash.columns
 
 
 def pages(spark, rows):
@@ -186,6 +242,18 @@ def test_shards_balance_and_number(spark):
     assert sum(len(s) > 1 for s in groups.values()) <= 1  # only the third of all rows is split
 
 
+def test_packing_against_brute_force():
+    """Each item, largest first, stands where its dot product with the residual capacity was highest."""
+    rng = np.random.default_rng(4)
+    items = np.concatenate([rng.integers(1, 900, (60, 3)), np.repeat([[5, 5, 5]], 7, 0)]).astype(float)
+    placed = sharding.pack(items, 5)
+    scaled, room = items / (items.sum(0) / 5), [[1.0] * 3 for _ in range(5)]
+    for i in sorted(range(len(items)), key=lambda i: (-max(scaled[i]), -scaled[i][0], i)):
+        value = [sum(a * b for a, b in zip(room[k], scaled[i])) for k in range(5)]
+        assert value[placed[i]] >= max(value) - 1e-9
+        room[placed[i]] = [a - b for a, b in zip(room[placed[i]], scaled[i])]
+
+
 def test_shard_odd_rows(spark):
     got = sharding.shards_of(frame(spark, ODD)).collect()
     assert len(got) == len(ODD) and {r.law for r in got} == {"bytes"} and all(r.grown_shard is None for r in got)
