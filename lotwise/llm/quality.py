@@ -94,7 +94,7 @@ def probabilities(asked: DataFrame, counts: DataFrame) -> DataFrame:
     Under the highest order n is the number of different symbols seen before an n-gram. A context that was never seen
     leaves all to the shorter one; under the shortest stand SYMBOLS equal symbols.
     """
-    tables = []
+    tables, made = [], []
     for size in range(ORDER, 0, -1):
         less = discounts(counts)
         c = counts.withColumn("context", F.shiftright("code", 8)).withColumn("d", F.when(F.col("n") == 1, less[0]).when(F.col("n") == 2, less[1]).otherwise(less[2]))
@@ -104,6 +104,7 @@ def probabilities(asked: DataFrame, counts: DataFrame) -> DataFrame:
         if size > 1:
             asked = written(asked.select(suffix).distinct(), "quality-asked")
             counts = written(counts.groupBy(suffix).agg(F.count("*").alias("n")), "quality-counts")
+            made += [asked, counts]
     below = tables[-1][0].select("code", F.lit(1.0 / SYMBOLS).alias("p"))
     for size, (own, seen, contexts) in enumerate(reversed(tables), 1):
         down = F.col("code").bitwiseAND((1 << 8 * (size - 1)) - 1) if size > 1 else F.col("code")
@@ -111,7 +112,11 @@ def probabilities(asked: DataFrame, counts: DataFrame) -> DataFrame:
         rows = rows.join(seen.hint("merge"), "code", "left").join(contexts.hint("merge"), "context", "left")
         rows = rows.join(below.withColumnsRenamed({"code": "down", "p": "lower"}).hint("merge"), "down")
         p = F.when(F.col("all").isNull(), F.col("lower")).otherwise((F.coalesce("seen", F.lit(0.0)) + F.col("free") * F.col("lower")) / F.col("all"))
-        below = written(rows.select("code", p.alias("p")), "quality-order")
+        below, last = written(rows.select("code", p.alias("p")), "quality-order"), below
+        if size > 1:
+            drop(last)
+    for table in made:
+        drop(table)
     return below
 
 
@@ -124,7 +129,7 @@ def block_scores(blocks: DataFrame, costs: DataFrame, mean: float) -> DataFrame:
     def run(key: tuple, docs: pa.Table, table: pa.Table) -> pa.Table:
         code, cost = table.column("code").to_numpy(), table.column("cost").to_numpy()
         order = np.argsort(code)
-        code, cost = code[order], cost[order]
+        code, cost = code[order], cost[order].astype(float)
         n, total = np.zeros(docs.num_rows, np.int64), np.zeros(docs.num_rows)
         for low, high, data, at in words.chunks(docs.column("text")) if docs.num_rows else []:
             found = codes(data, at)
@@ -155,11 +160,13 @@ def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     grams = written(block_grams(in_blocks(documents, n), training), "quality-grams")
     totals = written(grams.groupBy("code").agg(F.sum("n").alias("n")), "quality-totals")
     p = probabilities(totals.select("code"), totals.filter("n > 0"))
-    cost = written(totals.join(p.hint("merge"), "code").select("code", "n", (-F.log("p")).alias("cost")), "quality-costs")
+    cost = written(totals.join(p.hint("merge"), "code").select("code", "n", (-F.log("p")).cast("float").alias("cost")), "quality-costs")
+    drop(p)
+    drop(totals)
     all_, spent = cost.agg(F.sum("n"), F.sum(F.col("n") * F.col("cost"))).first()
     asked = grams.select("block", "code").join(cost.select("code", "cost").hint("merge"), "code")
     out = written(block_scores(in_blocks(documents, n), asked, spent / all_ if all_ else float(np.log(SYMBOLS))), "quality-scores")
-    for table in (grams, totals, cost):
+    for table in (grams, cost):
         drop(table)
     return out
 
