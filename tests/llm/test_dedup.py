@@ -212,3 +212,21 @@ def test_cuckoo():
     for k in keys:
         c.delete(k)
     assert not c.contains(both).any()
+
+
+def test_jaccard_tells_clashing_sets_apart(spark, corpus):
+    """With nodes of 6 bits nearly all clash, and the second hash decides: the same rows as with 64."""
+    docs = frame(spark, corpus)
+    want = sorted(map(tuple, jaccard.near_duplicates(docs).collect()), key=str)
+    assert sorted(map(tuple, jaccard.near_duplicates(docs, bits=6).collect()), key=str) == want
+
+
+def test_jaccard_rows_without_ids(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, a), (None, a + " end"), (None, b), (None, b), (9, b + " end"), (None, None), (None, "")]
+    got = jaccard.one_of_each(frame(spark, rows)).collect()
+    kept = [(r.doc_id, r.text) for r in got]
+    assert sum(t in (a, a + " end") for _, t in kept) == 1 and (9, b + " end") in kept and (None, b) not in kept
+    assert (None, None) in kept and (None, "") in kept
+    found = jaccard.near_duplicates(frame(spark, rows)).collect()
+    assert sorted(str(r.component_id) for r in found) == ["9"] * 3 + ["None"] * 4
