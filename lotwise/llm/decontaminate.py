@@ -100,6 +100,7 @@ def seed_counts(documents: DataFrame, items: Items, n: int) -> dict[int, int]:
 
 
 def rare(items: Items, counts: dict[int, int], n_docs: int, share: float, few: int) -> Items:
+    """items with their rare seeds only."""
     first = np.searchsorted(items.hashes, items.hashes)
     docs = np.array([counts.get(int(i), 0) for i in first], np.int64)
     limit = np.zeros(len(items.ids))
@@ -169,18 +170,21 @@ def blocks(benchmark: DataFrame, n: int, limit: int = BLOCK_BYTES) -> Iterator[I
         yield Items.of(held, n)
 
 
-def prepared(documents: DataFrame, benchmark: DataFrame, n: int = SEED, share: float = RARE, few: int = FEW) -> Iterator[Items]:
-    n_docs = documents.count()
+def prepared(documents: DataFrame, benchmark: DataFrame, n: int = SEED, share: float = RARE, few: int | None = FEW) -> Iterator[Items]:
+    """Blocks of test items with their seeds: the rare ones, or where few is None all of them, which loses no copy that
+    the alignment would find."""
+    n_docs = documents.count() if few is not None else 0
     for items in blocks(benchmark, n):
-        yield rare(items, seed_counts(documents, items, n), n_docs, share, few)
+        yield items if few is None else rare(items, seed_counts(documents, items, n), n_docs, share, few)
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, n: int = SEED, share: float = RARE, few: int = FEW, least: float = LEAST) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, n: int = SEED, share: float = RARE, few: int | None = FEW, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): test items found in documents, the best place of each pair.
 
     start_word and end_word count the document's words as compared here. Null and empty texts and items without words
     match nothing; an item of fewer than n words is one seed. Items without item_id bear the id -1. Each row of
-    documents gives its own rows, with its doc_id, null or not. An empty benchmark gives no rows.
+    documents gives its own rows, with its doc_id, null or not. An empty benchmark gives no rows. Other columns play no
+    part.
     """
 
     def run_for(items: Items):
@@ -203,7 +207,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, n: int = SEED, share: floa
     return out
 
 
-def without_leaks(documents: DataFrame, benchmark: DataFrame, n: int = SEED, share: float = RARE, few: int = FEW, least: float = LEAST) -> DataFrame:
+def without_leaks(documents: DataFrame, benchmark: DataFrame, n: int = SEED, share: float = RARE, few: int | None = FEW, least: float = LEAST) -> DataFrame:
     """documents without the rows in which leaks() finds a test item; all columns pass through, nothing is joined."""
     at = documents.columns.index("text")
 

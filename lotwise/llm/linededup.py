@@ -7,8 +7,10 @@ yes, so that most lines end at the filter and its errors never reach a result. I
 subtract them, find a new keeper where the old one goes, and take keys that fall under the limit out of the filter:
 deleting what was inserted gives the former state again.
 
-Skew: refs come from partial aggregates; probes are dealt by shard and by a salt from doc_id, so that a line that a
-third of all documents hold spreads over SALTS tasks. The shards' number follows the number of postings.
+Skew: refs come from partial aggregates; probes are dealt by shard and by a salt from doc_id. A key of very many
+documents has as many salts as its postings need, so that a line that a third of all documents hold still comes in
+pieces of about SHARD_ROWS. The shards' number follows the number of postings, also as insertions add to it, and a
+filter that fills up is built anew, at twice its size, from its shard's exact keys.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.tables import written
+from lotwise.llm.tables import HOT_KEYS, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
-SHARD_ROWS, SALTS = 200_000, 16
+SHARD_ROWS, SALTS, FULL = 200_000, 16, 0.9
 STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -120,6 +122,17 @@ class Cuckoo:
             found |= np.isin(keys[:, 0], np.frombuffer(b"".join(self.spare), np.uint64)[::2])
         return found
 
+    @classmethod
+    def of(cls, keys, n: int) -> Cuckoo:
+        """A filter with room for n keys that holds ``keys``; one with more room where any of them finds no place."""
+        while True:
+            out = cls(n)
+            for key in keys:
+                out.insert(key)
+            if not out.spare or n > 16 * len(keys) + 64:
+                return out
+            n *= 2
+
     def stored(self) -> dict:
         return {"slots": self.slots.tobytes(), "spare": b"".join(self.spare)}
 
@@ -145,9 +158,8 @@ def build_filters(refs: DataFrame, n_shards: int, min_docs: int = MIN_DOCS) -> D
     """A row a shard: the cuckoo filter of its keys of at least min_docs documents, and these keys with their keepers."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        cuckoo, keys = Cuckoo(len(group)), [bytes(k) for k in group["key"]]
-        for key in keys:
-            cuckoo.insert(key)
+        keys = [bytes(k) for k in group["key"]]
+        cuckoo = Cuckoo.of(keys, len(keys))
         exact = packed(keys, group["keeper"].to_numpy())
         return pd.DataFrame([{"shard": group["shard"].iloc[0], **cuckoo.stored(), "keys": exact[0], "keepers": exact[1]}])
 
@@ -167,6 +179,8 @@ def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, n_sh
             shard, cuckoo = row["shard"], Cuckoo.loaded(row["slots"], row["spare"])
             keepers = np.frombuffer(row["keepers"], np.int64)
             exact = {row["keys"][16 * i : 16 * i + 16]: int(k) for i, k in enumerate(keepers)}
+        if len(exact) + len(change) > FULL * cuckoo.slots.size or cuckoo.spare:
+            cuckoo = Cuckoo.of(exact, 2 * (len(exact) + len(change)))
         for key, keeper in zip(change["key"], change["keeper"], strict=True):
             key, there = bytes(key), bytes(key) in exact
             if pd.isna(keeper):
@@ -185,15 +199,23 @@ def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, n_sh
     return filters.groupBy("shard").cogroup(changed.groupBy("shard")).applyInPandas(run, FILTER)
 
 
-def probe(postings: DataFrame, filters: DataFrame, n_shards: int) -> DataFrame:
-    """(doc_id, key) of the postings whose key is in the filters' exact tables and has another keeper."""
+@dataclass
+class LineState:
+    postings: DataFrame
+    refs: DataFrame
+    filters: DataFrame
+    n_shards: int
+
+
+def probe(state: LineState) -> DataFrame:
+    """(doc_id, key) of the state's postings whose key is in the filters' exact tables and has another keeper."""
     schema = "doc_id bigint, key binary"
 
-    def run(_, asked: pa.Table, state: pa.Table) -> pa.Table:
+    def run(_, asked: pa.Table, held: pa.Table) -> pa.Table:
         ids, keys = (asked.column(n).combine_chunks() for n in ("doc_id", "key"))
-        if not len(ids) or not state.num_rows:
+        if not len(ids) or not held.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "key": pa.array([], pa.binary())})
-        row = state.slice(0, 1).to_pylist()[0]
+        row = held.slice(0, 1).to_pylist()[0]
         halves = np.frombuffer(b"".join(keys.to_pylist()), np.uint64).reshape(-1, 2)
         maybe = np.flatnonzero(Cuckoo.loaded(row["slots"], row["spare"]).contains(halves))
         end = b"\1"  # NumPy drops zero bytes at the end of a string
@@ -204,18 +226,17 @@ def probe(postings: DataFrame, filters: DataFrame, n_shards: int) -> DataFrame:
         rows = pa.array(maybe[hit])
         return pa.table({"doc_id": ids.take(rows), "key": keys.take(rows).cast(pa.binary())})
 
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    asked = postings.select(shard_of(n_shards).alias("shard"), salt.alias("salt"), "doc_id", "key")
-    state = filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return asked.groupBy("shard", "salt").cogroup(state.groupBy("shard", "salt")).applyInArrow(run, schema)
-
-
-@dataclass
-class LineState:
-    postings: DataFrame
-    refs: DataFrame
-    filters: DataFrame
-    n_shards: int
+    # Keys with over 1 / HOT_KEYS of all postings, at most HOT_KEYS of them, have salts by their number.
+    limit = max(SHARD_ROWS, state.postings.count() // HOT_KEYS)
+    shard, n = shard_of(state.n_shards), F.ceil(F.col("n_docs") / F.lit(SHARD_ROWS)).cast("int")
+    hot = written(state.refs.filter(F.col("n_docs") > limit).select("key", F.greatest(n, F.lit(SALTS)).alias("salts")), "line-hot")
+    most = hot.groupBy(shard.alias("shard")).agg(F.max("salts").alias("salts"))
+    asked = state.postings.join(F.broadcast(hot), "key", "left")
+    salt = F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(SALTS))).cast("int")
+    asked = asked.select(shard.alias("shard"), salt.alias("salt"), "doc_id", "key")
+    last = F.coalesce("salts", F.lit(SALTS)) - 1
+    held = state.filters.join(F.broadcast(most), "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("salts")
+    return asked.groupBy("shard", "salt").cogroup(held.groupBy("shard", "salt")).applyInArrow(run, schema)
 
 
 def line_state(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineState:
@@ -226,12 +247,19 @@ def line_state(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
 
 
 def insert(state: LineState, documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineState:
-    """The state with further documents; doc_ids that the state already has must be deleted first."""
+    """The state with further documents; doc_ids that the state already has must be deleted first, or this raises."""
     new = written(line_postings(documents, min_chars), "line-postings")
+    if new.join(state.postings.select("doc_id").hint("merge"), "doc_id", "left_semi").head(1):
+        raise ValueError("some of these doc_ids are in the state: delete them first")
     both = state.refs.unionByName(reference_counts(new)).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
     refs = written(both, "line-refs")
-    filters = written(update_filters(state.filters, state.refs, refs, state.n_shards, min_docs), "line-filters")
-    return LineState(state.postings.unionByName(new), refs, filters, state.n_shards)
+    postings, n_shards = state.postings.unionByName(new), state.n_shards
+    if (wanted := -(-postings.count() // SHARD_ROWS)) > 2 * n_shards:
+        n_shards = wanted
+        filters = build_filters(refs, n_shards, min_docs)
+    else:
+        filters = update_filters(state.filters, state.refs, refs, n_shards, min_docs)
+    return LineState(postings, refs, written(filters, "line-filters"), n_shards)
 
 
 def delete(state: LineState, ids: DataFrame, min_docs: int = MIN_DOCS) -> LineState:
@@ -255,7 +283,7 @@ def without_repeated_lines(documents: DataFrame, state: LineState, min_chars: in
 
     A line goes if its key is in at least min_docs documents of the state, of which this isn't the one with the
     largest doc_id. Null and empty texts are one empty line, which stays. Rows without doc_id keep all their lines.
-    Rows with one doc_id count as one document. The text column holds what is kept; select it away where only the
+    Rows with one doc_id count as one document. Columns other than doc_id and text play no part. The text column holds what is kept; select it away where only the
     digest is wanted.
     """
 
@@ -275,6 +303,6 @@ def without_repeated_lines(documents: DataFrame, state: LineState, min_chars: in
                 rows.append((doc, len(lines), len(lines) - len(kept), hashlib.sha256(text).hexdigest(), text.decode()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names)
 
-    lost = probe(state.postings, state.filters, state.n_shards).groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
+    lost = probe(state).groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
     own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return own.join(lost, "doc_id", "left").select("doc_id", "text", "lost").mapInArrow(run, KEPT)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lotwise.llm import text as words
 from lotwise.llm.tables import written
 
-SHARDS, CELLS, PART = 24, 512, 0.25
+SHARDS, CELLS, PART, SLICES = 24, 512, 0.25, 64
 DIMS = ("size", "tokens", "rows")
 
 
@@ -58,8 +58,9 @@ def shards_of(documents: DataFrame, shards: int = SHARDS, cells: int = CELLS, pa
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, tokens, group_id) a row of documents.
 
     Equal texts go to one shard, unless they hold more than ``part`` of a shard's mean bytes, tokens or rows; then
-    their rows are split by doc_id. Slots count from 0 in each shard without gaps; ties are ordered by doc_id. Null
+    their rows are split by doc_id. Slots count from 0 in each shard without gaps; ties in a cell are ordered by doc_id. Null
     texts count as empty; rows without doc_id and repeated rows have their own slots. An empty table gives no rows.
+    Columns other than doc_id and text play no part.
     """
     spark = documents.sparkSession
     rows = written(text_sizes(documents), "shard-sizes")
@@ -72,16 +73,22 @@ def shards_of(documents: DataFrame, shards: int = SHARDS, cells: int = CELLS, pa
     cell = F.when(F.col("parts").isNull(), F.concat(F.lit("c"), F.pmod(F.xxhash64("text_key"), F.lit(shards * cells)).cast("string"))).otherwise(
         F.concat(F.hex("text_key"), F.lit("-"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("string"))
     )
-    rows = rows.join(F.broadcast(alone), "text_key", "left").withColumn("cell", cell).drop("parts")
-    found = rows.groupBy("cell").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).orderBy("cell").collect()
-    vectors = np.array([[r[c] for c in DIMS] for r in found], float).reshape(-1, len(DIMS))
-    placed = pack(vectors, shards)
+    # The parts of groups that are split, of which there are at most 3 * shards / part, are numbered in slices.
+    slice_ = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.lit(SLICES))).otherwise(0).cast("int")
+    rows = rows.join(F.broadcast(alone), "text_key", "left").withColumn("cell", cell).withColumn("slice", slice_).drop("parts")
+    sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
+    found = rows.groupBy("cell", "slice").agg(*sums).orderBy("cell", "slice").collect()
+    cells_ = {c: i for i, c in enumerate(dict.fromkeys(r["cell"] for r in found))}
+    vectors = np.zeros((len(cells_), len(DIMS)))
+    np.add.at(vectors, [cells_[r["cell"]] for r in found], np.array([[r[c] for c in DIMS] for r in found], float).reshape(-1, len(DIMS)))
+    placed = pack(vectors, shards).tolist()
     start, plan = [0] * shards, []
-    for r, k in zip(found, placed.tolist(), strict=True):
-        plan.append((r["cell"], k, start[k]))
+    for r in found:
+        k = placed[cells_[r["cell"]]]
+        plan.append((r["cell"], r["slice"], k, start[k]))
         start[k] += r["rows"]
-    plan = spark.createDataFrame(plan, "cell string, shard int, start bigint")
-    slot = F.col("start") + F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "text_crc32")) - 1
-    return rows.join(F.broadcast(plan), "cell").select(
+    plan = spark.createDataFrame(plan, "cell string, slice int, shard int, start bigint")
+    slot = F.col("start") + F.row_number().over(Window.partitionBy("cell", "slice").orderBy("doc_id", "text_crc32")) - 1
+    return rows.join(F.broadcast(plan), ["cell", "slice"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "tokens", F.hex("text_key").alias("group_id")
     )

@@ -26,9 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.tables import written
+from lotwise.llm.tables import joined, written
 
-ARCHIVE_BYTES, RANGE_ROWS, BLOCK_ROWS, SAMPLE = 4 << 20, 50_000, 4096, 20_000
+ARCHIVE_BYTES, RANGE_ROWS, BLOCK_ROWS, SAMPLE, PIECE = 4 << 20, 50_000, 4096, 20_000, 1 << 14
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the format
 EPOCH = 1577836800
 
@@ -49,7 +49,8 @@ def url_key(url: str | None) -> str:
 
 
 def stamp(seconds: int) -> str:
-    """WARC-Date of a number of seconds since 1970, also outside the years that datetime has."""
+    """WARC-Date of a number of seconds since 1970, also outside the years that datetime has: days to a civil date by
+    eras of 400 years, a published algorithm whose numbers are fixed values."""
     days, rest = divmod(seconds, 86400)
     z = days + 719468
     era, doe = z // 146097, z % 146097
@@ -76,15 +77,18 @@ def record(page: int | None, url: str | None, payload: bytes, original: int | No
 
 
 def members(archive: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of each gzip member."""
-    at = 0
-    while at < len(archive):
-        unpack = zlib.decompressobj(31)
-        content = unpack.decompress(archive[at:])
+    """(offset, length, content) of each gzip member; the archive is fed in pieces, so that its length costs nothing."""
+    at, view = 0, memoryview(archive)
+    while at < len(view):
+        unpack, parts, place = zlib.decompressobj(31), [], at
+        while not unpack.eof and place < len(view):
+            piece = view[place : place + PIECE]
+            parts.append(unpack.decompress(piece))
+            place += len(piece)
         if not unpack.eof:
             raise ValueError(f"the gzip member at {at} is cut off")
-        end = len(archive) - len(unpack.unused_data)
-        yield at, end - at, content
+        end = place - len(unpack.unused_data)
+        yield at, end - at, b"".join(parts)
         at = end
 
 
@@ -276,8 +280,8 @@ def merged_index(entries: DataFrame, range_rows: int = RANGE_ROWS, block_rows: i
     ordered = written(ordered, "warc-index")
     starts = F.broadcast(entries.sparkSession.createDataFrame(starts, "range int, start bigint"))
     placed = ordered.join(starts, "range").withColumn("place", F.col("start") + F.col("inside")).drop("range", "start", "inside")
-    first = placed.groupBy("url_key").agg(F.min("place").alias("_first"))
-    return placed.join(first, "url_key").withColumn("capture", F.col("place") - F.col("_first")).drop("_first")
+    first = written(placed.groupBy("url_key").agg(F.min("place").alias("_first"), F.count("*").alias("n_rows")), "warc-first")
+    return joined(placed, first, ["url_key"], at).withColumn("capture", F.col("place") - F.col("_first")).drop("_first", "n_rows")
 
 
 def captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

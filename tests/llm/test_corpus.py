@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -101,6 +102,28 @@ def test_leaks_copied_and_edited(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_recall_by_share_of_edited_words(spark):
+    """With all seeds every copy is found that the alignment's score allows: up to a third of the words changed."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    items = [[word() for _ in range(60)] for _ in range(20)]
+    rows, rate = [], {}
+    for i in range(100):
+        w, share = list(items[i % 20]), (i // 20) / 10
+        for k in rng.sample(range(60), round(60 * share)):
+            w[k] = word()
+        rate[i] = share
+        rows.append((i, " ".join([word() for _ in range(40)] + w + [word() for _ in range(40)]), "en", "a"))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    docs = frame(spark, rows).selectExpr("*", "1 AS score", "2 AS start_word", "3 AS item_id")
+    for few in (None, decontaminate.FEW):
+        found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, few=few).collect()}
+        assert all(k == i % 20 for i, k in found)
+        caught = Counter(rate[i] for i, _ in found)
+        assert [caught[x / 10] for x in (0, 1, 2)] == [20, 20, 20] and caught[0.3] >= 15 and caught[0.4] <= 10
+    assert decontaminate.without_leaks(docs, bench).columns == docs.columns
+
+
 def kneser_ney(texts, order):
     """p(symbols) of an interpolated modified Kneser-Ney model in plain Python; symbols: order bytes, the last predicted."""
     counts = [Counter()]
@@ -215,6 +238,16 @@ def test_archive_odd_rows(spark):
         list(warc.members(warc.record(1, "u", b"x" * 99, None)[:-9]))
 
 
+def test_members_are_read_in_linear_time():
+    took = []
+    for n in (2000, 16000):
+        archive = warc.record(1, "http://a.b/c", b"x" * 300, None) * n
+        began = time.process_time()
+        assert sum(1 for _ in warc.members(archive)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 20 * took[0]
+
+
 def test_loser_tree():
     rng = random.Random(3)
     for k in (0, 1, 2, 3, 7):

@@ -42,21 +42,51 @@ def corpus():
     return out
 
 
-def test_substring_against_all_windows(spark, corpus):
-    first = {}
-    docs = {i: words_of(t) for i, t in corpus}
+def removed(rows):
+    """(words, words removed, digest of what stays) of each document, from all windows."""
+    first, out = {}, {}
+    docs = {i: words_of(t) for i, t in rows}
     for i in sorted(docs):
         for k in range(len(docs[i]) - 49):
             first.setdefault(tuple(docs[i][k : k + 50]), i)
-    got = {r.doc_id: r for r in substring.without_repeats(frame(spark, corpus)).collect()}
-    assert len(got) == len(docs)
     for i, w in docs.items():
         gone = set()
         for k in range(len(w) - 49):
             if first[tuple(w[k : k + 50])] < i:
                 gone |= set(range(k, k + 50))
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
-        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+        out[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    return out
+
+
+def test_substring_against_all_windows(spark, corpus):
+    got = substring.without_repeats(frame(spark, corpus)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == removed(corpus) and len(got) == len(corpus)
+
+
+def test_paths_are_compacted(spark, monkeypatch):
+    """A chain of 100 unbranched nodes is one path, a branching node ends one, and a ring stays as single nodes."""
+    monkeypatch.setattr(substring, "ROUNDS", 8)
+    chain = [(i, 5, True, i + 1 if i < 100 else 0) for i in range(1, 101)]
+    more = [(200, 5, True, 201), (201, 5, False, 202), (202, 5, True, 0), (300, 5, True, 301), (301, 5, True, 300)]
+    nodes = spark.createDataFrame(chain + more, "node long, n_rows long, straight boolean, next long")
+    got = {r.node: r.length for r in substring.compacted(nodes).collect()}
+    assert got == {1: 100, 200: 1, 202: 1, 300: 1, 301: 1}
+
+
+def test_substring_long_copies_and_hot_passages(spark, monkeypatch):
+    """Copies of thousands of words, whole and cut, and a passage that every document holds."""
+    from lotwise.llm import tables
+
+    monkeypatch.setattr(tables, "HOT_ROWS", 3)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    long, hot = [word() for _ in range(3000)], [word() for _ in range(64)]
+    rows = [(i, " ".join([word() for _ in range(rng.randrange(80))] + hot + [word() for _ in range(rng.randrange(80))])) for i in range(20)]
+    rows += [(30, " ".join(long)), (31, "\t".join(long)), (32, " ".join(long[100:1500] + hot + long[1400:])), (33, " ".join(long[700:800] * 6))]
+    want = removed(rows)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.without_repeats(frame(spark, rows)).collect()}
+    assert got == want
 
 
 def test_substring_odd_rows(spark):
@@ -190,6 +220,29 @@ def test_lines_insert_and_delete(spark):
     assert same(less) == same(state)
 
 
+def test_line_state_grows(spark, monkeypatch):
+    """Shards of five postings: hot keys have salts of their own, insertions make more shards, filters stay exact."""
+    monkeypatch.setattr(linededup, "SHARD_ROWS", 5)
+    rng = random.Random(6)
+    pool = [LINE + str(i) for i in range(40)]
+    rows = [(i, "\n".join([LINE, *(rng.choice(pool) for _ in range(4))])) for i in range(60)]
+    state = linededup.line_state(frame(spark, []).limit(0))
+    assert state.n_shards == 1
+    for part in (rows[:20], rows[20:]):
+        state = linededup.insert(state, frame(spark, part))
+    assert state.n_shards > 10 and kept(state, frame(spark, rows)) == lines_of(rows)
+    assert not any(r.spare for r in state.filters.collect())
+    with pytest.raises(ValueError, match="delete them first"):
+        linededup.insert(state, frame(spark, rows[3:4]))
+
+
+def test_full_filters_are_built_anew():
+    rng = random.Random(5)
+    keys = [rng.randbytes(16) for _ in range(4000)]
+    made = linededup.Cuckoo.of(keys, 500)
+    assert not made.spare and len(keys) < made.slots.size <= 8 * len(keys)
+
+
 def test_line_odd_rows(spark):
     docs = frame(spark, [(i, LINE + "x") for i in (1, 1, 2, 3, 4)] + [(None, LINE + "x")])
     assert all(r.n_dropped == 0 for r in linededup.without_repeated_lines(docs, linededup.line_state(docs)).collect())
