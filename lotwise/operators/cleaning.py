@@ -13,17 +13,22 @@ from lotwise.operators import kernels
 
 
 def signatures(readings: DataFrame, keys: list[str]) -> DataFrame:
-    """Per sensor the counts and range of its values, and 128 bits over its (unit, value) pairs, missing ones included.
+    """Per sensor the counts and range of its values, and two sums over independent 64-bit hashes of its (unit, value)
+    pairs, missing ones included.
 
-    The pairs' hashes are combined without order, so that no sensor is ever gathered; -0.0 and 0.0 stay different.
+    Sums need no order, so that no sensor is ever gathered, and unlike exclusive ors they don't cancel where a reading
+    is repeated. -0.0 and 0.0 stay different.
     """
     cell = F.concat_ws(":", F.col("unit_id").cast("string"), F.coalesce(F.col("value").cast("string"), F.lit("-")))
     v = F.col("value")
     return readings.groupBy(*keys, "sensor_id").agg(
-        F.count("*").alias("n"), F.count(v).alias("observed"), F.min(v).alias("low"), F.max(v).alias("high"), F.bit_xor(F.xxhash64(cell)).alias("_s1"), F.bit_xor(F.xxhash64(cell, F.lit(7))).alias("_s2")
+        F.count("*").alias("n"), F.count(v).alias("observed"), F.min(v).alias("low"), F.max(v).alias("high"), *[F.sum(F.xxhash64(F.lit(salt), cell).cast("decimal(38,0)")).alias(name) for salt, name in ((1, "_s1"), (2, "_s2"))],
     )
 
 
+ALIKE = ["_s1", "_s2", "n", "observed", "low", "high"]
+
+
 def cleaner(readings: DataFrame, keys: list[str] = (), min_observed: float = 0.0) -> DataFrame:
     """(keys, sensor_id, reason): NULL for a sensor that stays, else the first of all_missing, constant, too_sparse and
     duplicate_of_j that holds; duplicates are sought among the others only, and the lowest sensor stays."""
@@ -31,7 +36,7 @@ def cleaner(readings: DataFrame, keys: list[str] = (), min_observed: float = 0.0
     s = signatures(readings, keys)
     early = F.when(F.col("observed") == 0, "all_missing").when(F.col("low") == F.col("high"), "constant").when(F.col("observed") / F.col("n") < min_observed, "too_sparse")
     s = s.withColumn("_early", early)
-    alike = Window.partitionBy(*keys, F.col("_early").isNull(), "_s1", "_s2")
+    alike = Window.partitionBy(*keys, F.col("_early").isNull(), *ALIKE)
     s = s.withColumn("_first", F.min("sensor_id").over(alike))
     reason = F.coalesce("_early", F.when(F.col("_first") < F.col("sensor_id"), F.concat(F.lit("duplicate_of_"), F.col("_first").cast("string"))))
     return s.select(*keys, "sensor_id", reason.alias("reason"))
@@ -52,7 +57,7 @@ def profile(readings: DataFrame) -> DataFrame:
     units = readings.groupBy("unit_id").agg(F.max("y").alias("y"), F.max(F.col("value").isNull().cast("int")).alias("gap"))
     u = units.agg(F.count("*").alias("n_units"), F.sum("y").cast("bigint").alias("n_fail"), F.sum("gap").cast("bigint").alias("rows_with_any_missing"))
     s = signatures(readings, []).withColumn("missing", (F.col("n") - F.col("observed")) / F.col("n"))
-    groups = s.groupBy("_s1", "_s2").agg(F.count("*").alias("c")).agg(F.count(F.when(F.col("c") > 1, 1)).alias("duplicate_groups"), F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c") - 1)), F.lit(0)).cast("bigint").alias("duplicate_sensors_removable"))
+    groups = s.groupBy(*ALIKE).agg(F.count("*").alias("c")).agg(F.count(F.when(F.col("c") > 1, 1)).alias("duplicate_groups"), F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c") - 1)), F.lit(0)).cast("bigint").alias("duplicate_sensors_removable"))
     n = lambda c: F.count(F.when(c, 1))
     a = s.agg(
         F.count("*").alias("n_sensors"), (F.sum(F.col("n") - F.col("observed")) / F.sum("n")).alias("missing_frac_overall"), n(F.col("missing") > 0).alias("sensors_any_missing"), n(F.col("missing") > 0.2).alias("sensors_over_20"),

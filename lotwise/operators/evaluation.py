@@ -58,15 +58,17 @@ def summary(recs: DataFrame, folds: list[str], metric: str = "auc") -> DataFrame
 
 
 def paired(recs: DataFrame, folds: list[str], metric: str = "auc") -> DataFrame:
-    """(arm, other, n, mean, sd, low, high, wins, losses, t, w) of metric(arm) - metric(other), all ordered pairs."""
+    """(arm, other, n, mean, sd, low, high, wins, losses, t, p_t, w, p_w) of metric(arm) - metric(other), all ordered
+    pairs; the p-values of the paired t test and of Wilcoxon's are null where no difference is other than 0."""
     c = common_folds(recs, folds)
     b = c.select(*folds, F.col("arm").alias("other"), F.col(metric).alias("_m"))
     d = c.join(b, folds).filter("arm <> other").withColumn("d", F.round(F.col(metric) - F.col("_m"), 12))
     ci = kernels.mean_ci(d, ["arm", "other"], "d")
     wins = d.groupBy("arm", "other").agg(F.count(F.when(F.col("d") > 0, 1)).alias("wins"), F.count(F.when(F.col("d") < 0, 1)).alias("losses"))
-    w = kernels.wilcoxon(d, ["arm", "other"], "d", "fold").select("arm", "other", "w")
+    w = kernels.wilcoxon(d, ["arm", "other"], "d", "fold").select("arm", "other", "w", F.col("p").alias("p_w"))
     out = ci.join(wins, ["arm", "other"]).join(w, ["arm", "other"], "left")
-    return out.withColumn("t", F.try_divide(F.col("mean"), F.col("sd") / F.sqrt("n")))
+    out = out.withColumn("t", F.try_divide(F.col("mean"), F.col("sd") / F.sqrt("n")))
+    return out.withColumn("p_t", F.when(F.col("w").isNotNull(), kernels.t_tails(F.col("t"), F.col("n") - 1)))
 
 
 def slope(recs: DataFrame, x: str, y: str) -> DataFrame:

@@ -2,33 +2,67 @@
 
 from __future__ import annotations
 
-import tempfile
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def moments(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a, b, n, sums and ranges) partly added up: each task holds some units as a dense matrix and multiplies it with itself, so
+    that a unit's pairs of sensors never become rows. Units that lack a sensor are counted without it."""
+    own = [x for x in cells.schema.fields if x.name in keys]
+
+    def run(batches):
+        for table in batches:
+            rows = table.to_pylist()
+            groups: dict[tuple, list] = {}
+            for r in rows:
+                groups.setdefault(tuple(r[k] for k in keys), []).append(r["c"])
+            for key, units in groups.items():
+                sensors = np.unique([x["sensor_id"] for u in units for x in u])
+                x, there = np.zeros((len(units), len(sensors))), np.zeros((len(units), len(sensors)))
+                for i, u in enumerate(units):
+                    at = np.searchsorted(sensors, [c["sensor_id"] for c in u])
+                    x[i, at], there[i, at] = [c["value"] for c in u], 1.0
+                i, j = np.triu_indices(len(sensors), 1)
+                n, sx, sxz, sxx = there.T @ there, x.T @ there, x.T @ x, (x * x).T @ there
+                out = {"a": sensors[i], "b": sensors[j], "n": n[i, j].astype(np.int64), "sx": sx[i, j], "sz": sx[j, i], "sxz": sxz[i, j], "sxx": sxx[i, j], "szz": sxx[j, i]}
+                low, high = (np.where(there > 0, x, s * np.inf) for s in (1, -1))
+                out |= {"lx": low.min(0)[i], "hx": high.max(0)[i], "lz": low.min(0)[j], "hz": high.max(0)[j]}
+                yield pa.RecordBatch.from_pydict({**{k: [v] * len(i) for k, v in zip(keys, key, strict=True)}, **out}, schema)
+
+    kinds = [("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64()), *[(c, pa.float64()) for c in ("sx", "sz", "sxz", "sxx", "szz", "lx", "hx", "lz", "hz")]]
+    schema = pa.schema([*((x.name, {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[x.dataType.simpleString()]) for x in own), *kinds])
+    spark_schema = ", ".join([f"{x.name} {x.dataType.simpleString()}" for x in own] + ["a int, b int, n bigint"] + [f"{c} double" for c in ("sx", "sz", "sxz", "sxx", "szz", "lx", "hx", "lz", "hz")])
+    return cells.select(*keys, "c").mapInArrow(run, spark_schema)
+
+
 def pearson(readings: DataFrame, keys: list[str] = ()) -> DataFrame:
     """(keys, a, b, r) of each pair a < b of sensors over imputed values; 0 where a sensor is constant.
 
-    One join of a unit's sensors with each other, whose products are added up before any shuffle of pairs.
+    Values are taken less their sensor's mean, as sums of squares of large values lose their digits.
     """
     keys = list(keys)
-    cells = readings.groupBy(*keys, "unit_id").agg(F.sort_array(F.collect_list(F.struct("sensor_id", "value"))).alias("c"))
-    pairs = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda z: F.struct(x["sensor_id"].alias("a"), z["sensor_id"].alias("b"), (x["value"] * z["value"]).alias("ab"), x["value"].alias("x"), z["value"].alias("z")))))
-    p = cells.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*")
-    m = p.groupBy(*keys, "a", "b").agg(F.count("*").alias("n"), F.sum("ab").alias("sxz"), F.sum("x").alias("sx"), F.sum("z").alias("sz"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("z") * F.col("z")).alias("szz"), (F.min("x") == F.max("x")).alias("cx"), (F.min("z") == F.max("z")).alias("cz"))
+    mean = readings.groupBy(*keys, "sensor_id").agg(F.avg("value").alias("_m"), (F.min("value") == F.max("value")).alias("_c"))
+    centred = readings.join(mean, [*keys, "sensor_id"]).withColumn("value", F.when(F.col("_c"), 0.0).otherwise(F.col("value") - F.col("_m")))
+    cells = centred.groupBy(*keys, "unit_id").agg(F.collect_list(F.struct(F.col("sensor_id").cast("int").alias("sensor_id"), "value")).alias("c"))
+    sums = ("n", "sx", "sz", "sxz", "sxx", "szz")
+    m = moments(cells, keys).groupBy(*keys, "a", "b").agg(*[F.sum(c).alias(c) for c in sums], (F.min("lx") == F.max("hx")).alias("cx"), (F.min("lz") == F.max("hz")).alias("cz"))
     cov = F.col("n") * F.col("sxz") - F.col("sx") * F.col("sz")
     var = (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("szz") - F.col("sz") * F.col("sz"))
     r = F.when(F.col("cx") | F.col("cz"), 0.0).otherwise(F.coalesce(F.try_divide(cov, F.sqrt(F.greatest(var, F.lit(0.0)))), F.lit(0.0)))
-    return m.select(*keys, "a", "b", r.alias("r"))
+    return m.filter("n > 0").select(*keys, "a", "b", r.alias("r"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in spark.checkpoint.dir, or in a folder of our own where that is unset."""
+    """df with its lineage cut, in the folder that spark.checkpoint.dir names."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lotwise-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 

@@ -7,6 +7,9 @@ need no repeated rows.
 
 from __future__ import annotations
 
+import math
+import statistics
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,8 +110,15 @@ def kolmogorov(t: Column) -> Column:
 
 
 def chi2_tail(x: Column, df: int) -> Column:
-    """P(X > x) for an even number of degrees of freedom, in closed form."""
-    assert df % 2 == 0 and df > 0
+    """P(X > x), in closed form; for an odd number of degrees of freedom with the tail of the normal distribution."""
+    if df <= 0:
+        raise ValueError(f"{df} degrees of freedom")
+    if df % 2:
+        term, total = F.sqrt(x / F.lit(2.0)) / F.lit(math.gamma(1.5)), F.lit(0.0)
+        for i in range(1, (df - 1) // 2 + 1):
+            total = total + term
+            term = term * x / F.lit(2.0 * i + 1)
+        return F.lit(2.0) * normal_tail(F.sqrt(x)) + F.exp(-x / F.lit(2.0)) * total
     term, total = F.lit(1.0), F.lit(1.0)
     for i in range(1, df // 2):
         term = term * x / F.lit(2.0 * i)
@@ -126,6 +136,30 @@ def chi2_homogeneity(counts: DataFrame, block: str, p: str, n: str) -> DataFrame
     return j.agg(F.sum(part).alias("chi2"), (F.max("_k") - 1).alias("df"))
 
 
+def t_tails(t: Column, df: Column) -> Column:
+    """P(|T| > |t|) of Student's t for whole degrees of freedom, by its finite sums for odd and even ones."""
+    a = F.atan(F.abs(t) / F.sqrt(df))
+    c2 = F.cos(a) * F.cos(a)
+    state = lambda total, term: F.struct(total.alias("total"), term.alias("term"))
+
+    def step(odd: int):
+        def add(s, i):
+            over = F.lit(2.0) * i / (F.lit(2.0) * i + 1) if odd else (F.lit(2.0) * i - 1) / (F.lit(2.0) * i)
+            return state(s["total"] + s["term"], s["term"] * c2 * over)
+
+        terms = F.floor((df - 1) / 2) if odd else F.floor(df / 2)
+        steps = F.when(terms >= 1, F.sequence(F.lit(1), F.greatest(terms, F.lit(1)).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, state(F.lit(0.0), F.lit(1.0)), add, lambda s: s["total"])
+
+    inside = F.when(df % 2 == 1, (a + F.sin(a) * F.cos(a) * step(1)) * F.lit(2 / math.pi)).otherwise(F.sin(a) * step(0))
+    return F.when(df >= 1, F.greatest(F.lit(0.0), F.lit(1.0) - inside))
+
+
+def normal_quantile(p: float) -> float:
+    """The normal quantile, for parameters rather than columns."""
+    return statistics.NormalDist().inv_cdf(p)
+
+
 def t_quantile(df: Column) -> Column:
     """97.5 % quantile of Student's t for 1 or more degrees of freedom: exact for 1 and 2, else refined from the
     normal quantile by Hill's expansion; within 1e-4 from 3 on, where a table of it is looked up."""
@@ -195,12 +229,17 @@ def normal_tail(z: Column) -> Column:
 
 
 def wilcoxon(df: DataFrame, keys: list[str], d: str, tie: str) -> DataFrame:
-    """(keys, n, w): signed-rank sum of the positive differences, zeros left out, ties by mean rank."""
+    """(keys, n, w, p): signed-rank sum of the positive differences, zeros left out, ties by mean rank; p is two-sided,
+    normal with the correction for ties."""
     own = df.filter((F.col(d) != 0) & F.col(d).isNotNull()).withColumn("_a", F.abs(d))
     v = own.groupBy(*keys, "_a").agg(F.count("*").alias("_c"), F.sum((F.col(d) > 0).cast("int")).alias("_pos"))
     r = running(v, keys, value_bucket(F.col("_a")), ["_a"], {"_cum": F.col("_c")})
     rank = F.col("_cum") - (F.col("_c") - 1) / F.lit(2.0)
-    return r.groupBy(*keys).agg(F.sum("_c").alias("n"), F.sum(rank * F.col("_pos")).alias("w"))
+    c = F.col("_c").cast("double")
+    out = r.groupBy(*keys).agg(F.sum("_c").alias("n"), F.sum(rank * F.col("_pos")).alias("w"), F.sum(c * c * c - c).alias("_t"))
+    n = F.col("n").cast("double")
+    z = F.try_divide(F.abs(F.col("w") - n * (n + 1) / 4), F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_t") / 48))
+    return out.withColumn("p", F.least(F.lit(1.0), F.lit(2.0) * normal_tail(z))).drop("_t")
 
 
 def concordant(df: DataFrame, keys: list[str], item: str, x: str, y: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,8 +84,8 @@ def gated(associated: DataFrame, invariant: DataFrame, alpha: float) -> DataFram
     return a.join(second, "sensor_id", "left").withColumn("invariant", F.col("associated") & (F.coalesce("p_inv", F.lit(1.0)) >= alpha))
 
 
-# sqrt(2) times the normal quantile of 0.5 + delta, the shift that gives an AUC of 0.5 + delta.
-SHIFTS = {0.05: 0.17771223, 0.10: 0.35828697, 0.15: 0.54492419, 0.20: 0.74161434, 0.25: 0.95387255}
+#: The shift of failing units that gives an AUC of 0.5 + delta, for AUCs from 0.501 to 0.999.
+SHIFTS = {d: round(math.sqrt(2) * kernels.normal_quantile(min(max(0.5 + d, 0.501), 0.999)), 8) for d in (0.05, 0.10, 0.15, 0.20, 0.25)}
 
 
 def power_ladder(units: DataFrame, k: int, n_perms: int, shifts: dict[float, float] = SHIFTS) -> DataFrame:

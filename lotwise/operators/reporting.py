@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed values of the report's format.
 BEGIN, END = "<!-- BEGIN:{} -->", "<!-- END:{} -->"
 
 
@@ -65,7 +66,8 @@ def numbers(documents: DataFrame, key: str, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     for pattern in (FENCE, DATE, NAME):
         t = F.regexp_replace(t, pattern, " ")
-    t = F.regexp_replace(t, GROUPED, "$1$2")
+    for _ in range(2):  # a match takes the digits around its comma, so that each second comma is left for another pass
+        t = F.regexp_replace(t, GROUPED, "$1$2")
     return documents.select(key, F.explode(F.regexp_extract_all(t, F.lit(NUMBER), 0)).alias("number"))
 
 

@@ -42,6 +42,30 @@ def bootstrap(units: DataFrame, n_reps: int, least: int = 5, seed: str = "boot")
     return mult.join(F.broadcast(good), "rep", "left_semi")
 
 
+def bootstrap_redrawn(units: DataFrame, n_reps: int, least: int = 5, seed: str = "boot") -> DataFrame:
+    """bootstrap() with exactly n_reps repetitions: one with too few positives is drawn again. The draws are numbered on
+    and the first n_reps that have enough are taken, so that it doesn't matter how many are made at a time. Too few
+    positives among the units themselves raise an error."""
+    if not units.filter("y = 1").head(1) and least > 0:
+        raise ValueError("no positives to draw")
+    tried = n_reps
+    while True:
+        drawn = bootstrap(units, tried, least, seed)
+        good = [r[0] for r in drawn.select("rep").distinct().orderBy("rep").limit(n_reps).collect()]
+        if len(good) == n_reps:
+            number = F.create_map(*[F.lit(x) for i, rep in enumerate(good) for x in (rep, i)])
+            return drawn.filter(F.col("rep") <= good[-1]).withColumn("rep", number[F.col("rep")])
+        if tried > 64 * n_reps + 1024:
+            raise ValueError(f"hardly any draw has {least} positives")
+        tried *= 2
+
+
+def fold_replicates(units: DataFrame, k: int = 5, n_reps: int = 5, seed: str = "fold") -> DataFrame:
+    """(rep, unit_id, y, mult): the training side of each fold of each repetition as a replicate, numbered from 0."""
+    folds = stratified_folds(units, k, n_reps, seed).withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).filter("fold <> out")
+    return folds.select((F.col("rep") * k + F.col("out")).cast("int").alias("rep"), "unit_id", "y", F.lit(1).cast("long").alias("mult"))
+
+
 def permuted_labels(units: DataFrame, n_reps: int, seed: str = "perm") -> DataFrame:
     """(rep, unit_id, y): labels shuffled over the units in each repetition; class counts stay."""
     here = shuffled(units.select("unit_id", "y"), [], digest("order", F.col("unit_id")))

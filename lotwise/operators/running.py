@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def value_bucket(value: Column, buckets: int = 1024) -> Column:
-    """A bucket of a number that needs no knowledge of its distribution: the arc tangent, cut evenly."""
-    return F.floor((F.atan(value) + F.lit(1.5707963267948966)) * F.lit(buckets / 3.141592653589793)).cast("int")
+def value_bucket(value: Column, per_octave: int = 64) -> Column:
+    """A bucket of a number that needs no knowledge of its distribution: its sign and its logarithm, in steps of a
+    64th of an octave (1 %), so that small shares, prices, times and ids all spread over many buckets."""
+    size = F.floor(F.least(F.log2(F.abs(value)), F.lit(1100.0)) * per_octave).cast("int") + 1100 * per_octave
+    return F.when(value > 0, size).when(value < 0, -size).when(value == 0, 0).otherwise(1 << 20)
 
 
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list, sums: dict[str, Column]) -> DataFrame:

@@ -97,7 +97,7 @@ def report_table(spark, d):
     return c.select("arm", reporting.interval(m, lo, hi, True).alias("auc"), reporting.verdict(lo - 0.5, hi - 0.5).alias("than_chance"))
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '```[^`]*```', ' ', 'g'), '[0-9]{4}-[0-9]{2}-[0-9]{2}', ' ', 'g'), '[A-Za-z_]+[0-9]+[A-Za-z_0-9]*', ' ', 'g'), '([0-9]),([0-9]{3})', '\\1\\2', 'g') AS t FROM documents),
+@query("""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '```[^`]*```', ' ', 'g'), '[0-9]{4}-[0-9]{2}-[0-9]{2}', ' ', 'g'), '[A-Za-z_]+[0-9]+[A-Za-z_0-9]*', ' ', 'g'), '([0-9]),([0-9]{3})', '\\1\\2', 'g'), '([0-9]),([0-9]{3})', '\\1\\2', 'g') AS t FROM documents),
 n AS (SELECT doc_id, unnest(regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)?')) AS number FROM t), c AS (SELECT DISTINCT CAST(n_chars AS VARCHAR) AS number FROM documents)
 SELECT doc_id, number, count(*) AS times FROM n WHERE number NOT IN (SELECT number FROM c) GROUP BY doc_id, number""")
 def number_provenance(spark, d):
