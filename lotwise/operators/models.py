@@ -7,6 +7,7 @@ taken from training rows alone. Weights balance the classes: n / (2 n_class).
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,6 +18,15 @@ from lotwise.operators import cleaning, kernels, resampling
 from lotwise.operators.graph import checkpointed
 
 
+FITS_AT_ONCE = 4
+
+
+def side_by_side(work: Callable, items: list) -> list:
+    """work(item) of each item, some at a time: their Spark jobs share the cluster."""
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return list(pool.map(work, items))
+
+
 def vectors(readings: DataFrame, sensors: list[int]) -> DataFrame:
     """(unit_id, y, features): the values of ``sensors`` in that order; they must be imputed."""
     own = readings.filter(F.col("sensor_id").isin(sensors)).groupBy("unit_id", "y").agg(F.map_from_entries(F.collect_list(F.struct("sensor_id", "value"))).alias("m"))
@@ -53,10 +63,11 @@ def fit(readings: DataFrame, estimator, sensors: list[int] | None = None, mean_f
     """Cleans nothing, imputes by training medians (means for the plain path), scales, weighs and fits."""
     sensors = sensors or [r[0] for r in readings.select("sensor_id").distinct().orderBy("sensor_id").collect()]
     own = readings.filter(F.col("sensor_id").isin(sensors))
-    med = (own.groupBy("sensor_id").agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("med")) if mean_fill else cleaning.medians(own)).cache()
+    med = (own.groupBy("sensor_id").agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("med")) if mean_fill else cleaning.medians(own))
     filled = cleaning.impute(own, med)
     scale = filled.groupBy("sensor_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    how = med.join(scale, "sensor_id").select("sensor_id", "med", "m", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias("s")).cache()
+    how = med.join(scale, "sensor_id").select("sensor_id", "med", "m", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias("s"))
+    how = checkpointed(how)  # a row a sensor
     rows = balanced(Fitted(None, sensors, how).prepared(own)).cache()
     try:
         return Fitted(estimator(rows.count()).fit(rows), sensors, how)
@@ -77,15 +88,56 @@ def forest(trees: int = 50, leaf: int = 5, seed: int = 0) -> Callable:
     return lambda n: RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight", numTrees=trees, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", maxDepth=12, seed=seed)
 
 
-def boosted(rounds: int = 40, seed: int = 0) -> Callable:
-    return lambda n: GBTClassifier(featuresCol="features", labelCol="y", weightCol="weight", maxIter=rounds, stepSize=0.05, maxDepth=4, minInstancesPerNode=20, seed=seed)
+def boosted(rounds: int = 40, rate: float = 0.05, depth: int = 4, seed: int = 0) -> Callable:
+    return lambda n: GBTClassifier(featuresCol="features", labelCol="y", weightCol="weight", maxIter=rounds, stepSize=rate, maxDepth=depth, minInstancesPerNode=20, seed=seed)
 
 
-# The grid of the tuned forest.
+# The grids of the tuned models.
+LOGISTICS: dict[str, Callable] = {f"c_{c}": logistic(c) for c in (0.003, 0.03, 0.3)}
+BOOSTED: dict[str, Callable] = {f"rate_{rate}_depth_{depth}": boosted(200, rate, depth) for rate in (0.03, 0.05, 0.1) for depth in (3, 4, 5)}
 FORESTS: dict[str, Callable] = {f"leaf_{leaf}": forest(500, leaf) for leaf in (1, 5, 10)}
 BASES: dict[str, Callable[[], Callable]] = {"logreg": logistic, "rf": forest, "hgb": boosted}
 
 
+INDICATORS = 1 << 24
+
+
+def with_indicators(readings: DataFrame, train: DataFrame, min_frac: float = 0.01) -> DataFrame:
+    """readings and, as sensors INDICATORS + sensor_id, whether a reading is missing, for each sensor of which train
+    rows miss at least min_frac."""
+    share = train.groupBy("sensor_id").agg(F.avg(F.col("value").isNull().cast("double")).alias("_f")).filter(F.col("_f") >= min_frac).select("sensor_id")
+    own = readings.join(F.broadcast(share), "sensor_id", "left_semi")
+    marks = own.withColumn("sensor_id", F.col("sensor_id") + INDICATORS).withColumn("value", F.col("value").isNull().cast("double"))
+    return readings.unionByName(marks.select(*readings.columns))
+
+
+# Arms: each fits training readings and gives a scorer of readings, (unit_id, y, s).
+def plain_arm(estimator: Callable):
+    return lambda train: fit(train, estimator).score
+
+
+def tuned_arm(grid: dict[str, Callable]):
+    return lambda train: tuned(train, grid)[1].score
+
+
+def indicator_arm(estimator: Callable):
+    def make(train: DataFrame):
+        made = fit(with_indicators(train, train), estimator)
+        return lambda rows: made.score(with_indicators(rows, train))
+
+    return make
+
+
+def selected_arm(estimator: Callable, k: int = 25):
+    """A model on the k best sensors by |AUC - 0.5| of the training rows."""
+
+    def make(train: DataFrame):
+        best = sorted(r["sensor_id"] for r in cleaning.univariate_top(train, k).collect())
+        return fit(train, estimator, best).score
+
+    return make
+
+
 def majority(readings: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """A scorer with the training rate of failures for every unit: its AUC is one half."""
     rate = readings.select("unit_id", "y").distinct().agg(F.avg("y").alias("s"))
@@ -142,15 +194,56 @@ def permutation_importance(readings: DataFrame, estimator, sensors: list[int], n
 
 def tuned(readings: DataFrame, grid: dict[str, Callable], k: int = 3, seed: str = "tune") -> tuple[str, Fitted, dict[str, float]]:
     """The best of named estimators by mean AUC over k inner stratified folds, refitted on all rows."""
-    folds = resampling.stratified_folds(readings.select("unit_id", "y").distinct(), k, 1, seed).select("unit_id", "fold")
-    mean = {}
-    for name, estimator in grid.items():
-        aucs = [auc_of(fit(readings.join(folds.filter(F.col("fold") != f), "unit_id", "left_semi"), estimator).score(readings.join(folds.filter(F.col("fold") == f), "unit_id", "left_semi"))) for f in range(k)]
-        mean[name] = sum(aucs) / k
+    folds = checkpointed(resampling.stratified_folds(readings.select("unit_id", "y").distinct(), k, 1, seed).select("unit_id", "fold"))
+
+    def held_out(at: tuple[str, int]) -> float:
+        name, f = at
+        made = fit(readings.join(folds.filter(F.col("fold") != f), "unit_id", "left_semi"), grid[name])
+        return auc_of(made.score(readings.join(folds.filter(F.col("fold") == f), "unit_id", "left_semi")))
+
+    each = [(name, f) for name in grid for f in range(k)]
+    found = dict(zip(each, side_by_side(held_out, each), strict=True))
+    mean = {name: sum(found[name, f] for f in range(k)) / k for name in grid}
     best = max(sorted(mean), key=mean.__getitem__)
     return best, fit(readings, grid[best]), mean
 
 
+def arms() -> dict[str, Callable]:
+    """The named arms without the loop."""
+    return {
+        "majority": majority, "logreg": plain_arm(logistic()), "logreg_missind": indicator_arm(logistic()), "logreg_all": tuned_arm(LOGISTICS), "hgb": plain_arm(boosted()), "hgb_all": tuned_arm(BOOSTED),
+        "rf": plain_arm(forest()), "rf_all": tuned_arm(FORESTS), "univar_top25_rf": selected_arm(forest()),
+    }
+
+
+def cross_validated(readings: DataFrame, roles: DataFrame, made: dict[str, Callable], keys: list[str]) -> DataFrame:
+    """(arm, keys, unit_id, y, s): the test rows of each split in roles(keys, unit_id, role), scored by each arm that was
+    fitted, cleaned and tuned on the split's training rows alone. All arms see the same splits; splits run side by side.
+    """
+    roles = checkpointed(roles.select(*keys, "unit_id", "role"))
+    splits = [tuple(r) for r in roles.select(*keys).distinct().orderBy(*keys).collect()]
+
+    def scored(split: tuple) -> DataFrame:
+        here = roles
+        for name, value in zip(keys, split, strict=True):
+            here = here.filter(F.col(name) == value)
+        train = readings.join(here.filter("role = 'train'").select("unit_id"), "unit_id", "left_semi")
+        reasons = checkpointed(cleaning.cleaner(train))
+        train = checkpointed(cleaning.kept_readings(train, reasons))
+        test = checkpointed(cleaning.kept_readings(readings.join(here.filter("role = 'test'").select("unit_id"), "unit_id", "left_semi"), reasons))
+        out = None
+        for name, make in made.items():
+            rows = make(train)(test).select(F.lit(name).alias("arm"), *[F.lit(v).alias(k) for k, v in zip(keys, split, strict=True)], "unit_id", "y", F.round("s", 9).alias("s"))
+            out = rows if out is None else out.unionByName(rows)
+        return checkpointed(out)
+
+    parts = side_by_side(scored, splits)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def held_out_aucs(readings: DataFrame, grid: dict[str, Callable], k: int, n_reps: int, seed: str = "fold") -> list[float]:
     """The AUC of each of k stratified folds in each of n_reps repetitions, so that every unit is scored held out once a
     repetition; cleaning and tuning see the other folds only."""
@@ -164,3 +257,17 @@ def held_out_aucs(readings: DataFrame, grid: dict[str, Callable], k: int, n_reps
             _, made, _ = tuned(train, grid)
             out.append(auc_of(made.score(readings.join(here.filter(F.col("fold") == f), "unit_id", "left_semi"))))
     return out
+
+
+def cv_auc(readings: DataFrame, estimator: Callable, k: int = 5, seed: str = "fold") -> list[float]:
+    """The AUC of each stratified fold under a plain fit; folds with fewer than two failures in training or none in the
+    test are left out."""
+    folds = checkpointed(resampling.stratified_folds(readings.select("unit_id", "y").distinct(), k, 1, seed))
+    n = {r["fold"]: r["n"] for r in folds.groupBy("fold").agg(F.sum("y").alias("n")).collect()}
+    good = [f for f in n if n[f] >= 1 and sum(n.values()) - n[f] >= 2]
+
+    def one(f: int) -> float:
+        train = readings.join(folds.filter(F.col("fold") != f), "unit_id", "left_semi")
+        return auc_of(fit(train, estimator, mean_fill=True).score(readings.join(folds.filter(F.col("fold") == f), "unit_id", "left_semi")))
+
+    return side_by_side(one, sorted(good))

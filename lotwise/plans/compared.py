@@ -158,7 +158,7 @@ def tuned_forest(spark, d):
 @query()
 def agent_loop(spark, d):
     rep = loop.run(checkpointed(adapters.embedding_readings(spark, d)))
-    return spark.createDataFrame([(s, rep.importance[s], rep.stability.get(s), s in rep.selected, s in rep.reported) for s in rep.ranking()], "sensor_id int, importance double, stability double, selected boolean, reported boolean")
+    return spark.createDataFrame([(v["sensor_id"], v["importance"], v["stability"], v["selected"], v["reported"]) for v in rep.verdicts], "sensor_id int, importance double, stability double, selected boolean, reported boolean")
 
 
 @query()
