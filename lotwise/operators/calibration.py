@@ -33,6 +33,31 @@ def maxima(supports: DataFrame) -> DataFrame:
     return supports.groupBy("world", "permuted").agg(F.max("support").alias("max_support"), F.count(F.when(F.col("support") >= 0.5, 1)).alias("n_half"))
 
 
+def null_records(supports: DataFrame, stability_min: float, tau: float) -> DataFrame:
+    """(world, permuted, n_merit, fallback_fired, n_reported, max_stability) of each world: how many sensors are stable
+    on their merit, whether none is so that a fallback had to select, and how many a threshold tau reports."""
+    n = lambda at: F.count(F.when(F.col("support") >= at - 1e-12, 1))
+    out = supports.groupBy("world", "permuted").agg(n(stability_min).alias("n_merit"), n(tau).alias("n_reported"), F.max("support").alias("max_stability"))
+    return out.withColumn("fallback_fired", F.col("n_merit") == 0)
+
+
+def ladder(supports: DataFrame, variant: str, alpha: float) -> DataFrame:
+    """(variant, tau, control, real, separation) of supports(variant, world, permuted, sensor_id, support): the share of
+    null worlds that a variant's own 1 - alpha threshold leaves silent, that of real worlds it doesn't, and their sum
+    less one."""
+    m = supports.groupBy(variant, "world", "permuted").agg(F.max("support").alias("max_support"))
+    own = m.filter("permuted").groupBy(variant).agg(F.percentile("max_support", 1 - alpha).alias("tau"))
+    silent = (F.col("max_support") < F.col("tau") - 1e-12).cast("double")
+    out = m.join(F.broadcast(own), variant).groupBy(variant, "tau").agg(F.avg(F.when(F.col("permuted"), silent)).alias("control"), F.avg(F.when(~F.col("permuted"), 1 - silent)).alias("real"))
+    return out.withColumn("separation", F.col("control") + F.col("real") - 1)
+
+
+def best_variants(rungs: DataFrame, variant: str) -> DataFrame:
+    """(separating, controlled): the variant that separates best and the one that controls best, ties by name."""
+    first = lambda c: F.min_by(variant, F.struct(-F.round(c, 12), F.col(variant)))
+    return rungs.agg(first("separation").alias("separating"), first("control").alias("controlled"))
+
+
 def taus(maxima_: DataFrame, alphas=ALPHAS) -> DataFrame:
     """(alpha, tau): the 1 - alpha quantile of the null worlds' maxima."""
     null = maxima_.filter("permuted")

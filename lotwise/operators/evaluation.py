@@ -83,6 +83,25 @@ def matched(arms: DataFrame, controls: DataFrame, size: str = "n_sensors") -> Da
     return j.groupBy("arm").agg(F.min_by("match", F.struct("gap", "match")).alias("match"), F.min("gap").alias("gap"))
 
 
+def sign_counts(recs: DataFrame, folds: list[str], control: DataFrame, metric: str = "auc") -> DataFrame:
+    """(arm, match, n, above, below, median) of each arm's metric less that of its control(arm, match), fold by fold."""
+    c = common_folds(recs, folds)
+    other = c.select(*folds, F.col("arm").alias("match"), F.col(metric).alias("_m"))
+    d = c.join(F.broadcast(control.select("arm", "match")), "arm").join(other, [*folds, "match"]).withColumn("d", F.round(F.col(metric) - F.col("_m"), 12))
+    n = lambda x: F.count(F.when(x, 1))
+    return d.groupBy("arm", "match").agg(F.count("*").alias("n"), n(F.col("d") > 0).alias("above"), n(F.col("d") < 0).alias("below"), F.median("d").alias("median"))
+
+
+def picks(recs: DataFrame, folds: list[str], metric: str = "auc") -> DataFrame:
+    """(arm, n_folds): in how many folds each arm is the best, ties by name."""
+    return best_arm(recs, folds, metric).groupBy("arm").agg(F.count("*").alias("n_folds"))
+
+
+def ledger(recs: DataFrame) -> DataFrame:
+    """(arm, n_folds, n_sensors, n_test, n_fail, auc, ap): means of each arm's records, the failures of all its tests."""
+    return recs.groupBy("arm").agg(F.count("*").alias("n_folds"), F.avg("n_sensors").alias("n_sensors"), F.sum("n_test").alias("n_test"), F.sum("n_fail").alias("n_fail"), F.avg("auc").alias("auc"), F.avg("ap").alias("ap"))
+
+
 def crosses_zero(low, high):
     return (low <= 0) & (high >= 0)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.hashing import digest, normal
@@ -84,6 +84,24 @@ def gated(associated: DataFrame, invariant: DataFrame, alpha: float) -> DataFram
     return a.join(second, "sensor_id", "left").withColumn("invariant", F.col("associated") & (F.coalesce("p_inv", F.lit(1.0)) >= alpha))
 
 
+def sensor_table(gate: DataFrame, selected: DataFrame, fold: str = "fold") -> DataFrame:
+    """gate's sensors with ``folds``, in how many folds selected(fold, sensor_id) has each; the order to show them in is
+    ``place``: most folds first, then the least p."""
+    n = selected.groupBy("sensor_id").agg(F.count_distinct(fold).alias("folds"))
+    out = gate.join(n, "sensor_id", "left").withColumn("folds", F.coalesce("folds", F.lit(0)))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("folds"), F.round("p_assoc", 12), "sensor_id")  # a row a sensor
+    return out.withColumn("place", F.row_number().over(order))
+
+
+def described(table: DataFrame, n_folds: int, k: int) -> DataFrame:
+    """(grp, n, n_associated, n_invariant) of groups of a sensor_table: the consensus (its first k), those in half of the
+    folds, in any fold, associated but in none, and all."""
+    groups = {"consensus": (F.col("place") <= k) & (F.col("folds") > 0), "half_of_folds": F.col("folds") >= n_folds / 2, "any_fold": F.col("folds") > 0, "associated_unselected": F.col("associated") & (F.col("folds") == 0), "all": F.lit(True)}
+    member = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in groups.items()])))
+    n = lambda c: F.count(F.when(c, 1))
+    return table.withColumn("grp", member).groupBy("grp").agg(F.count("*").alias("n"), n(F.col("associated")).alias("n_associated"), n(F.col("invariant")).alias("n_invariant"))
+
+
 #: The shift of failing units that gives an AUC of 0.5 + delta, for AUCs from 0.501 to 0.999.
 SHIFTS = {d: round(math.sqrt(2) * kernels.normal_quantile(min(max(0.5 + d, 0.501), 0.999)), 8) for d in (0.05, 0.10, 0.15, 0.20, 0.25)}
 

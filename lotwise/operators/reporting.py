@@ -42,6 +42,32 @@ def scorecard(df: DataFrame, value: str, target: float) -> DataFrame:
     return df.withColumn("met", F.col(value) >= target)
 
 
+def two_by_two(recs: DataFrame, row: str, column: str, value: str, rows: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(row, a column a level, difference): means of a 2 x 2 design, and under 'difference' what the row factor adds."""
+    a, b = columns
+    out = recs.groupBy(row).pivot(column, list(columns)).agg(F.avg(value)).withColumn("difference", F.col(b) - F.col(a))
+    at = lambda c, level: F.max(F.when(F.col(row) == level, F.col(c)))
+    last = out.agg(*[(at(c, rows[1]) - at(c, rows[0])).alias(c) for c in (*columns, "difference")]).select(F.lit("difference").alias(row), *columns, "difference")
+    return out.unionByName(last)
+
+
+def effect_rank(effects: DataFrame, name: str, effect: str, headline: str) -> DataFrame:
+    """(n, rank, headline, median): where the headline's magnitude stands among all effects, the largest first, and the
+    upper median of the magnitudes."""
+    size = F.round(F.abs(effect), 12)
+    head = effects.filter(F.col(name) == headline).select(size.alias("headline"))
+    s = effects.select(size.alias("_s")).crossJoin(F.broadcast(head))  # one row
+    out = s.agg(F.count("*").alias("n"), (F.count(F.when(F.col("_s") > F.col("headline"), 1)) + 1).alias("rank"), F.max("headline").alias("headline"), F.sort_array(F.collect_list("_s")).alias("_all"))
+    return out.select("n", "rank", "headline", F.element_at("_all", F.floor(F.col("n") / 2).cast("int") + 1).alias("median"))
+
+
+def checked_claims(claims: DataFrame, measured: DataFrame, digits: int = 3) -> DataFrame:
+    """(label, source, expected, value, ok) of claims(label, source, expected) against measured(source, value); a claim
+    whose source has no value doesn't hold."""
+    out = claims.join(measured, "source", "left")
+    return out.select("label", "source", "expected", "value", F.coalesce(F.round("expected", digits) == F.round("value", digits), F.lit(False)).alias("ok"))
+
+
 def inject(document: str, sections: dict[str, str]) -> str:
     """document with the text between each section's marks replaced; sections without marks are left out."""
     for name, text in sections.items():

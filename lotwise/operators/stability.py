@@ -58,6 +58,14 @@ def as_clusters(sets: DataFrame, clusters: DataFrame, rep: str = "rep") -> DataF
     return sets.join(F.broadcast(clusters), "sensor_id").select(rep, F.col("cluster_id").alias("sensor_id")).distinct()
 
 
+def family_verdict(a: DataFrame, b: DataFrame) -> str:
+    """What the numbers of groups in two rankers' sets, (rep, n) each, say: told apart if their means differ by more than
+    the standard error, or if both are constant and differ."""
+    x, y = (t.agg(F.avg("n"), F.coalesce(F.stddev_samp("n"), F.lit(0.0)), F.count("*")).first() for t in (a, b))
+    gap, error = x[0] - y[0], (x[1] ** 2 / x[2] + y[1] ** 2 / y[2]) ** 0.5
+    return "more" if gap > error else "fewer" if -gap > error else "not told apart"
+
+
 def jaccard(sets: DataFrame, rep: str = "rep", item: str = "sensor_id") -> DataFrame:
     """(n_pairs, mean): Jaccard similarity over the unordered pairs of non-empty sets."""
     size = sets.groupBy(rep).agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from lotwise.sources import adapters
 
 B, K, CLUSTER = 12, 5, 0.13
 NULL, REAL, VOTES, TOP = 12, 4, 6, 5
+DEPTHS = (1, 3, 5)
 
 
 def rankings(spark, d):
@@ -67,6 +68,16 @@ def families_in_top(spark, d):
     return f.agg(F.count("*").alias("c"), F.round(F.avg("n"), 9).alias("mean"), F.round(F.stddev_samp("n"), 9).alias("sd"), F.round(F.stddev_samp("n") / F.sqrt(F.count("*")), 9).alias("se"), F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("c", "n")
 
 
+def support_ladder(spark, d):
+    """supports() for several numbers of votes a replicate, under ``depth``, from one ranking."""
+    units, readings = adapters.embedding_units(spark, d), adapters.embedding_readings(spark, d)
+    parts = [calibration.worlds(units, readings, NULL, REAL, VOTES, k).withColumn("depth", F.lit(k)) for k in DEPTHS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return graph.checkpointed(out)
+
+
 def supports(spark, d):
     # A row a world and named sensor, used many times: the plan starts anew from here.
     return graph.checkpointed(calibration.worlds(adapters.embedding_units(spark, d), adapters.embedding_readings(spark, d), NULL, REAL, VOTES, TOP))

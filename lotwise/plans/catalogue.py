@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwise.plans import basics, calibrated, compared, timed  # noqa: F401  each registers its queries
+from lotwise.plans import basics, calibrated, compared, decided, timed  # noqa: F401  each registers its queries
 
 QUERIES: dict = basics.QUERIES
 ORACLES: dict[str, str] = basics.ORACLES
