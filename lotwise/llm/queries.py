@@ -10,49 +10,60 @@ from lotwise.llm.tables import read
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each time that the mixture takes a document of ``documents``, with its place among its source's blocks."""
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ``documents`` before and after repeated ones are dropped, with the digest of what stays."""
     documents = read(spark, sf_dir, "documents")
     state = linededup.line_state(documents)
     return linededup.without_repeated_lines(documents, state).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` before and after repeated spans of 50 words are removed, with the digest of what stays."""
     return substring.without_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of ``documents`` in which items of ``benchmark`` are found, copied or edited."""
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of ``documents`` within their language's threshold, the model trained on trusted ``labels``."""
     found = quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).filter("kept")
     return found.select("doc_id", "lang", "n_symbols", F.exp("score").alias("perplexity"), F.exp("threshold").alias("threshold"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of ``pages``, written to archives, read back and merged by URL key and time."""
     return warc.captures(read(spark, sf_dir, "pages")).drop("archive", "offset", "length", "url")
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document of ``documents`` with the size of its shingle set and its component of near copies."""
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op7_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link between different shingle sets of ``documents``."""
     return jaccard.near_links(read(spark, sf_dir, "documents"))
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of each row of ``pages``."""
     return htmltext.visible_text(read(spark, sf_dir, "pages"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of each document of ``documents``."""
     return sharding.shards_of(read(spark, sf_dir, "documents"))
 
 
 def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of ``documents`` stored as TIFF, read back, with their features."""
     return tiff.stored_features(tiff.store_texts(read(spark, sf_dir, "documents")))
 
 
