@@ -157,6 +157,42 @@ def test_split_blocks_keep_sizes_that_link_together(spark, percent, sizes):
     assert {0, 1} in units.values()
 
 
+def all_in_unit(spark, seen, links):
+    """A link function for spanning: the edges of ``links`` within each unit, each read row noted in ``seen``."""
+
+    def link(units):
+        members = {}
+        for r in units.collect():
+            seen.append(r.node)
+            members.setdefault(r.unit, set()).add(r.node)
+        found = [(a, b) for own in members.values() for a in own for b in own if a < b and links(a, b)]
+        return spark.createDataFrame(found, "a long, b long")
+
+    return link
+
+
+def test_heavy_blocks_of_copies_are_not_copied_to_every_pair_of_parts(spark):
+    """300 near copies with 20 odd ones make 64 parts: each row goes to a few units, not to all 64 parts."""
+    rows = spark.createDataFrame([(1, node, 100) for node in range(320)], "block long, node long, size int")
+    seen = []
+    edges = jaccard.spanning(rows, "size", 1000, 80, all_in_unit(spark, seen, lambda a, b: b < 300))
+    root = {r.node: r.root for r in components(edges).collect()}
+    assert len(root) == 300 and len(set(root.values())) == 1
+    assert len(seen) < 2 * 320 * 20  # two size classes a row
+
+
+@pytest.mark.parametrize("modulus", [2, 7, 100])
+def test_heavy_blocks_span_their_components(spark, modulus):
+    rng = random.Random(modulus)
+    size = {node: rng.choice([100, 110, 130, 150]) for node in range(120)}
+    links = lambda a, b: a % modulus == b % modulus and 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b])
+    rows = spark.createDataFrame([(node % 2, node, n) for node, n in size.items()], "block long, node long, size int")
+    pairs = [(a, b) for a in size for b in size if a < b and a % 2 == b % 2 and links(a, b)]
+    want = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    edges = jaccard.spanning(rows, "size", 500, 80, all_in_unit(spark, [], links))
+    assert {r.node: r.root for r in components(edges).collect()} == want
+
+
 def test_links_of_odd_rows(spark):
     t = " ".join(f"w{i}" for i in range(60))
     got = jaccard.near_links(frame(spark, [(5, t), (6, t), (None, t + " a"), (7, t + " b"), (8, ""), (9, None)])).collect()
