@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import decontaminate, htmltext, jaccard, linededup, mixing, quality, sharding, substring, tiff, warc
+from lotwise.llm import decontaminate, htmltext, jaccard, linededup, mixing, periodic, quality, sharding, substring, tiff, warc
 from lotwise.llm.tables import read
 
 
@@ -67,9 +67,17 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_features(tiff.store_texts(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_line_dedup": op2_line_dedup, "op3_substring": op3_substring, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_warc": op6_warc, "op7_jaccard": op7_jaccard, "op7_links": op7_links, "op8_html": op8_html, "op9_sharding": op9_sharding, "op10_tiff": op10_tiff}
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in each text of ``documents``, a tenth of which get a periodic tail first."""
+    seed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return periodic.run_digests(periodic.periodic_runs(read(spark, sf_dir, "documents"), seed=seed))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_line_dedup": op2_line_dedup, "op3_substring": op3_substring, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_warc": op6_warc, "op7_jaccard": op7_jaccard, "op7_links": op7_links, "op8_html": op8_html, "op9_sharding": op9_sharding, "op10_tiff": op10_tiff, "op11_periodic": op11_periodic}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# The CRC-32 of a decimal doc_id, bit by bit.
+CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"
 ORACLES: dict[str, str] = {
     "op2_line_dedup": rf"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
@@ -105,5 +113,20 @@ comp AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
 SELECT n.doc_id, n.size AS n_shingles, coalesce(comp.component_id, n.doc_id) AS component_id, coalesce(class.class_id, n.doc_id) AS class_id
 FROM n LEFT JOIN class ON n.digest = class.digest AND n.size > 0 LEFT JOIN comp ON class.class_id = comp.node""",
 }
+ORACLES["op11_periodic"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {CRC32} AS h FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS k FROM d),
+e AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // k) END]) END AS w FROM g),
+x AS MATERIALIZED (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM e),
+m AS (SELECT y.doc_id, y.i, z.i - y.i AS q FROM x y JOIN x z ON y.doc_id = z.doc_id AND y.word = z.word WHERE z.i > y.i AND 2 * (z.i - y.i) <= y.n),
+o AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+c AS MATERIALIZED (SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM o GROUP BY doc_id, q, island HAVING count(*) >= greatest(q, 12 - q)),
+r AS MATERIALIZED (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c z WHERE z.doc_id = c.doc_id AND z.q < c.q AND z.start <= c.start AND z.start + z.length >= c.start + c.length)),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', q, chr(10)), '' ORDER BY start, q) AS lines FROM r GROUP BY doc_id),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, q) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM r),
+kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS text FROM x LEFT JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i WHERE gone.i IS NULL GROUP BY x.doc_id)
+SELECT e.doc_id, n AS n_words, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256, 1000 * length // q AS exponent_milli
+FROM e LEFT JOIN t ON t.doc_id = e.doc_id LEFT JOIN b ON b.doc_id = e.doc_id LEFT JOIN kept ON kept.doc_id = e.doc_id"""
 # The links from which the SQL of op7_jaccard makes its components.
 ORACLES["op7_links"] = ORACLES["op7_jaccard"].split("\nboth_ways AS")[0].rstrip(",") + "\nSELECT a, b FROM link"
