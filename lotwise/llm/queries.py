@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import decontaminate, htmltext, jaccard, linededup, mixing, periodic, quality, sharding, substring, tiff, warc
+from lotwise.llm import decontaminate, htmltext, jaccard, linededup, mixing, negatives, periodic, quality, sharding, substring, tiff, warc
 from lotwise.llm.tables import read
 
 
@@ -73,7 +73,14 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.periodic_runs(read(spark, sf_dir, "documents"), seed=seed))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_line_dedup": op2_line_dedup, "op3_substring": op3_substring, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_warc": op6_warc, "op7_jaccard": op7_jaccard, "op7_links": op7_links, "op8_html": op8_html, "op9_sharding": op9_sharding, "op10_tiff": op10_tiff, "op11_periodic": op11_periodic}
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the anchors of ``embeddings``, the rows whose vec_id is divisible by 100."""
+    rows = negatives.quantised(read(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_line_dedup": op2_line_dedup, "op3_substring": op3_substring, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_warc": op6_warc, "op7_jaccard": op7_jaccard, "op7_links": op7_links, "op8_html": op8_html, "op9_sharding": op9_sharding, "op10_tiff": op10_tiff, "op11_periodic": op11_periodic, "op12_negatives": op12_negatives}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # The CRC-32 of a decimal doc_id, bit by bit.
@@ -128,5 +135,12 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i F
 kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS text FROM x LEFT JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i WHERE gone.i IS NULL GROUP BY x.doc_id)
 SELECT e.doc_id, n AS n_words, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256, 1000 * length // q AS exponent_milli
 FROM e LEFT JOIN t ON t.doc_id = e.doc_id LEFT JOIN b ON b.doc_id = e.doc_id LEFT JOIN kept ON kept.doc_id = e.doc_id"""
+ORACLES["op12_negatives"] = """
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5"""
 # The links from which the SQL of op7_jaccard makes its components.
 ORACLES["op7_links"] = ORACLES["op7_jaccard"].split("\nboth_ways AS")[0].rstrip(",") + "\nSELECT a, b FROM link"
