@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import decontaminate, htmltext, jaccard, linededup, mixing, negatives, periodic, quality, sharding, substring, tiff, warc
+from lotwise.llm import brown, decontaminate, htmltext, jaccard, linededup, mixing, negatives, periodic, quality, sharding, substring, tiff, warc
 from lotwise.llm.tables import read
 
 
@@ -80,7 +80,13 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_line_dedup": op2_line_dedup, "op3_substring": op3_substring, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_warc": op6_warc, "op7_jaccard": op7_jaccard, "op7_links": op7_links, "op8_html": op8_html, "op9_sharding": op9_sharding, "op10_tiff": op10_tiff, "op11_periodic": op11_periodic, "op12_negatives": op12_negatives}
+def op13_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents`` by a class model that learns from four in five of them."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return brown.scored(read(spark, sf_dir, "documents").withColumn("held_out", held_out))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_line_dedup": op2_line_dedup, "op3_substring": op3_substring, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_warc": op6_warc, "op7_jaccard": op7_jaccard, "op7_links": op7_links, "op8_html": op8_html, "op9_sharding": op9_sharding, "op10_tiff": op10_tiff, "op11_periodic": op11_periodic, "op12_negatives": op12_negatives, "op13_brown": op13_brown}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # The CRC-32 of a decimal doc_id, bit by bit.
