@@ -1,273 +1,276 @@
-"""Fitted models over readings, by pyspark.ml: logistic regression, forests, boosted trees, and importances.
+"""Fitted models over readings: arms over folds, tuning, importances. The fits themselves run many at a time (fits.py).
 
-Models need dense rows, so that readings become a vector a unit just before a fit. What is filled in or scaled is
-taken from training rows alone. Weights balance the classes: n / (2 n_class).
+What is filled in, scaled or selected is taken from training rows alone. Weights balance the classes: n / (2 n_class).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.operators import cleaning, kernels, resampling
+from lotwise.functions.hashing import digest
+from lotwise.operators import cleaning, fits, kernels, resampling, trees
+from lotwise.operators.fits import Logistic, Majority, Plan
 from lotwise.operators.graph import checkpointed
+from lotwise.operators.running import shuffled
 
 
-FITS_AT_ONCE = 4
+def logistic(c: float = 0.03, least_missing: float | None = None) -> Logistic:
+    return Logistic(c, least_missing=least_missing)
 
 
-def side_by_side(work: Callable, items: list) -> list:
-    """work(item) of each item, some at a time: their Spark jobs share the cluster."""
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        return list(pool.map(work, items))
+def plain_logistic(l2: float = 1.0) -> Logistic:
+    return Logistic(1.0 / l2, mean_fill=True)
 
 
-def vectors(readings: DataFrame, sensors: list[int]) -> DataFrame:
-    """(unit_id, y, features): the values of ``sensors`` in that order; they must be imputed."""
-    own = readings.filter(F.col("sensor_id").isin(sensors)).groupBy("unit_id", "y").agg(F.map_from_entries(F.collect_list(F.struct("sensor_id", "value"))).alias("m"))
-    return own.select("unit_id", "y", array_to_vector(F.array(*[F.coalesce(F.col("m")[s], F.lit(0.0)) for s in sensors])).alias("features"))
+def forest(n: int = 500, leaf: int = 5, seed: int = 0) -> trees.Forest:
+    return trees.Forest(n, leaf, seed)
 
 
-def balanced(rows: DataFrame) -> DataFrame:
-    n = rows.groupBy("y").agg(F.count("*").alias("_c"))
-    total = rows.agg(F.count("*").alias("_n"))
-    return rows.join(F.broadcast(n.crossJoin(total).select("y", (F.col("_n") / (F.lit(2.0) * F.col("_c"))).alias("weight"))), "y")
-
-
-class Fitted:
-    """A model with what it takes to score readings: fill values, scales and sensors."""
-
-    def __init__(self, model, sensors: list[int], fit: DataFrame):
-        self.model, self.sensors, self.fit = model, sensors, fit
-
-    def prepared(self, readings: DataFrame) -> DataFrame:
-        filled = readings.join(F.broadcast(self.fit), "sensor_id").withColumn("value", (F.coalesce("value", "med") - F.col("m")) / F.col("s"))
-        return vectors(filled.select("unit_id", "y", "sensor_id", "value"), self.sensors)
-
-    def score(self, readings: DataFrame) -> DataFrame:
-        """(unit_id, y, s): probability of failure."""
-        return self.model.transform(self.prepared(readings)).select("unit_id", "y", vector_to_array("probability")[1].alias("s"))
-
-    def importance(self) -> dict[int, float]:
-        """|coefficient| or impurity importance of each sensor."""
-        raw = self.model.featureImportances.toArray() if hasattr(self.model, "featureImportances") else abs(self.model.coefficients.toArray())
-        return dict(zip(self.sensors, map(float, raw), strict=True))
-
-
-def fit(readings: DataFrame, estimator, sensors: list[int] | None = None, mean_fill: bool = False) -> Fitted:
-    """Cleans nothing, imputes by training medians (means for the plain path), scales, weighs and fits."""
-    sensors = sensors or [r[0] for r in readings.select("sensor_id").distinct().orderBy("sensor_id").collect()]
-    own = readings.filter(F.col("sensor_id").isin(sensors))
-    med = (own.groupBy("sensor_id").agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("med")) if mean_fill else cleaning.medians(own))
-    filled = cleaning.impute(own, med)
-    scale = filled.groupBy("sensor_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    how = med.join(scale, "sensor_id").select("sensor_id", "med", "m", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias("s"))
-    how = checkpointed(how)  # a row a sensor
-    rows = balanced(Fitted(None, sensors, how).prepared(own)).cache()
-    try:
-        return Fitted(estimator(rows.count()).fit(rows), sensors, how)
-    finally:
-        rows.unpersist()
-
-
-def logistic(c: float = 0.03) -> Callable:
-    """L2 logistic regression; with weights that add up to n the penalty is 1 / (C n)."""
-    return lambda n: LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=200)
-
-
-def plain_logistic(l2: float = 1.0) -> Callable:
-    return lambda n: LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=l2 / n, elasticNetParam=0.0, standardization=False, maxIter=200)
-
-
-def forest(trees: int = 50, leaf: int = 5, seed: int = 0) -> Callable:
-    return lambda n: RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight", numTrees=trees, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", maxDepth=12, seed=seed)
-
-
-def boosted(rounds: int = 40, rate: float = 0.05, depth: int = 4, seed: int = 0) -> Callable:
-    return lambda n: GBTClassifier(featuresCol="features", labelCol="y", weightCol="weight", maxIter=rounds, stepSize=rate, maxDepth=depth, minInstancesPerNode=20, seed=seed)
+def boosted(rounds: int = 200, rate: float = 0.05, leaves: int = 15) -> trees.Boosted:
+    return trees.Boosted(rounds, rate, leaves)
 
 
 # The grids of the tuned models.
-LOGISTICS: dict[str, Callable] = {f"c_{c}": logistic(c) for c in (0.003, 0.03, 0.3)}
-BOOSTED: dict[str, Callable] = {f"rate_{rate}_depth_{depth}": boosted(200, rate, depth) for rate in (0.03, 0.05, 0.1) for depth in (3, 4, 5)}
-FORESTS: dict[str, Callable] = {f"leaf_{leaf}": forest(500, leaf) for leaf in (1, 5, 10)}
-BASES: dict[str, Callable[[], Callable]] = {"logreg": logistic, "rf": forest, "hgb": boosted}
+LOGISTICS = {f"c_{c}": logistic(c) for c in (0.003, 0.03, 0.3)}
+BOOSTED = {f"rate_{rate}_leaves_{leaves}": boosted(200, rate, leaves) for rate in (0.03, 0.05, 0.1) for leaves in (7, 15, 31)}
+FORESTS = {f"leaf_{leaf}": forest(500, leaf) for leaf in (1, 5, 10)}
+BASES = {"logreg": logistic(), "logreg_missind": logistic(least_missing=0.01), "rf": forest(), "hgb": boosted()}
 
 
-INDICATORS = 1 << 24
+def together(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
-def with_indicators(readings: DataFrame, train: DataFrame, min_frac: float = 0.01) -> DataFrame:
-    """readings and, as sensors INDICATORS + sensor_id, whether a reading is missing, for each sensor of which train
-    rows miss at least min_frac."""
-    share = train.groupBy("sensor_id").agg(F.avg(F.col("value").isNull().cast("double")).alias("_f")).filter(F.col("_f") >= min_frac).select("sensor_id")
-    own = readings.join(F.broadcast(share), "sensor_id", "left_semi")
-    marks = own.withColumn("sensor_id", F.col("sensor_id") + INDICATORS).withColumn("value", F.col("value").isNull().cast("double"))
-    return readings.unionByName(marks.select(*readings.columns))
+def everyone(readings: DataFrame, train: bool = True) -> DataFrame:
+    """members of one fit on all units of readings."""
+    return readings.select("unit_id", "y").distinct().select(F.lit(0).alias("data"), "unit_id", "y", F.lit(1).alias("times"), F.lit(train).alias("train"))
 
 
-# Arms: each fits training readings and gives a scorer of readings, (unit_id, y, s).
-def plain_arm(estimator: Callable):
-    return lambda train: fit(train, estimator).score
+def sensors_of(readings: DataFrame) -> tuple[int, ...]:
+    return tuple(r[0] for r in readings.select("sensor_id").distinct().orderBy("sensor_id").collect())
 
 
-def tuned_arm(grid: dict[str, Callable]):
-    return lambda train: tuned(train, grid)[1].score
+def kept_sensors(readings: DataFrame, members: DataFrame, min_observed: float = 0.0) -> dict[int, tuple[int, ...]]:
+    """The sensors that the cleaner keeps of each data number's training rows."""
+    train = members.filter("train").select("data", "unit_id").distinct().join(readings.select("unit_id", "sensor_id", "value"), "unit_id")
+    out: dict[int, list[int]] = {r["data"]: [] for r in members.select("data").distinct().collect()}
+    for r in cleaning.cleaner(train, ["data"], min_observed).filter("reason is null").select("data", "sensor_id").collect():
+        out[r["data"]].append(r["sensor_id"])
+    return {d: tuple(sorted(s)) for d, s in out.items()}
 
 
-def indicator_arm(estimator: Callable):
-    def make(train: DataFrame):
-        made = fit(with_indicators(train, train), estimator)
-        return lambda rows: made.score(with_indicators(rows, train))
+def best_sensors(readings: DataFrame, members: DataFrame, kept: dict[int, tuple[int, ...]], k: int) -> dict[int, tuple[int, ...]]:
+    """The k of kept sensors with the best |AUC - 0.5| of each data number's training rows."""
+    spark = readings.sparkSession
+    some = spark.createDataFrame([(d, s) for d, own in kept.items() for s in own], "data int, sensor_id int")
+    train = members.filter("train").select("data", "unit_id", "y", "times").join(readings.select("unit_id", "sensor_id", "value"), "unit_id").join(F.broadcast(some), ["data", "sensor_id"])
+    out: dict[int, list[int]] = {d: [] for d in kept}
+    for r in cleaning.univariate_top(train, k, ["data"], weight="times").collect():
+        out[r["data"]].append(r["sensor_id"])
+    return {d: tuple(sorted(s)) for d, s in out.items()}
 
-    return make
 
+@dataclass
+class Model:
+    """A specification with its training rows. It is grown where it scores; the same rows make the same model."""
 
-def selected_arm(estimator: Callable, k: int = 25):
-    """A model on the k best sensors by |AUC - 0.5| of the training rows."""
+    spec: object
+    sensors: tuple[int, ...]
+    wide: DataFrame
+    members: DataFrame
 
-    def make(train: DataFrame):
-        best = sorted(r["sensor_id"] for r in cleaning.univariate_top(train, k).collect())
-        return fit(train, estimator, best).score
+    @property
+    def plans(self) -> dict[int, Plan]:
+        return {0: Plan(0, self.spec, self.sensors)}
 
-    return make
+    def score(self, readings: DataFrame) -> DataFrame:
+        """(unit_id, y, s): probability of failure."""
+        new = lambda df: df.withColumn("unit_id", F.struct(F.lit(True).alias("new"), F.col("unit_id").cast("string").alias("name")))
+        old = lambda df: df.withColumn("unit_id", F.struct(F.lit(False).alias("new"), F.col("unit_id").cast("string").alias("name")))
+        flat = lambda df: df.withColumn("unit_id", F.concat_ws(":", F.when(F.col("unit_id.new"), "+").otherwise("-"), "unit_id.name"))
+        rows = flat(old(self.wide).unionByName(new(fits.wide(readings))))
+        members = flat(old(self.members).unionByName(new(everyone(readings, False))))
+        kind = readings.schema["unit_id"].dataType
+        return fits.scores(rows, members, self.plans).select(F.substring("unit_id", 3, 1 << 20).cast(kind).alias("unit_id"), "y", "s")
+
+    def importance(self) -> dict[int, float]:
+        """|coefficient| or the share of what splits gain, a sensor."""
+        return {r["sensor_id"]: r["importance"] for r in fits.importances(self.wide, self.members, self.plans).collect()}
 
 
-def majority(readings: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A scorer with the training rate of failures for every unit: its AUC is one half."""
-    rate = readings.select("unit_id", "y").distinct().agg(F.avg("y").alias("s"))
-    return lambda rows: rows.select("unit_id", "y").distinct().crossJoin(F.broadcast(rate))
+def fit(readings: DataFrame, spec, sensors: list[int] | None = None) -> Model:
+    sensors = tuple(sensors) if sensors else sensors_of(readings)
+    own = readings.filter(F.col("sensor_id").isin(list(sensors)))
+    return Model(spec, sensors, checkpointed(fits.wide(own)), checkpointed(everyone(readings)))
 
 
-def ranking(spark, scores: dict[int, float], k: int | None = None) -> DataFrame:
+def ranking(spark, found: dict[int, float], k: int | None = None) -> DataFrame:
     """(sensor_id, score, rnk) of a fitted model's few sensors."""
-    order = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k]
+    order = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:k]
     return spark.createDataFrame([(s, v, i + 1) for i, (s, v) in enumerate(order)], "sensor_id int, score double, rnk int")
 
 
-def screen(readings: DataFrame, how: str, n_keep: int, base: str = "rf") -> dict[int, float]:
-    """The n_keep best sensors with their scores: 'univariate' by |AUC - 0.5|, 'multivariate' by an L2 logistic fit
-    with C = 0.05, 'model' by the base model's own importance."""
-    if how == "univariate":
-        return {r["sensor_id"]: r["score"] for r in cleaning.univariate_top(readings, n_keep).collect()}
-    made = fit(readings, logistic(0.05) if how == "multivariate" else BASES[base]())
-    return dict(sorted(made.importance().items(), key=lambda x: (-x[1], x[0]))[:n_keep])
+def auc_of(rows: DataFrame) -> float:
+    return kernels.roc_auc(rows, [], "s").first()["auc"]
 
 
-def auc_of(scores: DataFrame) -> float:
-    return kernels.roc_auc(scores, [], "s").first()["auc"]
+def split_members(members: DataFrame, n_splits: int, test_share: float, seed: str, most: int = 1 << 10) -> DataFrame:
+    """members of n_splits random splits of each data number's training rows, number data * most + split: of each class
+    the first test_share of a random order tests. A row that counts several times is dealt copy by copy."""
+    rows = members.filter("train").select("data", "unit_id", "y", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
+    rows = resampling.reps(rows, n_splits, "split").withColumn("name", F.concat_ws("#", "unit_id", "copy"))
+    rows = shuffled(rows, ["data", "split", "y"], digest(seed, F.col("data"), F.col("split"), F.col("name")), "name")
+    size = rows.groupBy("data", "split", "y").agg(F.count("*").alias("_n"))
+    rows = rows.join(size, ["data", "split", "y"]).withColumn("train", F.col("row") > F.round(F.col("_n") * test_share))
+    return rows.groupBy((F.col("data") * most + F.col("split")).cast("int").alias("data"), "unit_id", "y", "train").agg(F.count("*").cast("int").alias("times"))
 
 
-def permutation_importance(readings: DataFrame, estimator, sensors: list[int], n_splits: int = 3, n_repeats: int = 3, test_share: float = 0.3, seed: str = "importance", held_out: bool = True) -> dict[int, float]:
-    """Mean fall of AUC on held-out units when a sensor's values change places among them.
+def falls(wide: DataFrame, members: DataFrame, plans: dict[int, Plan], n_splits: int, n_repeats: int, test_share: float = 0.3, seed: str = "importance", held_out: bool = True) -> DataFrame:
+    """(fit, sensor_id, importance): the mean fall of AUC when a sensor's values change places among held-out rows.
 
-    A split fits once; all sensors and repetitions are one frame that the model scores in one job. Splits with fewer
-    than two failures on a side are left out. held_out=False measures on the training units themselves.
+    Splits with fewer than two failures on a side are left out; a fit without any other has importances of 0.
+    held_out=False measures on the training rows themselves.
     """
-    units = readings.select("unit_id", "y").distinct()
-    roles = checkpointed(resampling.shuffle_split(units, n_splits, test_share, seed))
-    total, used = dict.fromkeys(sensors, 0.0), 0
-    for split in range(n_splits if held_out else 1):
-        own = roles.filter(F.col("rep") == split).select("unit_id", "role")
-        train = readings.join(own.filter("role = 'train'"), "unit_id", "left_semi") if held_out else readings
-        test = readings.join(own.filter("role = 'test'"), "unit_id", "left_semi") if held_out else readings
-        if any(x.filter("y = 1").select("unit_id").distinct().limit(2).count() < 2 for x in (train, test)):
-            continue
-        made, used = fit(train, estimator, sensors), used + 1
-        rows = made.prepared(test).withColumn("f", vector_to_array("features")).select("unit_id", "y", "f")
-        rows = checkpointed(rows)
-        cells = rows.select("unit_id", F.posexplode("f").alias("j", "value"))
-        moved = resampling.permuted_column(cells.withColumnRenamed("j", "sensor_id"), n_repeats, f"{seed}{split}").withColumnRenamed("sensor_id", "j")
-        changed = moved.join(rows, "unit_id").select("j", "rep", "unit_id", "y", F.transform("f", lambda x, i: F.when(i == F.col("j"), F.col("value")).otherwise(x)).alias("f"))
-        same = rows.select(F.lit(-1).alias("j"), F.lit(0).alias("rep"), "unit_id", "y", "f")
-        scored = made.model.transform(same.unionByName(changed).withColumn("features", array_to_vector("f"))).select("j", "rep", "y", vector_to_array("probability")[1].alias("s"))
-        auc = {(r["j"], r["rep"]): r["auc"] for r in kernels.roc_auc(scored, ["j", "rep"], "s").collect()}
-        for j, s in enumerate(sensors):
-            total[s] += auc[-1, 0] - sum(auc[j, k] for k in range(n_repeats)) / n_repeats
-    return {s: v / max(used, 1) for s, v in total.items()}
-
-
-def tuned(readings: DataFrame, grid: dict[str, Callable], k: int = 3, seed: str = "tune") -> tuple[str, Fitted, dict[str, float]]:
-    """The best of named estimators by mean AUC over k inner stratified folds, refitted on all rows."""
-    folds = checkpointed(resampling.stratified_folds(readings.select("unit_id", "y").distinct(), k, 1, seed).select("unit_id", "fold"))
-
-    def held_out(at: tuple[str, int]) -> float:
-        name, f = at
-        made = fit(readings.join(folds.filter(F.col("fold") != f), "unit_id", "left_semi"), grid[name])
-        return auc_of(made.score(readings.join(folds.filter(F.col("fold") == f), "unit_id", "left_semi")))
-
-    each = [(name, f) for name in grid for f in range(k)]
-    found = dict(zip(each, side_by_side(held_out, each), strict=True))
-    mean = {name: sum(found[name, f] for f in range(k)) / k for name in grid}
-    best = max(sorted(mean), key=mean.__getitem__)
-    return best, fit(readings, grid[best]), mean
-
-
-def arms() -> dict[str, Callable]:
-    """The named arms without the loop."""
+    spark, most = wide.sparkSession, 1 << 10
+    if held_out:
+        own = checkpointed(split_members(members, n_splits, test_share, seed, most))
+    else:
+        n_splits = 1
+        once = members.filter("train").withColumn("data", (F.col("data") * most).cast("int"))
+        own = checkpointed(once.unionByName(once.withColumn("train", F.lit(False))))
+    few = own.groupBy("data", "train").agg(F.sum(F.col("times") * F.col("y")).alias("p")).filter("p < 2" if held_out else "p < 1").select("data").distinct()
+    bad = {r[0] for r in few.collect()}
+    inner = {fit * most + split: Plan(p.data * most + split, p.spec, p.sensors) for fit, p in plans.items() for split in range(n_splits) if p.data * most + split not in bad}
+    none = spark.createDataFrame([(f, s) for f, p in plans.items() for s in p.sensors], "fit int, sensor_id int")
+    if not inner:
+        return none.withColumn("importance", F.lit(0.0))
+    auc = kernels.roc_auc(fits.scores(wide, own, inner, n_repeats), ["fit", "swap", "rep"], "s", weight="times")
+    # numbers of plans are fit * most + split, whatever their data
+    auc = checkpointed(auc.groupBy("fit", "swap").agg(F.avg("auc").alias("auc")))
+    fall = auc.filter("swap >= 0").join(auc.filter("swap = -1").select("fit", F.col("auc").alias("whole")), "fit")
+    mean = fall.groupBy(F.floor(F.col("fit") / most).cast("int").alias("fit"), F.col("swap").alias("sensor_id")).agg(F.avg(F.col("whole") - F.col("auc")).alias("importance"))
+    return none.join(mean, ["fit", "sensor_id"], "left").fillna(0.0, ["importance"])
+
+
+def permutation_importance(readings: DataFrame, spec, sensors: list[int], n_splits: int = 3, n_repeats: int = 3, test_share: float = 0.3, seed: str = "importance", held_out: bool = True) -> dict[int, float]:
+    """falls() of one fit on all units."""
+    plans = {0: Plan(0, spec, tuple(sensors))}
+    found = falls(checkpointed(fits.wide(readings)), checkpointed(everyone(readings)), plans, n_splits, n_repeats, test_share, seed, held_out)
+    return {r["sensor_id"]: r["importance"] for r in found.collect()}
+
+
+def inner_members(members: DataFrame, k: int, seed: str, most: int = 1 << 10) -> DataFrame:
+    """members of k stratified folds of each data number's training rows, number data * most + fold."""
+    rows = shuffled(members.filter("train").select("data", "unit_id", "y", "times"), ["data", "y"], digest(seed, F.col("data"), F.col("unit_id")))
+    rows = rows.withColumn("own", ((F.col("row") - 1) % k).cast("int")).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return rows.select((F.col("data") * most + F.col("fold")).cast("int").alias("data"), "unit_id", "y", "times", (F.col("own") != F.col("fold")).alias("train"))
+
+
+def chosen(wide: DataFrame, members: DataFrame, sensors: dict[int, tuple[int, ...]], grid: dict[str, object], k: int = 3, seed: str = "tune") -> dict[int, dict[str, float]]:
+    """The mean AUC over k inner folds of each name in the grid, for each data number; all fits in one job."""
+    most, names = 1 << 10, sorted(grid)
+    inner = checkpointed(inner_members(members, k, seed, most))
+    number = {(d, g, f): i for i, (d, g, f) in enumerate((d, g, f) for d in sensors for g in names for f in range(k))}
+    plans = {i: Plan(d * most + f, grid[g], sensors[d]) for (d, g, f), i in number.items()}
+    auc = {r["fit"]: r["auc"] for r in kernels.roc_auc(fits.scores(wide, inner, plans), ["fit"], "s", weight="times").collect()}
+    return {d: {g: sum(auc[number[d, g, f]] for f in range(k)) / k for g in names} for d in sensors}
+
+
+def best_of(means: dict[str, float]) -> str:
+    return max(sorted(means), key=means.__getitem__)
+
+
+def tuned(readings: DataFrame, grid: dict[str, object], k: int = 3, seed: str = "tune") -> tuple[str, Model, dict[str, float]]:
+    """The best of named specifications by mean AUC over k inner stratified folds, fitted on all rows."""
+    made = fit(readings, None)
+    means = chosen(made.wide, made.members, {0: made.sensors}, grid, k, seed)[0]
+    made.spec = grid[best_of(means)]
+    return best_of(means), made, means
+
+
+@dataclass(frozen=True)
+class Arm:
+    """What is fitted on a split's training rows: spec on all cleaned sensors, on the best ``top`` by univariate AUC, or
+    on what a loop selects (a loop.Config); with a grid, spec is chosen by inner folds."""
+
+    spec: object = None
+    top: int | None = None
+    grid: tuple[tuple[str, object], ...] = ()
+    loop: object = None
+
+
+def tuned_arm(grid: dict[str, object]) -> Arm:
+    return Arm(grid=tuple(sorted(grid.items())))
+
+
+def arms() -> dict[str, Arm]:
+    """The named arms without the loop; loop.arms() has those with it."""
     return {
-        "majority": majority, "logreg": plain_arm(logistic()), "logreg_missind": indicator_arm(logistic()), "logreg_all": tuned_arm(LOGISTICS), "hgb": plain_arm(boosted()), "hgb_all": tuned_arm(BOOSTED),
-        "rf": plain_arm(forest()), "rf_all": tuned_arm(FORESTS), "univar_top25_rf": selected_arm(forest()),
+        "majority": Arm(Majority()), "logreg": Arm(logistic()), "logreg_missind": Arm(logistic(least_missing=0.01)), "logreg_all": tuned_arm(LOGISTICS), "hgb": Arm(boosted()), "hgb_all": tuned_arm(BOOSTED),
+        "rf": Arm(forest()), "rf_all": tuned_arm(FORESTS), "univar_top25_rf": Arm(forest(), top=25),
     }
 
 
-def cross_validated(readings: DataFrame, roles: DataFrame, made: dict[str, Callable], keys: list[str]) -> DataFrame:
-    """(arm, keys, unit_id, y, s): the test rows of each split in roles(keys, unit_id, role), scored by each arm that was
-    fitted, cleaned and tuned on the split's training rows alone. All arms see the same splits; splits run side by side.
-    """
-    roles = checkpointed(roles.select(*keys, "unit_id", "role"))
-    splits = [tuple(r) for r in roles.select(*keys).distinct().orderBy(*keys).collect()]
-
-    def scored(split: tuple) -> DataFrame:
-        here = roles
-        for name, value in zip(keys, split, strict=True):
-            here = here.filter(F.col(name) == value)
-        train = readings.join(here.filter("role = 'train'").select("unit_id"), "unit_id", "left_semi")
-        reasons = checkpointed(cleaning.cleaner(train))
-        train = checkpointed(cleaning.kept_readings(train, reasons))
-        test = checkpointed(cleaning.kept_readings(readings.join(here.filter("role = 'test'").select("unit_id"), "unit_id", "left_semi"), reasons))
-        out = None
-        for name, make in made.items():
-            rows = make(train)(test).select(F.lit(name).alias("arm"), *[F.lit(v).alias(k) for k, v in zip(keys, split, strict=True)], "unit_id", "y", F.round("s", 9).alias("s"))
-            out = rows if out is None else out.unionByName(rows)
-        return checkpointed(out)
-
-    parts = side_by_side(scored, splits)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def held_out_aucs(readings: DataFrame, grid: dict[str, Callable], k: int, n_reps: int, seed: str = "fold") -> list[float]:
-    """The AUC of each of k stratified folds in each of n_reps repetitions, so that every unit is scored held out once a
-    repetition; cleaning and tuning see the other folds only."""
-    folds = checkpointed(resampling.stratified_folds(readings.select("unit_id", "y").distinct(), k, n_reps, seed))
-    out = []
-    for rep in range(n_reps):
-        for f in range(k):
-            here = folds.filter(F.col("rep") == rep).select("unit_id", "fold")
-            train = readings.join(here.filter(F.col("fold") != f), "unit_id", "left_semi")
-            train = checkpointed(cleaning.kept_readings(train, cleaning.cleaner(train)))
-            _, made, _ = tuned(train, grid)
-            out.append(auc_of(made.score(readings.join(here.filter(F.col("fold") == f), "unit_id", "left_semi"))))
-    return out
-
-
-def cv_auc(readings: DataFrame, estimator: Callable, k: int = 5, seed: str = "fold") -> list[float]:
+def numbered_splits(roles: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, data): a number for each split."""
+    return roles.select(*keys).distinct().withColumn("data", F.row_number().over(Window.orderBy(*keys)) - 1)  # a row a split
+
+
+def cross_validated(readings: DataFrame, roles: DataFrame, made: dict[str, Arm], keys: list[str], select=None) -> DataFrame:
+    """(arm, keys, unit_id, y, s, n_sensors): the test rows of each split in roles(keys, unit_id, role), scored by each arm
+    that was fitted, cleaned and tuned on the split's training rows alone. All arms see the same splits, and the fits of
+    all splits and arms run side by side. select(readings, wide, members, kept, configs) gives loops' sensors."""
+    splits = checkpointed(numbered_splits(roles, keys))
+    labels = readings.select("unit_id", "y").distinct()
+    members = roles.select(*keys, "unit_id", "role").join(F.broadcast(splits), keys).join(labels, "unit_id")
+    members = checkpointed(members.select(F.col("data").cast("int").alias("data"), "unit_id", "y", F.lit(1).alias("times"), (F.col("role") == "train").alias("train")))
+    wide = checkpointed(fits.wide(readings))
+    kept = kept_sensors(readings, members)
+    tops = {k: best_sensors(readings, members, kept, k) for k in {a.top for a in made.values() if a.top}}
+    grids = {a.grid: chosen(wide, members, kept, dict(a.grid)) for a in made.values() if a.grid}
+    configs = {a.loop for a in made.values() if a.loop is not None}
+    looped = select(readings, wide, members, kept, configs) if configs else {}
+    plans, names = {}, []
+    for name, arm in made.items():
+        for d, own in kept.items():
+            sensors = looped[arm.loop][d] if arm.loop is not None else tops[arm.top][d] if arm.top else own
+            spec = dict(arm.grid)[best_of(grids[arm.grid][d])] if arm.grid else arm.spec
+            names.append((len(plans), name, d, len(sensors)))
+            plans[len(plans)] = Plan(d, spec, sensors)
+    whose = readings.sparkSession.createDataFrame(names, "fit int, arm string, data int, n_sensors int")
+    rows = fits.scores(wide, members, plans).drop("swap", "rep").join(F.broadcast(whose), "fit").join(F.broadcast(splits), "data")
+    return checkpointed(rows.select("arm", *keys, "unit_id", "y", F.round("s", 9).alias("s"), "n_sensors"))
+
+
+def held_out_aucs(readings: DataFrame, labels: DataFrame, grid: dict[str, object], k: int, n_reps: int, seed: str = "fold") -> DataFrame:
+    """(world, rep, fold, auc): for each labelling in labels(world, unit_id, y), the AUC of each of k stratified folds in
+    each of n_reps repetitions, so that every unit is scored held out once a repetition; cleaning and tuning see the
+    other folds only. All worlds, folds and grid points run side by side."""
+    worlds = [r[0] for r in labels.select("world").distinct().orderBy("world").collect()]
+    parts = [resampling.stratified_folds(labels.filter(F.col("world") == w).select("unit_id", "y"), k, n_reps, seed).withColumn("world", F.lit(w)) for w in worlds]
+    folds = checkpointed(together(parts)).withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    number = reduce(lambda x, i: x.when(F.col("world") == worlds[i], i), range(1, len(worlds)), F.when(F.col("world") == worlds[0], 0))
+    number = ((number * n_reps + F.col("rep")) * k + F.col("out")).cast("int")
+    members = checkpointed(folds.select(number.alias("data"), "unit_id", "y", F.lit(1).alias("times"), (F.col("fold") != F.col("out")).alias("train")))
+    wide = checkpointed(fits.wide(readings))
+    kept = kept_sensors(readings, members)
+    means = chosen(wide, members, kept, grid)
+    plans = {d: Plan(d, grid[best_of(means[d])], own) for d, own in kept.items()}
+    auc = kernels.roc_auc(fits.scores(wide, members, plans), ["fit"], "s").select(F.col("fit").alias("data"), "auc")
+    name = F.element_at(F.array(*[F.lit(w) for w in worlds]), (F.floor(F.col("data") / (k * n_reps)) + 1).cast("int"))
+    return auc.select(name.alias("world"), (F.floor(F.col("data") / k) % n_reps).cast("int").alias("rep"), (F.col("data") % k).cast("int").alias("fold"), "auc")
+
+
+def cv_auc(readings: DataFrame, spec, k: int = 5, seed: str = "fold") -> list[float]:
     """The AUC of each stratified fold under a plain fit; folds with fewer than two failures in training or none in the
     test are left out."""
-    folds = checkpointed(resampling.stratified_folds(readings.select("unit_id", "y").distinct(), k, 1, seed))
-    n = {r["fold"]: r["n"] for r in folds.groupBy("fold").agg(F.sum("y").alias("n")).collect()}
-    good = [f for f in n if n[f] >= 1 and sum(n.values()) - n[f] >= 2]
-
-    def one(f: int) -> float:
-        train = readings.join(folds.filter(F.col("fold") != f), "unit_id", "left_semi")
-        return auc_of(fit(train, estimator, mean_fill=True).score(readings.join(folds.filter(F.col("fold") == f), "unit_id", "left_semi")))
-
-    return side_by_side(one, sorted(good))
+    made = fit(readings, spec)
+    inner = checkpointed(inner_members(made.members, k, seed))
+    n = {(r["data"], r["train"]): r["n"] for r in inner.groupBy("data", "train").agg(F.sum("y").alias("n")).collect()}
+    plans = {d: Plan(d, spec, made.sensors) for d in range(k) if n.get((d, False), 0) >= 1 and n.get((d, True), 0) >= 2}
+    found = kernels.roc_auc(fits.scores(made.wide, inner, plans), ["fit"], "s").orderBy("fit").collect() if plans else []
+    return [r["auc"] for r in found]

@@ -196,24 +196,49 @@ def claims(spark, d):
     return reporting.checked_claims(spark.createDataFrame(CLAIMS, "label string, source string, expected double"), measured).withColumn("value", F.round("value", 9))
 
 
-CV_ARMS = ("majority", "logreg", "logreg_missind", "univar_top25_rf", "rf")
+CV_ARMS = ("majority", "logreg", "logreg_missind", "univar_top25_rf", "rf", "hgb")
+#: The arms of the headline comparison.
+HEADLINE = ("majority", "univar_top25_rf", "logreg_all", "hgb_all", "rf_all", "agent_rf", "agent_logreg")
+
+
+def fitted_records(spark, d, names, n_reps):
+    """Records of fitted arms over 5 common folds in each of n_reps repetitions."""
+    x = graph.checkpointed(adapters.embedding_readings(spark, d))
+    roles = evaluation.fold_roles(resampling.stratified_folds(adapters.embedding_units(spark, d), 5, n_reps), 5)
+    every = models.arms() | loop.arms()
+    return evaluation.records(loop.cross_validated(x, roles, {a: every[a] for a in names}, ["rep", "fold"]), ["arm", "rep", "fold"])
 
 
 @query()
 def cv_arms(spark, d):
-    """Records of fitted arms over five common folds."""
-    x = graph.checkpointed(adapters.embedding_readings(spark, d))
-    roles = evaluation.fold_roles(resampling.stratified_folds(adapters.embedding_units(spark, d), 5, 1), 5)
-    s = models.cross_validated(x, roles, {a: models.arms()[a] for a in CV_ARMS}, ["rep", "fold"])
-    return evaluation.records(s, ["arm", "rep", "fold"])
+    """Records of untuned arms over 25 common folds."""
+    return fitted_records(spark, d, CV_ARMS, 5)
+
+
+@query()
+def headline_cv(spark, d):
+    """Tuned arms, arms whose sensors the loop selects, and the plain ones: intervals over 25 common folds."""
+    return evaluation.summary(graph.checkpointed(fitted_records(spark, d, HEADLINE, 5)), ["rep", "fold"])
+
+
+def event_records(spark, d, roles, names, keys):
+    x = graph.checkpointed(adapters.event_readings(spark, d).drop("ts"))
+    every = models.arms() | loop.arms()
+    return evaluation.records(loop.cross_validated(x, roles, {a: every[a] for a in names}, keys), ["arm", *keys])
 
 
 @query()
 def chronological_arms(spark, d):
     """Records of fitted arms trained on the first 70 % in time and tested on the rest."""
-    x = graph.checkpointed(adapters.event_readings(spark, d).drop("ts"))
     roles = resampling.chronological(adapters.event_units(spark, d)).withColumn("origin", F.lit(0))
-    return evaluation.records(models.cross_validated(x, roles, {a: models.arms()[a] for a in ("majority", "logreg", "rf")}, ["origin"]), ["arm", "origin"])
+    return event_records(spark, d, roles, ("majority", "logreg", "rf", "hgb", "rf_all", "agent_logreg"), ["origin"])
+
+
+@query()
+def rolling_arms(spark, d):
+    """Records of fitted arms with rolling origins: the blocks so far train, the next one tests."""
+    roles = resampling.rolling_origin(adapters.event_units(spark, d), 5)
+    return event_records(spark, d, roles, ("majority", "logreg", "rf", "hgb", "agent_logreg"), ["origin"])
 
 
 @query()
