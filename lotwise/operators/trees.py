@@ -101,8 +101,9 @@ class Trees:
         return out / np.maximum(out.sum(1, keepdims=True), 1e-300)
 
 
-def best_cuts(node: np.ndarray, slot: np.ndarray, r: np.ndarray, n: np.ndarray, n1: np.ndarray, w0: np.ndarray, w1: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each node that occurs: (node, cell, purity) of its best cut, which lies after that cell; -1 for none.
+def best_cuts(node: np.ndarray, slot: np.ndarray, r: np.ndarray, n: np.ndarray, n1: np.ndarray, w0: np.ndarray, w1: np.ndarray, leaf: int) -> tuple[np.ndarray, ...]:
+    """Of each node with a cut: (node, cell, purity, rows, draws and ones up to the cut) of its best one, which lies after
+    that cell.
 
     Cells are sorted by node, slot and bin and have r rows, n draws and n1 of them of class 1; w0 and w1 are each cell's
     class weights. The best cut leaves at least ``leaf`` rows on both sides and has the greatest weighted purity.
@@ -129,7 +130,9 @@ def best_cuts(node: np.ndarray, slot: np.ndarray, r: np.ndarray, n: np.ndarray,
     hit = np.flatnonzero(purity == most[own])
     cell = np.full(len(heads), -1)
     cell[own[hit[::-1]]] = hit[::-1]
-    return node[heads], np.where(np.isfinite(most), cell, -1), most
+    good = np.flatnonzero(np.isfinite(most))
+    cell = cell[good]
+    return node[heads][good], cell, most[good], r_low[cell], n_low[cell], a_low[cell]
 
 
 def cells(key: np.ndarray, draws: np.ndarray, ones: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -167,39 +170,44 @@ def grown(codes: np.ndarray, y: np.ndarray, times: np.ndarray, way: np.ndarray,
     at, row = np.nonzero(times)
     draws = times[at, row].astype(np.int64)
     ones = draws * y[row]
+    flat, row = codes.ravel(), row * p
     n_nodes = len(times)
     tree, made = np.arange(n_nodes), 0
-    r, n, n1 = np.bincount(at, minlength=n_nodes), np.bincount(at, draws, n_nodes).astype(np.int64), np.bincount(at, ones, n_nodes).astype(np.int64)
+    # rows, draws and draws of class 1 of each node
+    state = np.stack([np.bincount(at, minlength=n_nodes), np.bincount(at, draws, n_nodes), np.bincount(at, ones, n_nodes)]).astype(np.int64)
     out: list[list[np.ndarray]] = [[] for _ in range(7)]
     while n_nodes:
+        r, n, n1 = state
         a1, a0 = w1[tree] * n1, w0[tree] * (n - n1)
         feature, cut, left, right, gain = np.full(n_nodes, -1, np.int32), np.zeros(n_nodes, np.uint8), np.zeros(n_nodes, np.int32), np.zeros(n_nodes, np.int32), np.zeros(n_nodes)
+        low = np.zeros((3, n_nodes), np.int64)
         open_ = (n1 > 0) & (n1 < n) & (r >= 2 * leaf)
-        keep = open_[at]
+        keep = np.flatnonzero(open_[at])
         at, row, draws, ones = at[keep], row[keep], draws[keep], ones[keep]
         own = np.flatnonzero(open_)
         order = feature_order(way[own], p)
-        pending = np.arange(len(own))
-        place = np.cumsum(open_) - 1
+        pending, place = np.arange(len(own)), np.cumsum(open_) - 1
+        q, mine, d, o = place[at], row, draws, ones
         for k in range(0, p, m):
             if not len(pending):
                 break
-            number = np.full(len(own), -1)
-            number[pending] = np.arange(len(pending))
-            q = number[place[at]]
-            mine = np.flatnonzero(q >= 0)
-            q, slots = q[mine], order[pending, k : k + m]
+            if k:
+                number = np.full(len(own), -1)
+                number[pending] = np.arange(len(pending))
+                q = number[place[at]]
+                some = np.flatnonzero(q >= 0)
+                q, mine, d, o = q[some], row[some], draws[some], ones[some]
+            slots = order[pending, k : k + m]
             n_slots = slots.shape[1]
-            key = ((q[:, None] * n_slots + np.arange(n_slots)) * width + codes[row[mine][:, None], slots[q]]).ravel()
-            value, cr, cn, c1 = cells(key, np.repeat(draws[mine], n_slots), np.repeat(ones[mine], n_slots), len(pending) * n_slots * width)
+            key = ((q * (n_slots * width))[:, None] + np.arange(0, n_slots * width, width) + flat[mine[:, None] + slots[q]]).ravel()
+            value, cr, cn, c1 = cells(key, np.repeat(d, n_slots), np.repeat(o, n_slots), len(pending) * n_slots * width)
             node, slot = value // (width * n_slots), value // width % n_slots
             t = tree[own[pending[node]]]
-            found, cell, purity = best_cuts(node, slot, cr, cn, c1, w0[t], w1[t], leaf)
-            good = cell >= 0
-            found, cell, purity = found[good], cell[good], purity[good]
+            found, cell, purity, *sums = best_cuts(node, slot, cr, cn, c1, w0[t], w1[t], leaf)
             to = own[pending[found]]
             feature[to], cut[to] = slots[found, slot[cell]], value[cell] % width
             gain[to] = purity - (a1[to] ** 2 + a0[to] ** 2) / (a1[to] + a0[to])
+            low[:, to] = sums
             done = np.zeros(len(pending), bool)
             done[found] = True
             pending = pending[~done]
@@ -209,14 +217,15 @@ def grown(codes: np.ndarray, y: np.ndarray, times: np.ndarray, way: np.ndarray,
             parts.append(x)
         made += n_nodes
         number = np.full(n_nodes, -1)
-        number[splits] = np.arange(len(splits))
-        keep = number[at] >= 0
+        number[splits] = 2 * np.arange(len(splits))
+        now = number[at]
+        keep = np.flatnonzero(now >= 0)
         at, row, draws, ones = at[keep], row[keep], draws[keep], ones[keep]
-        high = codes[row, feature[at]] > cut[at]
-        at = 2 * number[at] + high
+        at = now[keep] + (flat[row + feature[at]] > cut[at])
+        low, whole = low[:, splits], state[:, splits]
+        state = np.stack([low, whole - low], 2).reshape(3, -1)
         tree, n_nodes = np.repeat(tree[splits], 2), 2 * len(splits)
         way = np.stack([mixed(way[splits] ^ LEFT), mixed(way[splits] ^ RIGHT)], 1).ravel()
-        r, n, n1 = np.bincount(at, minlength=n_nodes), np.bincount(at, draws, n_nodes).astype(np.int64), np.bincount(at, ones, n_nodes).astype(np.int64)
     return Trees(len(times), *(np.concatenate(x) if x else np.zeros(0) for x in out))
 
 

@@ -1,59 +1,101 @@
-"""The model queries do the whole job; what they hand to the operators is looked at, and nothing is fitted."""
+"""The model queries on the smallest tables: every sensor, every fold, and what comes out. Grids are made smaller here."""
 
 import pytest
 
-from lotwise.operators import loop, models
-from lotwise.plans import compared
+from lotwise.operators import evaluation, fits, graph, loop, models, resampling, trees
+from lotwise.plans import compared, decided
+from lotwise.sources.synthetic import causes, synthetic
 
 SF = "/root/testdata/sf0.001"
 
 
-class Seen(Exception):
-    pass
+def test_defaults_are_whole():
+    assert models.forest() == trees.Forest(500, 5) and models.boosted() == trees.Boosted(200, 0.05, 15, 20, 1.0)
+    assert {s.leaf for s in models.FORESTS.values()} == {1, 5, 10} and {s.trees for s in models.FORESTS.values()} == {500}
+    assert {(s.rate, s.leaves, s.rounds) for s in models.BOOSTED.values()} == {(r, k, 200) for r in (0.03, 0.05, 0.1) for k in (7, 15, 31)}
 
 
-@pytest.mark.parametrize(
-    "name, owner, operator",
-    [("perm_importance", models, "permutation_importance"), ("tuned_forest", models, "tuned"), ("agent_loop", loop, "run"), ("predict_all_report_few", loop, "predict_all_report_few")],
-)
-def test_model_queries_take_every_sensor(spark, monkeypatch, name, owner, operator):
-    def look(readings, *rest):
-        raise Seen({r[0] for r in readings.select("sensor_id").distinct().collect()}, rest)
-
-    monkeypatch.setattr(owner, operator, look)
-    with pytest.raises(Seen) as seen:
-        getattr(compared, name)(spark, SF)
-    sensors, rest = seen.value.args
-    assert sensors == set(range(64))
-    if name == "perm_importance":
-        assert rest[1:] == (list(range(64)),)  # the operator's own 3 splits and 3 repetitions
-    elif name == "tuned_forest":
-        grid = [made(100) for made in rest[0].values()]
-        assert len(rest) == 1 and {e.getMinInstancesPerNode() for e in grid} == {1, 5, 10} and {e.getNumTrees() for e in grid} == {500}
-    else:
-        assert rest == ()
+@pytest.mark.parametrize("name", ["perm_importance", "logreg_screen"])
+def test_model_queries_take_every_sensor(spark, name):
+    got = getattr(compared, name)(spark, SF).collect()
+    assert [r.rnk for r in got] == list(range(1, len(got) + 1)) and len(got) == (64 if name == "perm_importance" else 20)
+    assert all(a.score >= b.score for a, b in zip(got, got[1:]))
 
 
 def test_adversarial_validation_scores_every_unit(spark, monkeypatch):
-    scored, grids = [], []
-
-    class Made:
-        def score(self, readings):
-            return readings
-
-    def tuned(readings, grid, *rest):
-        grids.append((list(grid), rest))
-        return None, Made(), {}
-
-    def auc_of(scores):
-        scored.append({r[0] for r in scores.select("unit_id").distinct().collect()})
-        return 0.5
-
-    monkeypatch.setattr(models, "tuned", tuned)
-    monkeypatch.setattr(models, "auc_of", auc_of)
-    got = compared.adversarial_validation(spark, SF).collect()
-    units = {r[0] for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect()}
-    assert {r.labels: r.n_folds for r in got} == {"era": 15, "control": 15}
-    assert grids == [(list(models.FORESTS), ())] * 30 and len(scored) == 30
-    for at in range(0, 30, 5):
-        assert set().union(*scored[at : at + 5]) == units and sum(map(len, scored[at : at + 5])) == len(units)
+    """Late events that differ are told from early ones, events at random aren't; both in all folds."""
+    monkeypatch.setattr(models, "FORESTS", {f"leaf_{k}": trees.Forest(20, k) for k in (1, 10)})
+    seen, scores = [], fits.scores
+
+    def look(wide, members, plans, swaps=0):
+        out = scores(wide, members, plans, swaps)
+        seen.append((plans, members))
+        return out
+
+    monkeypatch.setattr(fits, "scores", look)
+    got = {r.labels: r for r in compared.adversarial_validation(spark, SF).collect()}
+    assert {k: r.n_folds for k, r in got.items()} == {"era": 15, "control": 15} and abs(got["control"].auc - 0.5) < 0.1
+    (inner, _), (outer, members) = seen
+    assert len(inner) == 30 * 3 * 2 and len(outer) == 30
+    units = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert members.filter("not train").count() == 6 * units  # once a repetition and labelling
+
+
+def test_held_out_aucs_find_a_shift(spark, monkeypatch):
+    x = graph.checkpointed(synthetic(spark, 300, 6, 2, 0.3, 0.05, 3))
+    labels = x.select("unit_id", "y").distinct().selectExpr("'real' AS world", "unit_id", "y")
+    moved = resampling.permuted_labels(labels.select("unit_id", "y"), 1).selectExpr("'random' AS world", "unit_id", "y")
+    got = models.held_out_aucs(x.drop("y"), graph.checkpointed(labels.unionByName(moved)), {"a": trees.Forest(30, 1), "b": trees.Forest(30, 10)}, 3, 2).collect()
+    mean = {w: sum(r.auc for r in got if r.world == w) / 6 for w in ("real", "random")}
+    assert len(got) == 12 and mean["real"] > 0.7 and 0.35 < mean["random"] < 0.65
+
+
+def test_tuning_takes_the_best(spark):
+    x = graph.checkpointed(synthetic(spark, 300, 6, 2, 0.3, 0.05, 3))
+    best, made, means = models.tuned(x, {"none": trees.Forest(3, 200), "some": trees.Forest(40, 5)})
+    assert best == "some" and means["none"] == 0.5 < means["some"] and made.spec == trees.Forest(40, 5)
+    found = {r["unit_id"]: r["s"] for r in made.score(x).collect()}
+    assert len(found) == 300 and models.auc_of(made.score(x)) > 0.8
+    assert max(made.importance(), key=made.importance().get) in causes(6, 2)
+    assert all(a > 0.6 for a in models.cv_auc(x, models.logistic(), 3))
+
+
+def test_arms_of_loops_and_grids_see_the_same_folds(spark, monkeypatch):
+    """Tuned arms and arms of the loop; on permuted labels they score like chance."""
+    x = graph.checkpointed(synthetic(spark, 240, 8, 2, 0.3, 0.05, 2))
+    units = x.select("unit_id", "y").distinct()
+    small = loop.Config(base="logreg", screen="univariate", n_screen=8, n_screen_boot=8, select_k=3, n_boot=3, n_inner=3)
+    arms = {"tuned": models.tuned_arm(models.LOGISTICS), "agent": models.Arm(models.logistic(), loop=small), "top": models.Arm(models.logistic(), top=2), "majority": models.arms()["majority"]}
+    folds = evaluation.fold_roles(resampling.stratified_folds(units, 3), 3)
+    got = evaluation.records(loop.cross_validated(x, folds, arms, ["rep", "fold"]), ["arm", "rep", "fold"]).collect()
+    assert len(got) == 12 and len({(r.fold, r.n_test, r.n_fail) for r in got}) == 3
+    assert all(r.auc > 0.7 for r in got if r.arm in ("tuned", "agent", "top"))
+    moved = resampling.permuted_labels(units, 1, "canary").select("unit_id", "y")
+    y = graph.checkpointed(x.drop("y").join(moved, "unit_id"))
+    null = evaluation.records(loop.cross_validated(y, evaluation.fold_roles(resampling.stratified_folds(moved, 3), 3), {"agent": arms["agent"]}, ["rep", "fold"]), ["arm"]).first()
+    assert 0.35 < null.auc < 0.65
+
+
+def test_rankers_agree_over_resamples(spark):
+    x = graph.checkpointed(synthetic(spark, 300, 10, 2, 0.3, 0.05, 2))
+    boots = resampling.bootstrap(x.select("unit_id", "y").distinct(), 4)
+    members = graph.checkpointed(boots.selectExpr("rep AS data", "unit_id", "y", "CAST(mult AS INT) AS times", "true AS train"))
+    cfg = loop.Config(base="logreg", screen="univariate", n_screen=6, n_screen_boot=6, select_k=3, n_boot=2, n_inner=1)
+    names = ["univariate", "logreg_coef", "perm_only", "agent", "agent_no_corr", "agent_model"]
+    got = {r.ranker: r for r in loop.ranker_stability(x, members, names, 2, cfg).collect()}
+    assert set(got) == set(names) and all(r.n_pairs == 6 and r["mean"] > 0.5 for r in got.values())
+
+
+def test_large_fits_are_left_to_the_cluster(spark, monkeypatch):
+    monkeypatch.setattr(fits, "LARGE", 100)
+    monkeypatch.setattr(fits.spread, "DEPTH", 8)
+    x = graph.checkpointed(synthetic(spark, 300, 4, 1, 0.3, 0.05, 3))
+    for spec in (trees.Forest(10), trees.Boosted(5)):
+        made = models.fit(x, spec)
+        assert models.auc_of(made.score(x)) > 0.7 and abs(sum(made.importance().values()) - 1) < 1e-6
+
+
+def test_headline_arms_are_registered():
+    every = models.arms() | loop.arms()
+    assert set(decided.HEADLINE) <= set(every) and set(decided.CV_ARMS) <= set(every)
+    assert every["rf_all"].grid and every["agent_rf"].loop.base == "rf"
