@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.hashing import digest
 from lotwise.operators import resampling, stability
+from lotwise.operators.graph import checkpointed
 from lotwise.operators.resampling import halves
 from lotwise.operators.running import shuffled
 
@@ -16,6 +17,11 @@ ALPHAS = (0.10, 0.05, 0.01)
 def worlds(units: DataFrame, readings: DataFrame, n_null: int, n_real: int, n_boot: int, select_k: int, least: int = 5) -> DataFrame:
     """(world, permuted, sensor_id, hits, n_eff, support): worlds 0 to n_null - 1 have permuted labels, the others the
     real ones; each is bootstrapped n_boot times and the select_k best sensors of a replicate get a vote."""
+    return worlds_by_depth(units, readings, n_null, n_real, n_boot, (select_k,), least).drop("depth")
+
+
+def worlds_by_depth(units: DataFrame, readings: DataFrame, n_null: int, n_real: int, n_boot: int, depths: tuple[int, ...], least: int = 5) -> DataFrame:
+    """worlds() for several numbers of votes a replicate, under ``depth``: replicates are ranked once, to the largest."""
     n = n_null + n_real
     drawn = resampling.bootstrap(units, n * n_boot, 0).withColumn("world", F.floor(F.col("rep") / n_boot).cast("int"))
     null = resampling.permuted_labels(units, n_null).withColumnRenamed("rep", "world")
@@ -24,8 +30,12 @@ def worlds(units: DataFrame, readings: DataFrame, n_null: int, n_real: int, n_bo
     w = drawn.drop("y").join(labels, ["world", "unit_id"]).select("world", "rep", "unit_id", "y", "mult")
     good = w.groupBy("world", "rep").agg(F.sum(F.col("y") * F.col("mult")).alias("p")).filter(F.col("p") >= least).select("world", "rep")
     w = w.join(F.broadcast(good), ["world", "rep"], "left_semi")
-    ranked = stability.replicate_rankings(readings, w, select_k, ["world", "rep"])
-    return stability.support(ranked, good, ["world"]).withColumn("permuted", F.col("world") < n_null)
+    ranked = checkpointed(stability.replicate_rankings(readings, w, max(depths), ["world", "rep"]))
+    out = None
+    for k in depths:
+        own = stability.support(ranked.filter(F.col("rnk") <= k), good, ["world"]).withColumn("depth", F.lit(k))
+        out = own if out is None else out.unionByName(own)
+    return out.withColumn("permuted", F.col("world") < n_null)
 
 
 def maxima(supports: DataFrame) -> DataFrame:
@@ -74,7 +84,7 @@ def over(supports: DataFrame, thresholds: DataFrame) -> DataFrame:
 def split_half(supports: DataFrame, n_splits: int, alphas=ALPHAS) -> DataFrame:
     """(alpha, tau_mean, tau_sd, tau_min, tau_max, null_abstention, null_reported, real_abstention, real_reported):
     thresholds from half of the null worlds, rates from the other half and the real worlds, both ways, averaged."""
-    m = maxima(supports).cache()
+    m = checkpointed(maxima(supports))
     part = halves(m.filter("permuted"), "world", n_splits)
     cal = part.filter("role = 'calibrate'").join(m, "world").groupBy("split", "direction").agg(*[F.percentile("max_support", 1 - a).alias(f"t{i}") for i, a in enumerate(alphas)])
     cal = cal.select("split", "direction", F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.col(f"t{i}").alias("tau")) for i, a in enumerate(alphas)])).alias("x")).select("split", "direction", "x.*")

@@ -2,20 +2,104 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.operators import cleaning, kernels
+from lotwise.operators import kernels
+
+
+#: Replicates that share one pass over the readings.
+AT_ONCE, PIECES = 4096, 64
+
+
+def packed(weights: DataFrame, keys: list[str], first: int, n: int, numbers: DataFrame) -> DataFrame:
+    """(unit_id, w): a byte a replicate, a unit's multiplicity and, in the highest bit, its label there."""
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(1)
+            flat, size = column.flatten(), np.asarray(column.value_lengths())
+            out = np.zeros((batch.num_rows, n), np.uint8)
+            out[np.repeat(np.arange(batch.num_rows), size), flat.field("at").to_numpy() - first] = flat.field("code").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in out], pa.binary())], ["unit_id", "w"])
+
+    code = (F.col("mult") + 128 * F.col("y")).cast("int")
+    own = weights.join(F.broadcast(numbers.filter((F.col("at") >= first) & (F.col("at") < first + n))), keys).select("unit_id", "at", code.alias("code"))
+    kind = weights.schema["unit_id"].dataType.simpleString()
+    return own.groupBy("unit_id").agg(F.collect_list(F.struct("at", "code")).alias("part")).mapInArrow(run, f"unit_id {kind}, w binary")
+
+
+def won(readings: DataFrame, units: DataFrame, n: int) -> DataFrame:
+    """(sensor_id, piece, won, p, n): a sensor's readings lie in PIECES along its values, cut at quantiles and never within
+    a value. Of each piece and replicate the pairs in order, twice, and the positives and negatives."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("value")
+        value = table.column("value").to_numpy()
+        w = np.frombuffer(b"".join(table.column("w").to_pylist()), np.uint8).reshape(-1, n)
+        start = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        times, positive = (w & 127).astype(np.int64), w >= 128
+        p = np.add.reduceat(np.where(positive, times, 0), start, axis=0)
+        q = np.add.reduceat(np.where(positive, 0, times), start, axis=0)
+        pairs = (p * (2 * np.cumsum(q, 0) - q)).sum(0)
+        row = {"sensor_id": key[0].as_py(), "piece": key[1].as_py(), "won": pairs.tobytes(), "p": p.sum(0).tobytes(), "n": q.sum(0).tobytes()}
+        return pa.Table.from_pylist([row], pa.schema([("sensor_id", pa.int32()), ("piece", pa.int32()), ("won", pa.binary()), ("p", pa.binary()), ("n", pa.binary())]))
+
+    rows = readings.filter("value is not null").select("unit_id", F.col("sensor_id").cast("int").alias("sensor_id"), F.col("value").cast("double").alias("value"))
+    cuts = rows.groupBy("sensor_id").agg(F.percentile_approx("value", [i / PIECES for i in range(1, PIECES)], 1000).alias("cuts"))
+    rows = rows.join(F.broadcast(cuts), "sensor_id")  # a row a sensor
+    piece = F.size(F.filter("cuts", lambda c: c < F.col("value")))
+    rows = rows.select("unit_id", "sensor_id", piece.alias("piece"), "value").join(units, "unit_id")
+    return rows.groupBy("sensor_id", "piece").applyInArrow(run, "sensor_id int, piece int, won binary, p binary, n binary")
+
+
+def joined_pieces(first: int):
+    """Of a sensor's pieces, in order: the replicates from number ``first`` on with their pairs over all pieces."""
+
+    def added(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("piece")
+        pairs, p, q = ([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()] for c in ("won", "p", "n"))
+        total, below = sum(pairs), np.zeros_like(q[0])
+        for a, b in zip(p, q, strict=True):
+            total, below = total + 2 * a * below, below + b
+        n = len(total)
+        return pa.table({"sensor_id": pa.array(np.full(n, key[0].as_py(), np.int32)), "at": pa.array(np.arange(first, first + n, dtype=np.int32)), "n1": pa.array(sum(p)), "n0": pa.array(below), "won": pa.array(total)})
+
+    return added
+
+
+def replicate_aucs(readings: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sensor_id, n1, n0, auc, score) of kernels.roc_auc with multiplicities, for many replicates at once.
+
+    Each sensor's readings are put in order once. What differs between replicates, multiplicities and labels, is a byte a
+    unit and replicate, added up along that order; AT_ONCE replicates share a pass.
+    """
+    spark = readings.sparkSession
+    every = sorted(tuple(r) for r in weights.select(*keys).distinct().collect())  # a row a replicate
+    numbers = spark.createDataFrame([(*k, i) for i, k in enumerate(every)], ", ".join(f"{k} int" for k in keys) + ", at int")
+    parts = []
+    for first in range(0, len(every), AT_ONCE):
+        n = min(AT_ONCE, len(every) - first)
+
+        pieces = won(readings, packed(weights, keys, first, n, numbers), n)
+        parts.append(pieces.groupBy("sensor_id").applyInArrow(joined_pieces(first), "sensor_id int, at int, n1 bigint, n0 bigint, won bigint"))
+    out = parts[0] if parts else spark.createDataFrame([], "sensor_id int, at int, n1 bigint, n0 bigint, won bigint")
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    auc = F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("won").cast("double") / (F.lit(2.0) * F.col("n1") * F.col("n0"))).otherwise(F.lit(0.5))
+    out = out.join(F.broadcast(numbers), "at").select(*keys, "sensor_id", "n1", "n0", auc.alias("auc"))
+    return out.withColumn("score", F.round(F.abs(F.col("auc") - 0.5), 12))
 
 
 def replicate_rankings(readings: DataFrame, weights: DataFrame, k: int, keys: list[str]) -> DataFrame:
-    """(keys, sensor_id, auc, score, rnk): the k best sensors of each replicate by |AUC - 0.5|.
+    """(keys, sensor_id, n1, n0, auc, score, rnk): the k best sensors of each replicate by |AUC - 0.5|.
 
     readings are imputed values without labels; weights(keys, unit_id, y, mult) holds a replicate's units, so that a
-    replicate is a column of multiplicities, never a copy of the readings on disk.
+    replicate is a column of multiplicities, at most 127 each, never a copy of the readings.
     """
-    rows = readings.select("unit_id", "sensor_id", "value").join(weights, "unit_id")
-    return cleaning.univariate_top(rows, k, keys, weight="mult", imputed=True)
+    return kernels.top(replicate_aucs(readings, weights, keys), keys, F.col("score"), k)
 
 
 def support(rankings: DataFrame, replicates: DataFrame, world: list[str], rep: str = "rep") -> DataFrame:

@@ -71,11 +71,7 @@ def families_in_top(spark, d):
 def support_ladder(spark, d):
     """supports() for several numbers of votes a replicate, under ``depth``, from one ranking."""
     units, readings = adapters.embedding_units(spark, d), adapters.embedding_readings(spark, d)
-    parts = [calibration.worlds(units, readings, NULL, REAL, VOTES, k).withColumn("depth", F.lit(k)) for k in DEPTHS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return graph.checkpointed(out)
+    return graph.checkpointed(calibration.worlds_by_depth(units, readings, NULL, REAL, VOTES, DEPTHS))
 
 
 def supports(spark, d):
@@ -107,6 +103,14 @@ def null_tau(spark, d):
     return calibration.taus(calibration.maxima(supports(spark, d))).select("alpha", r("tau"))
 
 
+@query()
+def null_tau_whole(spark, d):
+    """Thresholds and what they report, from 200 worlds of permuted labels and 40 real ones of 12 bootstraps each."""
+    found = graph.checkpointed(calibration.worlds(adapters.embedding_units(spark, d), adapters.embedding_readings(spark, d), 200, 40, 12, TOP))
+    over = calibration.over(found, calibration.taus(calibration.maxima(found)))
+    return over.groupBy("alpha", "tau", "permuted").agg(F.count("*").alias("n_worlds"), F.avg("n_over").alias("n_over"), F.avg((F.col("n_over") == 0).cast("double")).alias("silent"))
+
+
 @query(f"WITH {SUP} SELECT alpha, round(tau, 9) AS tau, world, permuted, CAST(count_if(support >= tau - 1e-12) AS BIGINT) AS n_over FROM su CROSS JOIN ta GROUP BY ALL")
 def suspects_over_tau(spark, d):
     s = supports(spark, d)
@@ -146,7 +150,7 @@ tq AS (SELECT m, rep, quantile_cont(max_support, 0.9) AS tau FROM sh WHERE i <=
 ev AS (SELECT m, rep, avg(CAST(max_support < tau - 1e-12 AS DOUBLE)) AS c, count(*) AS n FROM sh JOIN tq USING (m, rep) WHERE i > m GROUP BY m, rep)
 SELECT m, round(avg(c), 9) AS control_mean, round(stddev_samp(c), 7) AS control_sd, max(n) AS n_heldout, round(any_value(oracle) - avg(c), 9) AS loss FROM ev CROSS JOIN oc GROUP BY m""")
 def calibration_curve(spark, d):
-    c = calibration.calibration_curve(calibration.maxima(supports(spark, d)).cache(), VOTES, [4, 8], 20, 0.1)
+    c = calibration.calibration_curve(calibration.maxima(supports(spark, d)), VOTES, [4, 8], 20, 0.1)
     return c.select("m", r("control_mean"), r("control_sd", 7), "n_heldout", r("loss"))
 
 
