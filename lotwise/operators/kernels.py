@@ -202,8 +202,42 @@ def mean_ci(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     return out.withColumn("low", F.col("mean") - half).withColumn("high", F.col("mean") + half)
 
 
+#: Up to so many rows, and without ties, rank tests count all outcomes instead of taking the normal distribution.
+EXACT, EXACT_SIDE = 50, 8
+
+
+def subset_sums(n: Column, most: Column) -> Column:
+    """An array with, at place s + 1, how many subsets of 1 to n add up to s, for s from 0 to most."""
+    start = F.transform(F.sequence(F.lit(0), most), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+    step = lambda acc, k: F.transform(acc, lambda c, i: c + F.when(i >= k, F.element_at(acc, F.greatest(i - k + 1, F.lit(1)))).otherwise(0.0))
+    return F.aggregate(F.sequence(F.lit(1), n), start, step)
+
+
+def sized_subset_sums(k: Column, n: Column) -> Column:
+    """An array with, at place j * (k * (n - k) + 1) + u + 1, how many subsets of j of the numbers 1 to n have a sum of
+    u more than the least one, j (j + 1) / 2, for j from 0 to k and u from 0 to k (n - k)."""
+    width = k * (n - k) + 1
+    start = F.transform(F.sequence(F.lit(0), (k + 1) * width - 1), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+
+    def step(acc: Column, r: Column) -> Column:
+        def more(c: Column, i: Column) -> Column:
+            j, u = F.floor(i / width), i % width
+            back = u - (r - j)  # the number r in j-th place is r - j over the least
+            return c + F.when((j >= 1) & (r >= j) & (back >= 0), F.element_at(acc, (F.greatest((j - 1) * width + back, F.lit(0)) + 1).cast("int"))).otherwise(0.0)
+
+        return F.transform(acc, more)
+
+    return F.aggregate(F.sequence(F.lit(1), n), start, step)
+
+
+def tail_from(counts: Column, low: Column, high: Column) -> Column:
+    """The sum of an array of counts from place low to place high."""
+    return F.aggregate(F.slice(counts, low, high - low + 1), F.lit(0.0), lambda s, c: s + c)
+
+
 def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str) -> DataFrame:
-    """(keys, n1, n0, u, effect, z, p): group 1 greater than group 0; p one-sided, normal, with ties and continuity."""
+    """(keys, n1, n0, u, effect, z, p): group 1 greater than group 0; p one-sided, of all outcomes where a side has at most
+    EXACT_SIDE rows, EXACT rows are there in all and no two are equal, else normal with ties and continuity."""
     g = by_value(df.withColumn("_g", F.col(group).cast("int")), keys, value, "_g")
     ties = g.groupBy(*keys).agg(F.sum(F.pow((F.col("p") + F.col("n")).cast("double"), F.lit(3.0)) - (F.col("p") + F.col("n"))).alias("_t"))
     a = roc_auc(df.withColumn("_g", F.col(group).cast("int")), keys, value, "_g", one_class=None)
@@ -212,7 +246,15 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str) -> Data
     u = F.col("auc") * F.col("n1") * F.col("n0")
     sd = F.sqrt(F.col("n1") * F.col("n0") / F.lit(12.0) * (n + 1 - F.col("_t") / (n * (n - 1))))
     z = F.try_divide(u - F.col("n1") * F.col("n0") / F.lit(2.0) - F.lit(0.5), sd)
-    return j.select(*keys, "n1", "n0", u.alias("u"), F.col("auc").alias("effect"), z.alias("z"), normal_tail(z).alias("p"))
+    whole = F.col("n1") * F.col("n0")
+    few = (F.col("_t") == 0) & (F.least("n1", "n0") <= EXACT_SIDE) & (F.least("n1", "n0") >= 1) & (n <= EXACT)
+    # U has the same distribution with the sides exchanged; k of n is what may have an array.
+    k = F.when(few, F.least("n1", "n0")).otherwise(1).cast("int")
+    size = F.when(few, F.col("n1") + F.col("n0")).otherwise(2).cast("int")
+    last = (k * (k * (size - k) + 1)).cast("int")
+    j = j.withColumn("_u", F.round(u).cast("int")).withColumn("_counts", F.slice(sized_subset_sums(k, size), last + 1, k * (size - k) + 1))
+    exact = tail_from(F.col("_counts"), F.col("_u") + 1, whole.cast("int") + 1) / tail_from(F.col("_counts"), F.lit(1), whole.cast("int") + 1)
+    return j.select(*keys, "n1", "n0", u.alias("u"), F.col("auc").alias("effect"), z.alias("z"), F.when(few, exact).otherwise(normal_tail(z)).alias("p"))
 
 
 def normal_tail(z: Column) -> Column:
@@ -229,17 +271,27 @@ def normal_tail(z: Column) -> Column:
 
 
 def wilcoxon(df: DataFrame, keys: list[str], d: str, tie: str) -> DataFrame:
-    """(keys, n, w, p): signed-rank sum of the positive differences, zeros left out, ties by mean rank; p is two-sided,
-    normal with the correction for ties."""
+    """(keys, n, w, p): signed-rank sum of the positive differences, zeros left out, ties by mean rank; p is two-sided, of
+    all signs where there are at most EXACT differences, none 0 and no two of one size, else normal with the correction
+    for ties."""
+    zeros = df.groupBy(*keys).agg(F.count(F.when(F.col(d) == 0, 1)).alias("_zeros"))
     own = df.filter((F.col(d) != 0) & F.col(d).isNotNull()).withColumn("_a", F.abs(d))
     v = own.groupBy(*keys, "_a").agg(F.count("*").alias("_c"), F.sum((F.col(d) > 0).cast("int")).alias("_pos"))
     r = running(v, keys, value_bucket(F.col("_a")), ["_a"], {"_cum": F.col("_c")})
     rank = F.col("_cum") - (F.col("_c") - 1) / F.lit(2.0)
     c = F.col("_c").cast("double")
     out = r.groupBy(*keys).agg(F.sum("_c").alias("n"), F.sum(rank * F.col("_pos")).alias("w"), F.sum(c * c * c - c).alias("_t"))
+    out = out.join(zeros, keys) if keys else out.crossJoin(zeros)
     n = F.col("n").cast("double")
     z = F.try_divide(F.abs(F.col("w") - n * (n + 1) / 4), F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_t") / 48))
-    return out.withColumn("p", F.least(F.lit(1.0), F.lit(2.0) * normal_tail(z))).drop("_t")
+    few = (F.col("n") <= EXACT) & (F.col("_t") == 0) & (F.col("_zeros") == 0)
+    size = F.when(few, F.col("n")).otherwise(1).cast("int")
+    most = (size * (size + 1) / 2).cast("int")
+    # the smaller of both tails: sums up to the lesser of w and what is left of all ranks
+    low = F.least(F.round("w"), most - F.round("w")).cast("int")
+    out = out.withColumn("_most", most).withColumn("_low", F.when(few, low).otherwise(0)).withColumn("_counts", subset_sums(size, most))
+    exact = F.lit(2.0) * tail_from(F.col("_counts"), F.lit(1), F.col("_low") + 1) / F.pow(F.lit(2.0), n)
+    return out.withColumn("p", F.least(F.lit(1.0), F.when(few, exact).otherwise(F.lit(2.0) * normal_tail(z)))).drop("_t", "_zeros", "_most", "_low", "_counts")
 
 
 def concordant(df: DataFrame, keys: list[str], item: str, x: str, y: str) -> DataFrame:

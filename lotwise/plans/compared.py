@@ -43,12 +43,20 @@ def arm_summary(spark, d):
 PAIRS = f"{SCORES}, dl AS (SELECT a.arm, b.arm AS other, a.rep, a.fold, round(a.auc - b.auc, 12) AS d FROM re a JOIN re b ON a.rep = b.rep AND a.fold = b.fold AND a.arm <> b.arm)"
 
 
-@query(f"""WITH {PAIRS}, wk AS (SELECT arm, other, d, rank() OVER (PARTITION BY arm, other ORDER BY abs(d)) + (count(*) OVER (PARTITION BY arm, other, abs(d)) - 1) / 2e0 AS rk FROM dl WHERE d <> 0), w AS (SELECT arm, other, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w FROM wk GROUP BY arm, other)
-SELECT dl.arm, dl.other, count(*) AS n, round(avg(d), 9) AS mean, round(stddev_samp(d), 7) AS sd, round(avg(d) - {T9} * stddev_samp(d) / sqrt(10), 6) AS low, round(avg(d) + {T9} * stddev_samp(d) / sqrt(10), 6) AS high,
- CAST(count_if(d > 0) AS BIGINT) AS wins, CAST(count_if(d < 0) AS BIGINT) AS losses, round(avg(d) / (stddev_samp(d) / sqrt(10)), 5) AS t, any_value(w.w) AS w FROM dl LEFT JOIN w ON w.arm = dl.arm AND w.other = dl.other GROUP BY dl.arm, dl.other""")
+# Of 10 differences: how many choices of signs have each rank sum from 0 to 55; and the two tails of Student's t for 9 degrees of freedom.
+SIGNS = "sg(k, c) AS (SELECT 0, list_transform(range(56), lambda s: CASE WHEN s = 0 THEN 1 ELSE 0 END) UNION ALL SELECT k + 1, list_transform(range(1, 57), lambda i: c[i] + CASE WHEN i > k + 1 THEN c[i - k - 1] ELSE 0 END) FROM sg WHERE k < 10)"
+T9_TAILS = "(SELECT 1 - 2 / pi() * (a + sin(a) * cos(a) * (1 + 2 / 3e0 * cos(a) ** 2 + 8 / 15e0 * cos(a) ** 4 + 16 / 35e0 * cos(a) ** 6)) FROM (SELECT atan(abs({t}) / 3) AS a))"
+
+
+@query(f"""WITH RECURSIVE {PAIRS}, {SIGNS}, wk AS (SELECT arm, other, d, rank() OVER (PARTITION BY arm, other ORDER BY abs(d)) + (count(*) OVER (PARTITION BY arm, other, abs(d)) - 1) / 2e0 AS rk FROM dl WHERE d <> 0),
+w AS (SELECT arm, other, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w, count(*) AS k, count(DISTINCT abs(d)) AS u FROM wk GROUP BY arm, other),
+pw AS (SELECT arm, other, w, CASE WHEN k = 10 AND u = 10 THEN least(1e0, 2 * list_sum((SELECT c FROM sg WHERE k = 10)[1 : CAST(least(w, 55 - w) AS BIGINT) + 1]) / 1024e0) END AS p_w FROM w),
+st AS (SELECT dl.arm, dl.other, count(*) AS n, avg(d) AS m, stddev_samp(d) AS s, CAST(count_if(d > 0) AS BIGINT) AS wins, CAST(count_if(d < 0) AS BIGINT) AS losses FROM dl GROUP BY dl.arm, dl.other), tt AS (SELECT *, m / (s / sqrt(10)) AS t FROM st)
+SELECT tt.arm, tt.other, n, round(m, 9) AS mean, round(s, 7) AS sd, round(m - {T9} * s / sqrt(10), 6) AS low, round(m + {T9} * s / sqrt(10), 6) AS high, wins, losses, round(t, 5) AS t, round({T9_TAILS.format(t="t")}, 7) AS p_t, w, round(p_w, 9) AS p_w
+FROM tt LEFT JOIN pw ON pw.arm = tt.arm AND pw.other = tt.other""")
 def paired_delta(spark, d):
     p = evaluation.paired(fold_records(spark, d), ["rep", "fold"])
-    return p.select("arm", "other", "n", r("mean"), r("sd", 7), r("low", 6), r("high", 6), "wins", "losses", r("t", 5), "w")
+    return p.select("arm", "other", "n", r("mean"), r("sd", 7), r("low", 6), r("high", 6), "wins", "losses", r("t", 5), r("p_t", 7), "w", r("p_w"))
 
 
 @query(f"WITH {SCORES} SELECT round(regr_slope(auc, n_sensors), 9) AS slope, round(regr_intercept(auc, n_sensors), 9) AS intercept, round(corr(auc, n_sensors), 9) AS r FROM re")
