@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.operators import spread, trees
+from lotwise.operators import kernels, spread, trees
 from lotwise.operators.graph import checkpointed
 
 LARGE, STEPS, NEAR = 1 << 18, 60, 1e-9
@@ -293,11 +293,11 @@ class Fitting:
         return score, sum(t.importance(codes.shape[1]).sum(0) for t in parts), n
 
 
-def grouped(wide_rows: DataFrame, members: DataFrame, plans: dict[int, Plan], schema: str, work: Callable) -> DataFrame:
-    """work(fit, Fitting, first tree, trees) of every task, as rows of ``schema``."""
+def grouped(wide_rows: DataFrame, members: DataFrame, plans: dict[int, Plan], schema: str, work: Callable, whole: bool = False) -> DataFrame:
+    """work(fit, Fitting, first tree, trees) of every task, as rows of ``schema``; whole: no fit is cut into tasks."""
     spark = wide_rows.sparkSession
     logistic = newton(wide_rows, members, some) if (some := {f: p for f, p in plans.items() if isinstance(p.spec, Logistic)}) else {}
-    tasks = tree_tasks(plans, 2 * spark.sparkContext.defaultParallelism)
+    tasks = tree_tasks(plans, 1 if whole else 2 * spark.sparkContext.defaultParallelism)
     known = spark.sparkContext.broadcast((plans, tasks, logistic))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -330,12 +330,7 @@ def scores(wide_rows: DataFrame, members: DataFrame, plans: dict[int, Plan], swa
         k = len(own.other)
         parts = [(-1, 0, score(own.test))]
         for j, sensor in enumerate(own.plan.sensors if swaps else ()):
-            moved = []
-            for rep in range(swaps):
-                x = own.test.copy()
-                x[:, j] = x[np.random.default_rng([fit, sensor, rep]).permutation(k), j]
-                moved.append(x)
-            s = score(np.concatenate(moved)).reshape(swaps, k)
+            s = score(np.concatenate([moved(own, fit, j, rep) for rep in range(swaps)])).reshape(swaps, k)
             parts += [(sensor, rep, s[rep]) for rep in range(swaps)]
         flat = lambda i, dtype: pa.array(np.repeat(np.array([p[i] for p in parts], dtype), k))
         names = pa.concat_tables([own.names] * len(parts))
@@ -356,6 +351,44 @@ def scores(wide_rows: DataFrame, members: DataFrame, plans: dict[int, Plan], swa
     return out
 
 
+def weighted_auc(y: np.ndarray, times: np.ndarray, s: np.ndarray) -> float:
+    """The share of pairs in order, ties a half, rows counted so many times; a half without both classes."""
+    order = np.argsort(s, kind="stable")
+    s, p, n = s[order], (y * times)[order], ((1 - y) * times)[order]
+    start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+    if not p.sum() or not n.sum():
+        return 0.5
+    p, n = np.add.reduceat(p, start), np.add.reduceat(n, start)
+    return float((p * (2 * np.cumsum(n) - n)).sum() / (2.0 * p.sum() * n.sum()))
+
+
+def moved(own: Fitting, fit: int, j: int, rep: int) -> np.ndarray:
+    """The fit's test rows after the values of its j-th sensor changed places."""
+    x = own.test.copy()
+    x[:, j] = x[np.random.default_rng([fit, own.plan.sensors[j], rep]).permutation(len(x)), j]
+    return x
+
+
+def aucs(wide_rows: DataFrame, members: DataFrame, plans: dict[int, Plan], swaps: int = 0) -> DataFrame:
+    """(fit, swap, rep, auc) of the rows of scores(): added up where a fit is scored if there are fits for every core, so
+    that no score leaves its task; else from the scores, as the trees of a fit are spread over tasks then."""
+    spread_out = any(isinstance(p.spec, trees.Forest) for p in plans.values()) and len(plans) < wide_rows.sparkSession.sparkContext.defaultParallelism
+    if spread_out or too_large(members, plans):
+        return kernels.roc_auc(scores(wide_rows, members, plans, swaps), ["fit", "swap", "rep"], "s", weight="times").select("fit", "swap", "rep", "auc")
+
+    def work(fit: int, own: Fitting, first: int, n: int) -> pa.Table:
+        score, _, models = own.made(first, n)
+        y, times = (own.names.column(c).to_numpy().astype(np.int64) for c in ("y", "times"))
+        rows = [(-1, 0, weighted_auc(y, times, score(own.test) / models))]
+        for j, sensor in enumerate(own.plan.sensors if swaps else ()):
+            s = score(np.concatenate([moved(own, fit, j, rep) for rep in range(swaps)])).reshape(swaps, -1) / models
+            rows += [(sensor, rep, weighted_auc(y, times, s[rep])) for rep in range(swaps)]
+        swap, rep, auc = zip(*rows, strict=True)
+        return pa.table({"fit": pa.array([fit] * len(rows), pa.int32()), "swap": pa.array(swap, pa.int32()), "rep": pa.array(rep, pa.int32()), "auc": pa.array(auc, pa.float64())})
+
+    return grouped(wide_rows, members, plans, "fit int, swap int, rep int, auc double", work, whole=True)
+
+
 def importances(wide_rows: DataFrame, members: DataFrame, plans: dict[int, Plan]) -> DataFrame:
     """(fit, sensor_id, importance): |coefficient|, or the mean share of what the splits gain."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,14 +55,19 @@ def pearson(readings: DataFrame, keys: list[str] = ()) -> DataFrame:
     return m.filter("n > 0").select(*keys, "a", "b", r.alias("r"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that spark.checkpoint.dir names."""
+    """df with its lineage cut, in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

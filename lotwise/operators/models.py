@@ -148,7 +148,7 @@ def falls(wide: DataFrame, members: DataFrame, plans: dict[int, Plan], n_splits:
     none = spark.createDataFrame([(f, s) for f, p in plans.items() for s in p.sensors], "fit int, sensor_id int")
     if not inner:
         return none.withColumn("importance", F.lit(0.0))
-    auc = kernels.roc_auc(fits.scores(wide, own, inner, n_repeats), ["fit", "swap", "rep"], "s", weight="times")
+    auc = fits.aucs(wide, own, inner, n_repeats)
     # numbers of plans are fit * most + split, whatever their data
     auc = checkpointed(auc.groupBy("fit", "swap").agg(F.avg("auc").alias("auc")))
     fall = auc.filter("swap >= 0").join(auc.filter("swap = -1").select("fit", F.col("auc").alias("whole")), "fit")
@@ -176,7 +176,7 @@ def chosen(wide: DataFrame, members: DataFrame, sensors: dict[int, tuple[int, ..
     inner = checkpointed(inner_members(members, k, seed, most))
     number = {(d, g, f): i for i, (d, g, f) in enumerate((d, g, f) for d in sensors for g in names for f in range(k))}
     plans = {i: Plan(d * most + f, grid[g], sensors[d]) for (d, g, f), i in number.items()}
-    auc = {r["fit"]: r["auc"] for r in kernels.roc_auc(fits.scores(wide, inner, plans), ["fit"], "s", weight="times").collect()}
+    auc = {r["fit"]: r["auc"] for r in fits.aucs(wide, inner, plans).collect()}
     return {d: {g: sum(auc[number[d, g, f]] for f in range(k)) / k for g in names} for d in sensors}
 
 
@@ -260,7 +260,7 @@ def held_out_aucs(readings: DataFrame, labels: DataFrame, grid: dict[str, object
     kept = kept_sensors(readings, members)
     means = chosen(wide, members, kept, grid)
     plans = {d: Plan(d, grid[best_of(means[d])], own) for d, own in kept.items()}
-    auc = kernels.roc_auc(fits.scores(wide, members, plans), ["fit"], "s").select(F.col("fit").alias("data"), "auc")
+    auc = fits.aucs(wide, members, plans).select(F.col("fit").alias("data"), "auc")
     name = F.element_at(F.array(*[F.lit(w) for w in worlds]), (F.floor(F.col("data") / (k * n_reps)) + 1).cast("int"))
     return auc.select(name.alias("world"), (F.floor(F.col("data") / k) % n_reps).cast("int").alias("rep"), (F.col("data") % k).cast("int").alias("fold"), "auc")
 
@@ -272,5 +272,5 @@ def cv_auc(readings: DataFrame, spec, k: int = 5, seed: str = "fold") -> list[fl
     inner = checkpointed(inner_members(made.members, k, seed))
     n = {(r["data"], r["train"]): r["n"] for r in inner.groupBy("data", "train").agg(F.sum("y").alias("n")).collect()}
     plans = {d: Plan(d, spec, made.sensors) for d in range(k) if n.get((d, False), 0) >= 1 and n.get((d, True), 0) >= 2}
-    found = kernels.roc_auc(fits.scores(made.wide, inner, plans), ["fit"], "s").orderBy("fit").collect() if plans else []
+    found = fits.aucs(made.wide, inner, plans).orderBy("fit").collect() if plans else []
     return [r["auc"] for r in found]

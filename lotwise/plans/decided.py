@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lotwise.operators import calibration, cleaning, evaluation, graph, loop, models, periods, reporting, resampling, stability
@@ -253,6 +255,57 @@ def rolling_arms(spark, d):
     return event_records(spark, d, roles, ("majority", "logreg", "rf", "hgb", "agent_logreg"), ["origin"])
 
 
+#: The rungs of the sweep, from sparse to no drop at all, with either way of attribution.
+RUNGS = {
+    "sparse": {"n_screen": 150, "select_k": 20, "stability_min": 0.5, "max_select": 25}, "operating": {"n_screen": 150, "select_k": 40, "stability_min": 0.3, "max_select": 25},
+    "few": {"n_screen": 150, "select_k": 10, "stability_min": 0.5, "max_select": 10}, "ungrouped": {"n_screen": 150, "select_k": 20, "stability_min": 0.5, "max_select": 25, "corr_threshold": 1.01},
+    "wide": {"n_screen": 150, "select_k": 60, "stability_min": 0.2, "max_select": 60}, "no_drop": {"n_screen": 150, "select_k": 474, "stability_min": 0.0, "max_select": 474},
+}
+SWEEP_CONFIGS = {f"{name}_{how}": loop.Config(base="logreg", attribution=how, **own) for name, own in RUNGS.items() for how in ("permutation", "model")}
+
+
+@query()
+def loop_sweep(spark, d):
+    """Twelve configurations of the loop over 10 folds, as a run table: mean AUC and how many sensors each selects."""
+    x = graph.checkpointed(adapters.embedding_readings(spark, d))
+    roles = evaluation.fold_roles(resampling.stratified_folds(adapters.embedding_units(spark, d), 5, 2), 5)
+    found = loop.sweep(x, roles, list(SWEEP_CONFIGS.values()), f"{graph.shared_folder(spark)}/sweep-{uuid.uuid4().hex}", ["rep", "fold"])
+    names = spark.createDataFrame([(loop.key_of(c), n) for n, c in SWEEP_CONFIGS.items()], "config string, name string")
+    return found.join(F.broadcast(names), "config").groupBy("name").agg(F.count("*").alias("n"), F.avg("auc").alias("auc"), F.stddev_samp("auc").alias("sd"), F.avg("n_selected").alias("n_selected"), F.avg("n_reported").alias("n_reported"))
+
+
+NULL_LOOPS, REAL_LOOPS = 200, 40
+NULL_CONFIG = loop.Config(base="logreg", attribution="model")
+
+
+@query()
+def loop_null_records(spark, d):
+    """The loop itself on 200 worlds of permuted labels and 40 of resampled real ones: what each world is judged by."""
+    x = graph.checkpointed(adapters.embedding_readings(spark, d))
+    units = adapters.embedding_units(spark, d)
+    null = resampling.permuted_labels(units, NULL_LOOPS).select(F.col("rep").alias("data"), "unit_id", "y", F.lit(1).alias("times"))
+    real = resampling.bootstrap_redrawn(units, REAL_LOOPS, loop.LEAST_POSITIVES).select((F.col("rep") + NULL_LOOPS).alias("data"), "unit_id", "y", F.col("mult").cast("int").alias("times"))
+    members = graph.checkpointed(null.unionByName(real).withColumn("train", F.lit(True)))
+    return loop.null_records(loop.runs(x, members, NULL_CONFIG)).withColumn("permuted", F.col("data") < NULL_LOOPS).withColumnRenamed("data", "world")
+
+
+@query()
+def ranker_overlap(spark, d):
+    """How far the first five sensors of the named rankers agree over 12 bootstraps and 25 folds."""
+    x = graph.checkpointed(adapters.embedding_readings(spark, d))
+    units = adapters.embedding_units(spark, d)
+    boots = resampling.bootstrap_redrawn(units, 12, loop.LEAST_POSITIVES)
+    folds = resampling.fold_replicates(units, 5, 5).withColumn("rep", F.col("rep") + 1000)
+    members = boots.select("rep", "unit_id", "y", "mult").unionByName(folds.select("rep", "unit_id", "y", "mult"))
+    members = graph.checkpointed(members.select(F.col("rep").cast("int").alias("data"), "unit_id", "y", F.col("mult").cast("int").alias("times"), F.lit(True).alias("train")))
+    sets = graph.checkpointed(loop.first_sets(x, members, ["univariate", "logreg_coef", "rf_impurity", "agent_model"], 5, RANKER_CONFIG))
+    parts = [stability.pairwise_overlap(sets.filter((F.col("ranker") == n) & ((F.col("rep") >= 1000) == on)).select("rep", "sensor_id"), 5).select(F.lit(n).alias("ranker"), F.lit("folds" if on else "bootstraps").alias("over"), "n_pairs", r("mean"), r("sd", 7)) for n in ("univariate", "logreg_coef", "rf_impurity", "agent_model") for on in (False, True)]
+    return models.together(parts)
+
+
+RANKER_CONFIG = loop.Config(base="logreg", attribution="model", n_screen=150, n_screen_boot=60, select_k=40, stability_min=0.3)
+
+
 @query()
 def plain_path(spark, d):
     """The plain path's survivors, with their groups."""

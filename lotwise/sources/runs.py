@@ -31,3 +31,8 @@ def missing_parts(spark: SparkSession, path: str, by: str, wanted: list[str]) ->
         return list(wanted)
     have = {r[0] for r in spark.read.parquet(path).select(by).distinct().collect()}
     return [w for w in wanted if w not in have]
+
+
+def known_runs(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The records of a table that sweeps add to; None if it isn't there yet."""
+    return spark.read.parquet(folder) if exists(spark, folder) else None

@@ -119,6 +119,9 @@ def test_forests_and_boosted_trees_side_by_side(spark):
     assert all(abs(rows[k] - s) < 1e-12 for k, s in again.items()) and len(again) == len([k for k in rows if k[0] == 0])
     gains = {(r["fit"], r["sensor_id"]): r["importance"] for r in fits.importances(w, m, plans).collect()}
     assert max(range(6), key=lambda j: gains[0, j]) == 0 and abs(sum(gains[0, j] for j in range(6)) - 1) < 1e-9
+    plain = kernels.roc_auc(fits.scores(w, m, plans, swaps=1), ["fit", "swap", "rep"], "s", weight="times")
+    inside = {(r["fit"], r["swap"]): r["auc"] for r in fits.aucs(w, m, plans | {k: plans[4] for k in range(5, 40)}, swaps=1).collect()}
+    assert all(abs(inside[r["fit"], r["swap"]] - r["auc"]) < 1e-12 for r in plain.collect()) and inside[39, -1] == inside[4, -1]
     swapped = kernels.roc_auc(fits.scores(w, m, {0: plans[0], 4: plans[4]}, swaps=2), ["fit", "swap", "rep"], "s", weight="times").groupBy("fit", "swap").agg(F.avg("auc").alias("auc")).collect()
     fall = {(r["fit"], r["swap"]): r["auc"] for r in swapped}
     assert fall[0, -1] - fall[0, 0] > 0.1 and fall[4, -1] - fall[4, 0] > 0.1 and abs(fall[0, -1] - fall[0, 5]) < 0.05

@@ -25,14 +25,14 @@ def test_model_queries_take_every_sensor(spark, name):
 def test_adversarial_validation_scores_every_unit(spark, monkeypatch):
     """Late events that differ are told from early ones, events at random aren't; both in all folds."""
     monkeypatch.setattr(models, "FORESTS", {f"leaf_{k}": trees.Forest(20, k) for k in (1, 10)})
-    seen, scores = [], fits.scores
+    seen, aucs = [], fits.aucs
 
     def look(wide, members, plans, swaps=0):
-        out = scores(wide, members, plans, swaps)
+        out = aucs(wide, members, plans, swaps)
         seen.append((plans, members))
         return out
 
-    monkeypatch.setattr(fits, "scores", look)
+    monkeypatch.setattr(fits, "aucs", look)
     got = {r.labels: r for r in compared.adversarial_validation(spark, SF).collect()}
     assert {k: r.n_folds for k, r in got.items()} == {"era": 15, "control": 15} and abs(got["control"].auc - 0.5) < 0.1
     (inner, _), (outer, members) = seen
@@ -99,3 +99,23 @@ def test_headline_arms_are_registered():
     every = models.arms() | loop.arms()
     assert set(decided.HEADLINE) <= set(every) and set(decided.CV_ARMS) <= set(every)
     assert every["rf_all"].grid and every["agent_rf"].loop.base == "rf"
+
+
+def test_sweeps_go_on_where_they_were(spark, tmp_path, monkeypatch):
+    x = graph.checkpointed(synthetic(spark, 200, 6, 2, 0.3, 0.05, 2))
+    roles = graph.checkpointed(evaluation.fold_roles(resampling.stratified_folds(x.select("unit_id", "y").distinct(), 2), 2))
+    base = {"base": "logreg", "screen": "univariate", "attribution": "model", "n_screen": 6, "n_screen_boot": 6, "n_boot": 2, "n_inner": 1}
+    configs = [loop.Config(**base, select_k=k, stability_min=s) for k in (2, 3) for s in (0.3, 0.6)]
+    made, evidence = [], loop.evidence
+
+    def look(readings, members, cfg, *rest):
+        made.append(sorted(r[0] for r in members.select("data").distinct().collect()))
+        return evidence(readings, members, cfg, *rest)
+
+    monkeypatch.setattr(loop, "evidence", look)
+    key = lambda rows: sorted(tuple(r) for r in rows.collect())
+    first = key(loop.sweep(x, roles.filter("fold = 0"), configs[:3], f"{tmp_path}/sweep", ["rep", "fold"]))
+    assert len(first) == 3 and made == [[0]]  # three configurations share their fits
+    whole = key(loop.sweep(x, roles, configs, f"{tmp_path}/sweep", ["rep", "fold"]))
+    assert len(whole) == 8 and set(first) <= set(whole) and made[1:] == [[0, 1]]
+    assert key(loop.sweep(x, roles, configs, f"{tmp_path}/sweep", ["rep", "fold"])) == whole and len(made) == 2
