@@ -134,9 +134,9 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
     found = written(own.select("page_id", "html").mapInArrow(sums, "page_id bigint, sha binary, size bigint").filter(F.col("page_id").isNotNull() & (F.col("size") >= min_bytes)), "warc-digests")
-    largest = found.groupBy("sha").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1").select("sha", "original")
+    largest = written(found.groupBy("sha").agg(F.max("page_id").alias("original"), F.count("*").alias("n_rows")).filter("n_rows > 1"), "warc-largest")
     # A page_id may stand on several rows: what a row revisits hangs on its payload too.
-    again = found.join(largest, "sha").filter("page_id < original").select("page_id", "sha", "original").distinct()
+    again = joined(found, largest, ["sha"], found.count()).filter("page_id < original").select("page_id", "sha", "original").distinct()
     own = own.join(again.withColumnRenamed("page_id", "_page"), (F.col("page_id") == F.col("_page")) & (F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))) == F.col("sha")), "left")
     return own.select("page_id", "url", "html", "original").mapInArrow(run, "archive string, data binary")
 
@@ -206,14 +206,17 @@ def packed(table: pa.Table) -> bytes:
 
 
 def order_of(row: dict) -> tuple:
-    return row["url_key"], row["captured"], row["page_id"] is not None, row["page_id"] or 0, row["archive"], row["offset"]
+    """By URL key and time. Times are compared as numbers: a capture is page_id seconds after 2020, and as text a year of
+    five digits or before year 0 would stand in the wrong place."""
+    return row["url_key"], row["page_id"] or 0, row["page_id"] is not None, row["archive"], row["offset"]
 
 
 def merged_index(entries: DataFrame, range_rows: int = RANGE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """entries with ``place``, their position in the whole order by URL key, timestamp and page_id, from 0 without
     gaps, and ``capture``, the number of the capture in its URL key's history, from 0."""
-    n_ranges = max(1, -(-entries.count() // range_rows))
-    key = ["url_key", "captured", "page_id", "archive", "offset"]
+    # Ranges are few beside the sample that parts them; in very large tables they grow instead, and are merged as streams.
+    n_ranges = min(max(1, -(-entries.count() // range_rows)), SAMPLE // 8)
+    key = ["url_key", "page_id", "archive", "offset"]
     sample = entries.select(*key).orderBy(F.xxhash64("page_id", "archive", "offset")).limit(SAMPLE).collect() if n_ranges > 1 else []
     sample = sorted(order_of(r.asDict()) for r in sample)
     borders = [sample[len(sample) * i // n_ranges] for i in range(1, n_ranges)] if sample else []

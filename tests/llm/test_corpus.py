@@ -230,6 +230,16 @@ def test_archives_round_trip(spark, monkeypatch):
     assert small == {r.page_id: r.place for r in whole}
 
 
+def test_capture_histories_follow_time_in_any_year(spark):
+    """Also where a year has five digits or is before 0, and in few ranges when the sample is small."""
+    ids = [3 * 10**11, 2 * 10**11, 5, -(10**11), 0, 10**12, None]
+    entries = warc.read_archives(warc.write_archives(pages(spark, [(i, "http://a.b/c", f"text {i}") for i in ids])))
+    for rows in (50_000, 2):
+        got = sorted(warc.merged_index(entries, rows, 2).collect(), key=lambda r: r.place)
+        times = [r.page_id or 0 for r in got]
+        assert times == sorted(times) and [r.capture for r in got] == list(range(len(ids)))
+
+
 def test_archive_odd_rows(spark):
     got = warc.captures(pages(spark, [(None, "u", "x"), (1, "u", "x"), (1, "u", "x"), (2, "u", "x")])).collect()
     assert sorted(((r.page_id or 0), r.record_type, r.refers_to or 0) for r in got) == [(0, "response", 0), (1, "revisit", 2), (1, "revisit", 2), (2, "response", 0)]
