@@ -47,7 +47,7 @@ HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xm
 ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 HEAD_ONLY = frozenset("meta link base title script style template noscript head html".split())
 
-LEVELS, COLUMN = 200, 60
+LEVELS, COLUMN, BLANKS = 200, 60, 8
 COLSPAN, ROWSPAN = 1000, 65534  # fixed values of HTML: the most that a cell can span
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
 MARK = re.compile(r"[>\"']")
@@ -337,11 +337,28 @@ def columns(grid: list, limit: float) -> tuple[dict[int, int], int]:
     return place, sum(place[row[-1][0]] * max(len(lines) for _, _, lines in row) for row in grid if row)
 
 
-def aligned(grid: list) -> list[str]:
+class Place:
+    """How many lists, quotations and tables are around a node, and how much more blank space its whole page may have."""
+
+    def __init__(self, level: int, room: list[int]):
+        self.level, self.room = level, room
+
+    def inside(self) -> Place:
+        return Place(self.level + 1, self.room)
+
+    def take(self, blanks: int) -> bool:
+        """Whether there is room for so many blanks, which are then taken."""
+        if blanks > self.room[0]:
+            return False
+        self.room[0] -= blanks
+        return True
+
+
+def aligned(grid: list, at: Place) -> list[str]:
     text = sum(len(x) for row in grid for _, _, lines in row for x in lines)
     for limit in (float("inf"), COLUMN, 0):
         place, padding = columns(grid, limit)
-        if padding <= 4096 + 8 * text:
+        if padding <= 4096 + 8 * text and at.take(padding):
             break
     else:
         place = None
@@ -361,7 +378,7 @@ def aligned(grid: list) -> list[str]:
     return out
 
 
-def table(node: Node, level: int) -> Generator:
+def table(node: Node, at: Place) -> Generator:
     """A table's caption and rows, cells aligned in columns two spaces apart; cells of several lines stay side by side."""
     rows, captions, more, groups = [], [], [(node, 0)], 0
     while more:
@@ -370,7 +387,7 @@ def table(node: Node, level: int) -> Generator:
         for child in part.children:
             if isinstance(child, str):
                 if child.strip():
-                    captions += yield lines_of(Node("div").with_children([child]), level)
+                    captions += yield lines_of(Node("div").with_children([child]), at)
             elif child.hidden():
                 continue
             elif child.tag in ("tbody", "thead", "tfoot"):
@@ -380,32 +397,33 @@ def table(node: Node, level: int) -> Generator:
                 cells = []
                 for c in child.children:
                     if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden():
-                        cells.append(cell(c, (yield lines_of(c, level))))
+                        cells.append(cell(c, (yield lines_of(c, at))))
                 loose = [c for c in child.children if (not isinstance(c, Node) or c.tag not in ("td", "th"))]
-                if text := (yield lines_of(Node("div").with_children(loose), level)):
+                if text := (yield lines_of(Node("div").with_children(loose), at)):
                     cells.append((text, 1, 1))
                 rows.append((group, cells))
             elif child.tag in ("td", "th"):
-                rows.append((group, [cell(child, (yield lines_of(child, level)))]))
-            elif text := (yield lines_of(Node("div").with_children([child]), level)):
+                rows.append((group, [cell(child, (yield lines_of(child, at)))]))
+            elif text := (yield lines_of(Node("div").with_children([child]), at)):
                 captions += text
         more += reversed(own)
-    return captions + aligned(gridded(rows))
+    return captions + aligned(gridded(rows), at)
 
 
-def rendered(node: Node) -> list[str]:
-    return run(lines_of(node, 0))
+def rendered(node: Node, size: int) -> list[str]:
+    """The lines of a page of so many characters. Blanks that indent and align are at most BLANKS times as many, for all
+    tables, lists and quotations of the page together; where they run out, text stands without."""
+    return run(lines_of(node, Place(0, [4096 + BLANKS * size])))
 
 
-def lines_of(node: Node, level: int) -> Generator:
+def lines_of(node: Node, at: Place) -> Generator:
     flow = Flow()
-    yield fill(flow, node, False, level)
+    yield fill(flow, node, False, at)
     return flow.done()
 
 
-def fill(flow: Flow, node: Node, kept: bool, level: int) -> Generator:
-    """Puts what is visible in node into flow; ``kept`` where white space counts; ``level`` lists, quotations and tables
-    are around it."""
+def fill(flow: Flow, node: Node, kept: bool, at: Place) -> Generator:
+    """Puts what is visible in node into flow; ``kept`` where white space counts."""
     shut = node.tag == "details" and node.get("open") is None
     item = number(node.get("start"), 1, -(10**9), 10**9) if node.tag == "ol" and node.attributes else 1
     for child in node.children:
@@ -430,39 +448,40 @@ def fill(flow: Flow, node: Node, kept: bool, level: int) -> Generator:
             continue
         elif tag == "text" and child.foreign:  # a label at a place of its own
             flow.text(" ")
-            yield fill(flow, child, kept, level)
+            yield fill(flow, child, kept, at)
             flow.text(" ")
         elif tag == "table" or tag == "li" or tag in ("blockquote", "dd"):
             margin = tag in MARGIN
             flow.block(margin)
             if tag == "li" and child.attributes:
                 item = number(child.get("value"), item, -(10**9), 10**9)
-            if level >= LEVELS:
+            if at.level >= LEVELS:
                 start = len(flow.lines)
                 if tag == "li":
                     flow.marks.append(f"{item}. " if node.tag == "ol" else "- ")
                     item += 1
-                yield fill(flow, child, False, level)
+                yield fill(flow, child, False, at)
                 flow.block(margin)
                 if tag == "li" and len(flow.lines) == start:
                     flow.marks.pop()
                 continue
             if tag == "table":
-                lines, mark = (yield table(child, level + 1)), ""
+                lines, mark = (yield table(child, at.inside())), ""
             else:
-                lines = yield lines_of(child, level + 1)
+                lines = yield lines_of(child, at.inside())
                 mark = "  " if tag != "li" else f"{item}. " if node.tag == "ol" else "- "
                 item += tag == "li"
+            indent = " " * len(mark) if at.take(len(mark) * len(lines)) else ""
             for i, line in enumerate(lines):
-                flow.put((mark if not i else " " * len(mark)) + line if line else "")
+                flow.put((mark if not i else indent) + line if line else "")
             flow.block(margin)
         elif tag in BLOCK:
             margin = tag in MARGIN and not (tag in LISTS and node.tag == "li")
             flow.block(margin)
-            yield fill(flow, child, kept or tag in ("pre", "listing", "xmp", "plaintext", "textarea"), level)
+            yield fill(flow, child, kept or tag in ("pre", "listing", "xmp", "plaintext", "textarea"), at)
             flow.block(margin)
         else:
-            yield fill(flow, child, kept or tag == "textarea", level)
+            yield fill(flow, child, kept or tag == "textarea", at)
 
 
 def extract(page: str) -> tuple[str, str, dict[str, int]]:
@@ -475,7 +494,7 @@ def extract(page: str) -> tuple[str, str, dict[str, int]]:
         if node.tag == "title" and not title:
             title = SPACE.sub(" ", "".join(c for c in node.children if isinstance(c, str))).strip()
         more += [c for c in node.children if isinstance(c, Node)]
-    lines = rendered(tree)
+    lines = rendered(tree, len(page))
     return title, "\n".join(lines).strip("\n"), counts
 
 

@@ -149,3 +149,24 @@ def test_odd_rows(spark):
     rows = [(1, None, None, 0), (1, "u", "", 0), (None, "u", "<p>x", 0), (None, "u", "<p>x", 0)]
     got = htmltext.visible_text(spark.createDataFrame(rows, "page_id int, url string, html string, text int")).collect()
     assert sorted((r.page_id or 0, r.text, r.n_lines) for r in got) == [(0, "x", 1), (0, "x", 1), (1, "", 0), (1, "", 0)]
+
+
+def nested_tables(depth, wide):
+    page = "x" * 30
+    for _ in range(depth):
+        page = f"<table><tr><td>{'y' * wide}<td>{page}<tr><td>a<td>b</table>"
+    return page
+
+
+@pytest.mark.parametrize("depth, wide", [(10, 10), (40, 40), (150, 60), (199, 5)])
+def test_blank_space_of_tables_in_tables_is_bounded_for_the_page(depth, wide):
+    """An inner table's padding isn't text that an outer one may pad anew."""
+    page = nested_tables(depth, wide)
+    text = htmltext.extract(page)[1]
+    assert len(text) < 4096 + 10 * len(page) and text.count("y") == depth * wide and text.count("x") == 30
+
+
+def test_indents_of_lists_in_lists_are_bounded_for_the_page():
+    page = "<ul><li>" * 190 + "<br>".join("x" * 3000) + "</ul>" * 190
+    text = htmltext.extract(page)[1]
+    assert len(text) < 4096 + 10 * len(page) and text.count("x") == 3000
