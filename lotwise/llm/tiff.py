@@ -308,18 +308,36 @@ def read_page(data: bytes, order: str, fields: dict[int, tuple], most: int = 1 <
     return Page(width, height, bits, samples, codec, predictor, page.tobytes())
 
 
-def read_pages(data: bytes) -> list[Page | BadTiff]:
-    """The pages in the order of their directories, an error in place of one that can't be read; a broken chain of
-    directories ends the list with its error."""
-    out, chain = [], directories(data)
+def each_page(data: bytes, most: int = 1 << 30) -> Iterator[Page | BadTiff]:
+    """The pages in the order of their directories, one at a time, an error in place of one that can't be read; a broken
+    chain of directories ends with its error. All pages of a file have ``most`` bytes of samples together: a page that
+    doesn't fit into what is left of them is an error."""
+    chain = directories(data)
     while True:
         try:
             order, fields = next(chain)
-            out.append(read_page(data, order, fields))
+            page = read_page(data, order, fields, most)
+            most -= len(page.data)
+            yield page
         except StopIteration:
-            return out
+            return
         except BadTiff as why:
-            out.append(why)
+            yield why
+
+
+def read_pages(data: bytes, most: int = 1 << 30) -> list[Page | BadTiff]:
+    return list(each_page(data, most))
+
+
+def count_pages(data: bytes) -> int:
+    """How many each_page() gives."""
+    n = 0
+    try:
+        for _ in directories(data):
+            n += 1
+    except BadTiff:
+        n += 1
+    return n
 
 
 PAGES = "page int, n_pages int, width int, height int, bits int, samples int, codec int, predictor int, data binary, error string"
@@ -329,7 +347,8 @@ def tiff_pages(df: DataFrame, key: str, media: str) -> DataFrame:
     """One row per page of each file in the binary column ``media``, with the bigint column ``key``.
 
     A page that can't be read has the reason in ``error`` and no samples; a null or empty file, or one without a page,
-    gives one row with page null. No file stops the job. Samples of up to 8 bits come as one byte each, of 16 as two.
+    gives one row with page null. No file stops the job: a task holds one page, and a file's pages have 1 GiB of samples
+    together, beyond which they are error rows. Samples of up to 8 bits come as one byte each, of 16 as two.
     Rows with equal keys or equal files each give their own rows, and other columns of df play no part.
     """
 
@@ -338,15 +357,16 @@ def tiff_pages(df: DataFrame, key: str, media: str) -> DataFrame:
         kinds = [pa.int64(), *[pa.int32()] * 8, pa.binary(), pa.string()]
         for batch in batches:
             for row, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = read_pages(data.as_py() or b"")
-                rows = []
-                for i, p in enumerate(found):
+                data = data.as_py() or b""
+                n = count_pages(data)
+                for i, p in enumerate(each_page(data)):
                     if isinstance(p, Page):
-                        rows.append((row, i, len(found), p.width, p.height, p.bits, p.samples, p.codec, p.predictor, p.data, None))
+                        out = (row, i, n, p.width, p.height, p.bits, p.samples, p.codec, p.predictor, p.data, None)
                     else:
-                        rows.append((row, i if len(found) > 1 else None, len(found), *[None] * 7, str(p)))
-                rows = rows or [(row, *[None] * 9, "no page")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        out = (row, i if n > 1 else None, n, *[None] * 7, str(p))
+                    yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(out, kinds, strict=True)], names)
+                if not n:
+                    yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((row, *[None] * 9, "no page"), kinds, strict=True)], names)
 
     return df.select(df[key].cast("bigint").alias(key), df[media]).mapInArrow(run, f"{key} bigint, {PAGES}")
 

@@ -99,3 +99,13 @@ def test_features_against_plain_python(spark):
     assert {f[0][0] for f in forms} == {tiff.LZW, tiff.PACKBITS, tiff.DEFLATE}
     assert got[2].asDict() | {"doc_id": 7} == got[7].asDict()
     assert tiff.stored_features(tiff.store_texts(docs.limit(0))).count() == 0
+
+
+def test_pages_that_share_a_strip_are_bounded_together(spark):
+    """A small file with many directories on one strip: pages come one at a time, and beyond the file's limit as errors."""
+    many = tiff_of(*[(GREY, [b"abcd"])] * 50)
+    found = tiff.read_pages(many, 4 * 20)
+    assert [isinstance(p, tiff.Page) for p in found] == [True] * 20 + [False] * 30 and tiff.count_pages(many) == 50
+    assert all("more than 0 bytes" in str(p) for p in found[20:])
+    got = tiff.tiff_pages(spark.createDataFrame([(1, many), (2, b"")], "k int, f binary"), "k", "f").collect()
+    assert [r.page for r in got if r.k == 1] == list(range(50)) and {r.n_pages for r in got if r.k == 1} == {50}
