@@ -88,6 +88,44 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "sensor_id") -> D
         now = after.drop("old")
 
 
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """(a, b, w): of edges(a, b, w) a forest of greatest weight, by Boruvka's rounds: each component takes the heaviest edge
+    that leaves it, ties by name, and components that meet are one from then on. Cut at any weight, its components are
+    those of all edges of that weight or more. Rounds are as many as the logarithm of the nodes; edges inside components go.
+    """
+    left = checkpointed(edges.filter("a <> b").select("a", "b", "w", F.col("a").alias("x"), F.col("b").alias("z")))
+    forest = left.select("a", "b", "w").limit(0)
+    while left.head(1):
+        order = F.struct("w", (-F.col("a")).alias("i"), (-F.col("b")).alias("j"), F.least("x", "z").alias("x"), F.greatest("x", "z").alias("z"))
+        both = left.select(F.col("x").alias("part"), order.alias("e")).unionByName(left.select(F.col("z").alias("part"), order.alias("e")))
+        taken = checkpointed(both.groupBy("part").agg(F.max("e").alias("e")).select((-F.col("e.i")).alias("a"), (-F.col("e.j")).alias("b"), "e.w", "e.x", "e.z").distinct())
+        forest = checkpointed(forest.unionByName(taken.select("a", "b", "w")))
+        parts = taken.select(F.col("x").alias("node")).unionByName(taken.select(F.col("z").alias("node")))
+        names = components(parts, taken.select(F.col("x").alias("a"), F.col("z").alias("b")), "node")
+        own = left.join(names.select(F.col("node").alias("x"), F.col("cluster_id").alias("nx")), "x").join(names.select(F.col("node").alias("z"), F.col("cluster_id").alias("nz")), "z")
+        left = checkpointed(own.filter("nx <> nz").select("a", "b", "w", F.col("nx").alias("x"), F.col("nz").alias("z")))
+    return forest
+
+
+def cut_forest(nodes: DataFrame, forest: DataFrame, thresholds: list[float], node: str = "sensor_id") -> DataFrame:
+    """(threshold, node, cluster_id): the groups that edges of each threshold or more connect, for all thresholds at once."""
+    wide = 1 << 32
+    levels = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("t")) for i, t in enumerate(thresholds)])
+    name = lambda c: (F.col("l.i").cast("long") * wide + F.col(c)).alias(c)
+    every = nodes.select(F.col(node).alias("node")).distinct().withColumn("l", F.explode(levels)).select(name("node"))
+    kept = forest.withColumn("l", F.explode(levels)).filter(F.col("w") >= F.col("l.t")).select(name("a"), name("b"))
+    found = components(every, kept, "node")
+    threshold = F.element_at(F.array(*[F.lit(float(t)) for t in thresholds]), (F.floor(F.col("node") / wide) + 1).cast("int"))
+    part = lambda c, to: (F.col(c) % wide).cast("int").alias(to)
+    return found.select(threshold.alias("threshold"), part("node", node), part("cluster_id", "cluster_id"))
+
+
+def clusters_at(readings: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, sensor_id, cluster_id): correlation_clusters() at each threshold, from one search."""
+    edges = pearson(readings).select("a", "b", F.round(F.abs("r"), 9).alias("w")).filter(F.col("w") >= min(thresholds))
+    return cut_forest(readings.select("sensor_id"), spanning_forest(edges), thresholds)
+
+
 def correlation_clusters(readings: DataFrame, threshold: float) -> DataFrame:
     """(sensor_id, cluster_id): connected by |r| >= threshold, each group named after its first sensor."""
     edges = pearson(readings).filter(F.round(F.abs("r"), 9) >= threshold)

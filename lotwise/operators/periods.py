@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.hashing import digest, normal
 from lotwise.operators import kernels, resampling
+from lotwise.operators.graph import checkpointed
 
 
 def with_blocks(readings: DataFrame, units: DataFrame, k: int) -> DataFrame:
@@ -36,29 +37,77 @@ def strength(auc: Column, se: Column) -> Column:
     return F.round(F.abs(auc - 0.5) / se, 9)
 
 
-def association(readings: DataFrame, units: DataFrame, n_perms: int) -> DataFrame:
-    """(sensor_id, auc, se, z, p): p = (1 + permutations with z at least as large) / (n_perms + 1).
+class MeanRanks:
+    """Each sensor's mean ranks, taken once: a label permutation moves no value, so that it sums the ranks of its positives
+    only, a row a failing unit and not a unit."""
 
-    A label permutation moves no value, so that mean ranks are taken once, and each permutation sums those of its
-    positives only: n_perms rows a failing unit, not a unit.
-    """
-    own = kernels.cumulated(readings, ["sensor_id"], "value", "y").withColumn("rk", (F.col("cp") + F.col("cn")) - (F.col("p") + F.col("n") - 1) / F.lit(2.0))
-    ranks = readings.filter("value is not null").join(own.select("sensor_id", F.col("v").alias("value"), "rk"), ["sensor_id", "value"]).select("unit_id", "sensor_id", "y", "rk")
-    size = ranks.groupBy("sensor_id").agg(F.count("*").alias("m"))
+    def __init__(self, readings: DataFrame):
+        own = kernels.cumulated(readings, ["sensor_id"], "value", "y").withColumn("rk", (F.col("cp") + F.col("cn")) - (F.col("p") + F.col("n") - 1) / F.lit(2.0))
+        self.ranks = readings.filter("value is not null").join(own.select("sensor_id", F.col("v").alias("value"), "rk"), ["sensor_id", "value"]).select("unit_id", "sensor_id", "y", "rk")
+        self.size = self.ranks.groupBy("sensor_id").agg(F.count("*").alias("m"))
 
-    def z_of(rows: DataFrame, keys: list[str]) -> DataFrame:
-        s = rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n1"), F.sum("rk").alias("s")).join(F.broadcast(size), "sensor_id")
+    def strengths(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        s = rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n1"), F.sum("rk").alias("s")).join(F.broadcast(self.size), "sensor_id")
         n0 = F.col("m") - F.col("n1")
         s = s.withColumn("auc", F.when(n0 > 0, (F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * n0)))
         return s.withColumn("se", kernels.hanley_error(F.col("auc"), F.col("n1"), n0)).withColumn("z", strength(F.col("auc"), F.col("se")))
 
-    real = z_of(ranks.filter("y = 1"), ["sensor_id"]).select("sensor_id", "auc", "se", "z")
-    perms = resampling.permuted_labels(units, n_perms).filter("y = 1").select("rep", "unit_id")
-    null = z_of(ranks.drop("y").join(perms, "unit_id"), ["rep", "sensor_id"]).select("sensor_id", F.col("z").alias("zp"))
+    def real(self) -> DataFrame:
+        return self.strengths(self.ranks.filter("y = 1"), ["sensor_id"]).select("sensor_id", "auc", "se", "z")
+
+    def null(self, units: DataFrame, n_perms: int, start: int = 0, sensors: list[int] | None = None) -> DataFrame:
+        """(rep, sensor_id, z) of the permutations from start on, of some sensors or all."""
+        perms = resampling.permuted_labels(units, n_perms, start=start).filter("y = 1").select("rep", "unit_id")
+        ranks = self.ranks if sensors is None else self.ranks.filter(F.col("sensor_id").isin(sensors))
+        return self.strengths(ranks.drop("y").join(perms, "unit_id"), ["rep", "sensor_id"]).select("rep", "sensor_id", "z")
+
+
+def association(readings: DataFrame, units: DataFrame, n_perms: int) -> DataFrame:
+    """(sensor_id, auc, se, z, p): p = (1 + permutations with z at least as large) / (n_perms + 1)."""
+    ranks = MeanRanks(readings)
+    real, null = ranks.real(), ranks.null(units, n_perms).select("sensor_id", F.col("z").alias("zp"))
     hits = null.join(F.broadcast(real.select("sensor_id", "z")), "sensor_id").groupBy("sensor_id").agg(F.count(F.when(F.col("zp") >= F.col("z"), 1)).alias("hits"))
     return real.join(hits, "sensor_id", "left").withColumn("p", (F.coalesce("hits", F.lit(0)) + F.lit(1.0)) / F.lit(n_perms + 1.0)).drop("hits")
 
 
+def sequential_p(real: DataFrame, null, most: int, stop: int, batch: int) -> DataFrame:
+    """(sensor_id, n_perms, hits, p) after Besag and Clifford (1991), for real(sensor_id, x) and null(n, start, sensors), the
+    (rep, sensor_id, x) of n permutations from number start on.
+
+    A sensor leaves at the permutation in which x is as large as the real one for the stop-th time, with p = stop / number
+    of permutations; one that stays to the end has (hits + 1) / (most + 1). Permutations have numbers, and batches double,
+    so that p doesn't hang on their size. Sensors with clear answers leave after a few, and only strong ones see them all.
+    """
+    spark = real.sparkSession
+    real = checkpointed(real.select("sensor_id", F.col("x").alias("x0")))
+    hits = {r["sensor_id"]: 0 for r in real.collect()}  # a row a sensor
+    out, start = [], 0
+    while hits and start < most:
+        n = min(batch, most - start)
+        same = null(n, start, sorted(hits)).join(F.broadcast(real), "sensor_id").filter("x >= x0").select("sensor_id", "rep")
+        need = spark.createDataFrame([(s, stop - h) for s, h in hits.items()], "sensor_id int, need int")
+        turn = F.row_number().over(Window.partitionBy("sensor_id").orderBy("rep"))  # at most a batch's rows
+        found = same.withColumn("turn", turn).join(F.broadcast(need), "sensor_id").groupBy("sensor_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("turn") == F.col("need"), F.col("rep"))).alias("last"))
+        for r in found.collect():
+            if r["last"] is not None:
+                out.append((r["sensor_id"], r["last"] + 1, stop, stop / (r["last"] + 1)))
+                del hits[r["sensor_id"]]
+            else:
+                hits[r["sensor_id"]] += r["n"]
+        start, batch = start + n, 2 * batch
+    out += [(s, most, h, (h + 1) / (most + 1)) for s, h in hits.items()]
+    return spark.createDataFrame(out, "sensor_id int, n_perms int, hits int, p double")
+
+
+def sequential_association(readings: DataFrame, units: DataFrame, most: int = 20_000, stop: int = 10, batch: int = 128) -> DataFrame:
+    """association() with up to ``most`` permutations, as many as a sensor needs."""
+    ranks = MeanRanks(readings)
+    ranks.ranks = checkpointed(ranks.ranks)
+    real = checkpointed(ranks.real())
+    null = lambda n, start, sensors: ranks.null(units, n, start, sensors).withColumnRenamed("z", "x")
+    return real.join(F.broadcast(sequential_p(real.select("sensor_id", F.col("z").alias("x")), null, most, stop, batch)), "sensor_id")
+
+
 def heterogeneity(readings: DataFrame, blocks: DataFrame, keys: list[str] = ()) -> DataFrame:
     """kernels.cochran_q of AUCs by block, for blocks(keys, unit_id, block); ranks are taken anew in each block."""
     keys = list(keys)
@@ -74,6 +123,17 @@ def invariance(readings: DataFrame, units: DataFrame, k: int, n_perms: int) -> D
     return real.join(hits, "sensor_id", "left").withColumn("p", (F.coalesce("hits", F.lit(0)) + F.lit(1.0)) / F.lit(n_perms + 1.0)).drop("hits")
 
 
+def sequential_invariance(readings: DataFrame, units: DataFrame, k: int, most: int = 20_000, stop: int = 10, batch: int = 16) -> DataFrame:
+    """invariance() with up to ``most`` permutations of the blocks, as many as a sensor needs."""
+    real = checkpointed(heterogeneity(readings, resampling.time_blocks(units, k).select("unit_id", "block")))
+
+    def null(n: int, start: int, sensors: list[int]) -> DataFrame:
+        some = readings.filter(F.col("sensor_id").isin(sensors))
+        return heterogeneity(some, resampling.permuted_blocks(units, k, n, start=start), ["rep"]).select("rep", "sensor_id", F.round("q", 9).alias("x"))
+
+    return real.join(F.broadcast(sequential_p(real.select("sensor_id", F.round("q", 9).alias("x")), null, most, stop, batch)), "sensor_id")
+
+
 def gated(associated: DataFrame, invariant: DataFrame, alpha: float) -> DataFrame:
     """(sensor_id, p_assoc, associated, p_inv, invariant): the second test only for sensors that pass the first.
 

@@ -11,8 +11,9 @@ from lotwise.functions.hashing import digest, draw
 from lotwise.operators.running import numbered, shuffled, tiles
 
 
-def reps(df: DataFrame, n: int, name: str = "rep") -> DataFrame:
-    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+def reps(df: DataFrame, n: int, name: str = "rep", start: int = 0) -> DataFrame:
+    """df once for each number from start on, n of them."""
+    return df.withColumn(name, F.explode(F.sequence(F.lit(start), F.lit(start + n - 1))))
 
 
 def stratified_folds(units: DataFrame, k: int = 5, n_reps: int = 1, seed: str = "fold") -> DataFrame:
@@ -66,17 +67,17 @@ def fold_replicates(units: DataFrame, k: int = 5, n_reps: int = 5, seed: str = "
     return folds.select((F.col("rep") * k + F.col("out")).cast("int").alias("rep"), "unit_id", "y", F.lit(1).cast("long").alias("mult"))
 
 
-def permuted_labels(units: DataFrame, n_reps: int, seed: str = "perm") -> DataFrame:
-    """(rep, unit_id, y): labels shuffled over the units in each repetition; class counts stay."""
+def permuted_labels(units: DataFrame, n_reps: int, seed: str = "perm", start: int = 0) -> DataFrame:
+    """(rep, unit_id, y): labels shuffled over the units in each repetition, of number start or more; class counts stay."""
     here = shuffled(units.select("unit_id", "y"), [], digest("order", F.col("unit_id")))
-    there = shuffled(reps(units.select("unit_id"), n_reps), ["rep"], digest(seed, F.col("rep"), F.col("unit_id")))
+    there = shuffled(reps(units.select("unit_id"), n_reps, start=start), ["rep"], digest(seed, F.col("rep"), F.col("unit_id")))
     return there.join(here.select("row", "y"), "row").select("rep", "unit_id", "y")
 
 
-def permuted_blocks(units: DataFrame, k: int, n_reps: int, seed: str = "block") -> DataFrame:
-    """(rep, unit_id, block): units dealt at random into blocks of the sizes that time blocks have."""
+def permuted_blocks(units: DataFrame, k: int, n_reps: int, seed: str = "block", start: int = 0) -> DataFrame:
+    """(rep, unit_id, block): units dealt at random into blocks of the sizes that time blocks have, from repetition start."""
     n = units.agg(F.count("*").alias("_n"))
-    r = shuffled(reps(units.select("unit_id"), n_reps), ["rep"], digest(seed, F.col("rep"), F.col("unit_id"))).crossJoin(F.broadcast(n))
+    r = shuffled(reps(units.select("unit_id"), n_reps, start=start), ["rep"], digest(seed, F.col("rep"), F.col("unit_id"))).crossJoin(F.broadcast(n))
     size, more = F.floor(F.col("_n") / k), F.col("_n") % k
     big = more * (size + 1)
     block = F.when(F.col("row") <= big, F.floor((F.col("row") - 1) / (size + 1)) + 1).otherwise(F.floor((F.col("row") - 1 - big) / F.greatest(size, F.lit(1))) + more + 1)

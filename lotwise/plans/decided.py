@@ -91,13 +91,10 @@ reach(threshold, node, other) AS (SELECT DISTINCT threshold, sensor_id, sensor_i
 cl AS (SELECT threshold, node, min(other) AS c FROM reach GROUP BY threshold, node), g AS (SELECT threshold, c, count(*) AS m FROM cl GROUP BY threshold, c)
 SELECT threshold, CAST(sum(m) AS BIGINT) AS n_sensors, count(*) AS n_clusters, max(m) AS largest, CAST(coalesce(sum(CASE WHEN m > 1 THEN m END), 0) AS BIGINT) AS in_multi FROM g GROUP BY threshold""")
 def cluster_thresholds(spark, d):
-    """Sizes of the groups of correlated sensors at several thresholds."""
-    x, out = graph.checkpointed(correlated(spark, d)), None
-    for t in (CUT, 0.2, 0.9):
-        g = graph.correlation_clusters(x, t).groupBy("cluster_id").agg(F.count("*").alias("m"))
-        n = g.agg(F.sum("m").alias("n_sensors"), F.count("*").alias("n_clusters"), F.max("m").alias("largest"), F.coalesce(F.sum(F.when(F.col("m") > 1, F.col("m"))), F.lit(0)).cast("bigint").alias("in_multi")).select(F.lit(t).alias("threshold"), "*")
-        out = n if out is None else out.unionByName(n)
-    return out
+    """Sizes of the groups of correlated sensors at several thresholds, all cut from one spanning forest."""
+    found = graph.clusters_at(graph.checkpointed(correlated(spark, d)), [CUT, 0.2, 0.9])
+    g = found.groupBy("threshold", "cluster_id").agg(F.count("*").alias("m"))
+    return g.groupBy("threshold").agg(F.sum("m").alias("n_sensors"), F.count("*").alias("n_clusters"), F.max("m").alias("largest"), F.coalesce(F.sum(F.when(F.col("m") > 1, F.col("m"))), F.lit(0)).cast("bigint").alias("in_multi"))
 
 
 GATE_PERMS, GATE_ALPHA = 20, 0.2
