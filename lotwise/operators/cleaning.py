@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.operators import kernels
+from lotwise.operators import kernels, selection
 
 
 def signatures(readings: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,7 +78,8 @@ def time_span(units: DataFrame) -> DataFrame:
 
 def medians(readings: DataFrame, keys: list[str] = ()) -> DataFrame:
     """(keys, sensor_id, med): the exact median of the observed values, 0 where there is none."""
-    return readings.groupBy(*keys, "sensor_id").agg(F.coalesce(F.percentile("value", 0.5), F.lit(0.0)).alias("med"))
+    found = selection.quantile(readings, [*keys, "sensor_id"], "value", 0.5)
+    return found.select(*keys, "sensor_id", F.coalesce("value", F.lit(0.0)).alias("med"))
 
 
 def impute(readings: DataFrame, fitted: DataFrame, keys: list[str] = ()) -> DataFrame:

@@ -13,7 +13,7 @@ import statistics
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.operators.running import running, value_bucket
+from lotwise.operators.running import running, value_buckets
 
 
 def by_value(df: DataFrame, keys: list[str], score: str, y: str, weight: str | None = None) -> DataFrame:
@@ -24,7 +24,7 @@ def by_value(df: DataFrame, keys: list[str], score: str, y: str, weight: str | N
 
 def cumulated(df: DataFrame, keys: list[str], score: str, y: str, weight: str | None = None) -> DataFrame:
     """by_value with the running sums cp and cn up to each value, itself included."""
-    return running(by_value(df, keys, score, y, weight), keys, value_bucket(F.col("v")), ["v"], {"cp": F.col("p"), "cn": F.col("n")})
+    return running(by_value(df, keys, score, y, weight), keys, value_buckets(F.col("v")), ["v"], {"cp": F.col("p"), "cn": F.col("n")})
 
 
 def roc_auc(df: DataFrame, keys: list[str], score: str = "value", y: str = "y", weight: str | None = None, one_class: float | None = 0.5) -> DataFrame:
@@ -277,7 +277,7 @@ def wilcoxon(df: DataFrame, keys: list[str], d: str, tie: str) -> DataFrame:
     zeros = df.groupBy(*keys).agg(F.count(F.when(F.col(d) == 0, 1)).alias("_zeros"))
     own = df.filter((F.col(d) != 0) & F.col(d).isNotNull()).withColumn("_a", F.abs(d))
     v = own.groupBy(*keys, "_a").agg(F.count("*").alias("_c"), F.sum((F.col(d) > 0).cast("int")).alias("_pos"))
-    r = running(v, keys, value_bucket(F.col("_a")), ["_a"], {"_cum": F.col("_c")})
+    r = running(v, keys, value_buckets(F.col("_a")), ["_a"], {"_cum": F.col("_c")})
     rank = F.col("_cum") - (F.col("_c") - 1) / F.lit(2.0)
     c = F.col("_c").cast("double")
     out = r.groupBy(*keys).agg(F.sum("_c").alias("n"), F.sum(rank * F.col("_pos")).alias("w"), F.sum(c * c * c - c).alias("_t"))

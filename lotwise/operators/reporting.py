@@ -68,6 +68,42 @@ def checked_claims(claims: DataFrame, measured: DataFrame, digits: int = 3) -> D
     return out.select("label", "source", "expected", "value", F.coalesce(F.round("expected", digits) == F.round("value", digits), F.lit(False)).alias("ok"))
 
 
+#: What a claim has: the run that it is about, the paths of its values in the run's document, a Java format and a factor.
+#: With ``records``, the path of an array, paths are those of its elements, those whose path ``where`` is true (NULL: all),
+#: and ``how`` makes one value of theirs: count, sum, avg, min or max.
+CLAIM = "label string, source string, paths array<string>, format string, factor double, records string, `where` string, how string"
+FOLDS = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
+
+
+def texts_of_claims(claims: DataFrame, runs: DataFrame) -> DataFrame:
+    """(label, source, n_runs, text) of claims of the schema CLAIM, from runs(source, document VARIANT) of any schemas, all
+    in one plan. Labels are unique. A claim without a run, or one of whose values or records aren't
+    there, has no text."""
+    known = runs.withColumn("_run", F.lit(1))
+    c = claims.join(known, "source", "left").withColumn("_part", F.when(F.col("records").isNull(), F.array("document")).otherwise(F.expr("try_variant_get(document, records, 'array<variant>')")))
+    c = c.withColumn("_has", F.col("_part").isNotNull()).withColumn("_part", F.explode_outer("_part"))
+    keep = F.col("where").isNull() | F.coalesce(F.expr("try_variant_get(_part, `where`, 'boolean')"), F.lit(False))
+    c = c.withColumn("_keep", keep & F.col("_run").isNotNull()).select("*", F.posexplode_outer("paths").alias("_at", "_path"))
+    value = F.when(F.col("_keep"), F.expr("try_variant_get(_part, _path, 'double')"))
+    folded = F.when(F.col("how").isNull(), F.max(value))
+    for name, fold in FOLDS.items():
+        folded = folded.when((F.col("how") == name) & F.max("_has"), fold(value).cast("double"))
+    one = c.groupBy("label", "source", "format", "factor", "how", "_at").agg(folded.alias("_value"), F.count("_run").alias("_runs"))
+    values = one.groupBy("label", "source", "format", "factor").agg(F.array_sort(F.collect_list(F.struct("_at", F.col("_value").alias("value")))).alias("_v"), F.max(F.sign("_runs")).cast("int").alias("n_runs"))
+    v = [F.col("factor") * F.element_at("_v", F.least(F.lit(i), F.size("_v"))).getField("value") for i in (1, 2, 3)]
+    values = values.withColumn("a", v[0]).withColumn("b", v[1]).withColumn("c", v[2])
+    there = (F.col("n_runs") > 0) & ~F.exists("_v", lambda x: x.getField("value").isNull())
+    return values.select("label", "source", "n_runs", F.when(there, F.expr("format_string(format, a, b, c)")).alias("text"))
+
+
+def audited(texts: DataFrame, document: str) -> DataFrame:
+    """(label, source, text, status) of texts_of_claims: 'no run' (which is tolerated), 'no value', 'absent' if the
+    document doesn't have the text, else 'ok'. Typographic signs for minus and dashes count as '-'."""
+    plain = document.translate(dict.fromkeys((0x2212, 0x2013, 0x2014), "-"))
+    status = F.when(F.col("n_runs") == 0, "no run").when(F.col("text").isNull(), "no value").when(F.contains(F.lit(plain), F.col("text")), "ok").otherwise("absent")
+    return texts.select("label", "source", "text", status.alias("status"))
+
+
 def inject(document: str, sections: dict[str, str]) -> str:
     """document with the text between each section's marks replaced; sections without marks are left out."""
     for name, text in sections.items():

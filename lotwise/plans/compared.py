@@ -69,9 +69,9 @@ def concordant_pairs(spark, d):
     return kernels.concordant(fold_records(spark, d).groupBy("arm").agg(F.avg("auc").alias("auc"), F.avg("ap").alias("ap")), [], "arm", "auc", "ap")
 
 
-@query("WITH a AS (SELECT unnest(['top1', 'top5', 'top25', 'all']) AS arm, unnest([1, 5, 25, 64]) AS n), j AS (SELECT x.arm, z.arm AS match, CAST(abs(x.n - z.n) AS INTEGER) AS gap FROM a x JOIN a z ON x.arm <> z.arm) SELECT arm, match, gap FROM j QUALIFY row_number() OVER (PARTITION BY arm ORDER BY gap, match) = 1")
+@query(f"WITH {SCORES}, a AS (SELECT DISTINCT arm, n_sensors AS n FROM re), j AS (SELECT x.arm, z.arm AS match, CAST(abs(x.n - z.n) AS INTEGER) AS gap FROM a x JOIN a z ON x.arm <> z.arm) SELECT arm, match, gap FROM j QUALIFY row_number() OVER (PARTITION BY arm ORDER BY gap, match) = 1")
 def matched_control(spark, d):
-    arms = spark.createDataFrame(list(ARMS.items()), "arm string, n_sensors int")
+    arms = checkpointed(fold_records(spark, d).select("arm", "n_sensors").distinct())
     return evaluation.matched(arms, arms)
 
 
@@ -119,10 +119,10 @@ query()(support_histogram)
 
 
 def synthetic_recovery(spark, d):
-    """Recall and precision of the univariate ranking on planted causes, for a few seeds."""
-    out = None
+    """Recall and precision of the univariate ranking on causes planted in the units of the embeddings, for a few seeds."""
+    out, units = None, adapters.embedding_units(spark, d)
     for seed in range(3):
-        x = synthetic(spark, 800, 60, 3, 0.12, 0.04, seed)
+        x = checkpointed(synthetic(spark, 0, 60, 3, 0.12, 0.04, seed, units))
         top = cleaning.univariate_top(x, 5).withColumn("seed", F.lit(seed))
         out = top if out is None else out.unionByName(top)
     planted = spark.createDataFrame([(c,) for c in causes(60, 3)], "sensor_id int")

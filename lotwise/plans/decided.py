@@ -10,9 +10,9 @@ from lotwise.operators import calibration, cleaning, evaluation, graph, loop, mo
 from lotwise.plans import calibrated, sql
 from lotwise.plans.basics import COMP, CUT, ORACLES, correlated, query, r
 from lotwise.plans.calibrated import CLUSTER, CLUSTERS, DEPTHS, SUP, supports
-from lotwise.plans.compared import ARMS, PAIRS, SCORES, fold_records
+from lotwise.plans.compared import ARMS, PAIRS, SCORES, T9, fold_records
 from lotwise.plans.timed import BPERMS, HET, INV, TB
-from lotwise.sources import adapters
+from lotwise.sources import adapters, runs
 
 BOOTS, CHOOSE, FIRST = 12, 10, 5
 CFG = loop.Config(stability_min=0.5, select_k=CHOOSE, top_k=FIRST, max_select=6, report_tau=0.75)
@@ -195,6 +195,39 @@ def claims(spark, d):
     return reporting.checked_claims(spark.createDataFrame(CLAIMS, "label string, source string, expected double"), measured).withColumn("value", F.round("value", 9))
 
 
+INTERVAL = "%.3f [%.3f, %.3f]"
+#: Claims about the runs that run_claims writes, and about one that isn't there.
+RUN_CLAIMS = [
+    *[(f"AUC of {a}", "arms", [f"$.per_arm.{a}.{v}" for v in ("mean", "low", "high")], INTERVAL, 1.0, None, None, None) for a in ("top1", "top25", "all")],
+    ("folds better than chance", "arms", ["$.auc"], "%.0f folds", 1.0, "$.records", "$.better", "count"),
+    ("best fold", "arms", ["$.auc"], "%.3f", 1.0, "$.records", None, "max"), ("failures", "profile", ["$.fail_rate"], "%.1f%%", 100.0, None, None, None),
+    ("units", "profile", ["$.n_units"], "%,.0f units", 1.0, None, None, None), ("a field that isn't there", "profile", ["$.n_wafers"], "%.0f", 1.0, None, None, None),
+    ("a run that isn't there", "wafers", ["$.n"], "%.0f", 1.0, None, None, None),
+]
+
+
+@query(f"""WITH {SCORES}, c AS (SELECT arm, round(avg(auc), 6) AS m, round(avg(auc) - {T9} * stddev_samp(auc) / sqrt(10), 6) AS lo, round(avg(auc) + {T9} * stddev_samp(auc) / sqrt(10), 6) AS hi FROM re GROUP BY arm),
+tx AS (SELECT arm, printf('%.3f [%.3f, %.3f]', m, lo, hi) AS t FROM c), un AS (SELECT format('{{:,}} units', count(*)) AS units, printf('%.1f%%', 100 * avg(CAST(label = 3 AS DOUBLE))) AS share FROM embeddings),
+doc AS (SELECT (SELECT string_agg('| ' || arm || ' | ' || t || ' |', chr(10) ORDER BY arm) FROM tx WHERE arm <> 'all') || chr(10) || (SELECT units FROM un) AS doc),
+cl AS (SELECT 'AUC of ' || arm AS label, 'arms' AS source, t AS text FROM tx WHERE arm <> 'top5' UNION ALL SELECT 'folds better than chance', 'arms', count_if(auc > 0.5) || ' folds' FROM re UNION ALL SELECT 'best fold', 'arms', printf('%.3f', round(max(auc), 6)) FROM re
+UNION ALL SELECT 'failures', 'profile', share FROM un UNION ALL SELECT 'units', 'profile', units FROM un UNION ALL SELECT 'a field that isn''t there', 'profile', NULL UNION ALL SELECT 'a run that isn''t there', 'wafers', NULL)
+SELECT label, source, text, CASE WHEN source = 'wafers' THEN 'no run' WHEN text IS NULL THEN 'no value' WHEN contains(doc, text) THEN 'ok' ELSE 'absent' END AS status FROM cl CROSS JOIN doc""")
+def run_claims(spark, d):
+    """Claims read from run documents of different schemas, against a report that has no row of the arm ``all``."""
+    folder = f"{graph.shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    recs = fold_records(spark, d)
+    c = graph.checkpointed(evaluation.summary(recs, ["rep", "fold"]).select("arm", *[F.round(x, 6).alias(x) for x in ("mean", "low", "high")]))
+    per_arm = c.agg(F.map_from_entries(F.collect_list(F.struct("arm", F.struct("mean", "low", "high")))).alias("per_arm"))  # a row an arm
+    every = recs.agg(F.collect_list(F.struct("arm", "rep", "fold", F.round("auc", 6).alias("auc"), (F.col("auc") > 0.5).alias("better"))).alias("records"))  # a row an arm and fold
+    runs.save_run(per_arm.crossJoin(every), F.struct("per_arm", "records"), folder, "arms")
+    profile = cleaning.profile(adapters.embedding_readings(spark, d))
+    runs.save_run(profile, F.struct(*profile.columns), folder, "profile")
+    rows = [(x["arm"], x["t"]) for x in c.filter("arm <> 'all'").select("arm", reporting.interval(*(F.col(x) for x in ("mean", "low", "high"))).alias("t")).orderBy("arm").collect()]
+    report = reporting.markdown_table(["arm", "AUC"], rows) + f"\n{adapters.embedding_units(spark, d).count():,} units"
+    claims = spark.createDataFrame(RUN_CLAIMS, reporting.CLAIM)
+    return reporting.audited(reporting.texts_of_claims(claims, runs.load_runs(spark, folder)), report)
+
+
 CV_ARMS = ("majority", "logreg", "logreg_missind", "univar_top25_rf", "rf", "hgb")
 #: The arms of the headline comparison.
 HEADLINE = ("majority", "univar_top25_rf", "logreg_all", "rf_all", "hgb_all", "agent_rf", "agent_logreg")

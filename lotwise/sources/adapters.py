@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,10 +39,13 @@ def faulty_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def day_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A unit a user and day, a sensor an event type: its mean value, NULL where there was none. Fails with an error."""
+    """A unit a user and day, a sensor an event type, numbered by name: its mean value, NULL where there was none. Fails
+    with an error."""
     e = table(spark, sf_dir, "events").withColumn("unit_id", F.col("user_id") * 100000 + F.unix_date(F.to_date("ts")))
-    wide = e.groupBy("unit_id").agg(F.max((F.col("event_type") == "error").cast("int")).alias("y"), *[F.avg(F.when(F.col("event_type") == t, F.col("value"))).alias(t) for t in EVENT_TYPES])
-    return wide.select("unit_id", "y", F.posexplode(F.array(*EVENT_TYPES)).alias("sensor_id", "v")).select("unit_id", "y", "sensor_id", known(F.col("v")).alias("value"))
+    kinds = sorted(k for (k,) in e.select("event_type").distinct().collect() if k is not None)  # a row a kind
+    means = [F.avg(F.when(F.col("event_type") == k, F.col("value"))).alias(f"s{i}") for i, k in enumerate(kinds)]
+    wide = e.groupBy("unit_id").agg(F.max((F.col("event_type") == "error").cast("int")).alias("y"), *means)
+    return wide.select("unit_id", "y", F.posexplode(F.array(*[f"s{i}" for i in range(len(kinds))])).alias("sensor_id", "v")).select("unit_id", "y", "sensor_id", known(F.col("v")).alias("value"))
 
 
 def event_units(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -36,3 +37,18 @@ def missing_parts(spark: SparkSession, path: str, by: str, wanted: list[str]) ->
 def known_runs(spark: SparkSession, folder: str) -> DataFrame | None:
     """The records of a table that sweeps add to; None if it isn't there yet."""
     return spark.read.parquet(folder) if exists(spark, folder) else None
+
+
+def save_run(df: DataFrame, document: Column, folder: str, source: str) -> None:
+    """df, one row, as the run ``source``: a JSON document of any schema."""
+    df.select(F.to_json(document).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/{source}.json")
+
+
+def load_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, document) of every run in folder: the name of a file, or of a folder of parts, that ends in .json, and its
+    content as a VARIANT, so that runs need no common schema; NULL for what isn't JSON. No rows if there is no folder."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], "source string, document variant")
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    name = F.regexp_extract("_metadata.file_path", r"([^/]+)\.json(?:/[^/]+)?$", 1)
+    return files.select(name.alias("source"), F.try_parse_json("value").alias("document")).filter("source <> ''")
