@@ -1,7 +1,8 @@
 """Operator 8, HTML extraction by layout-aware rendering.
 
 A tree builder reads tags as browsers do, with implied end tags and tags closed out of order; visibility rules drop
-what a browser doesn't show; a renderer emits all text that is left, in the page's order. Blocks stand on lines of
+what a browser doesn't show: attributes, inline styles, and the page's style sheets as far as their rules name a tag, a
+class, an id, or a tag with one of the latter (other selectors and at-rules such as @media are left out); a renderer emits all text that is left, in the page's order. Blocks stand on lines of
 their own, with an empty line where browsers leave a margin; list items bear their marks and indents; the cells of a
 table's rows are aligned in columns, spans of rows and columns included; preformatted text keeps its spaces. The tree
 has any depth. Beyond LEVELS lists, quotations and tables inside each other lines are indented no further and cells
@@ -54,18 +55,32 @@ MARK = re.compile(r"[>\"']")
 NUMBER = re.compile(r"[ \t\n\f\r]*([+-]?)0*([0-9]*)")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 SPACE = re.compile(r"[ \t\n\f\r]+")
-UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+SELECTOR = re.compile(r"([a-z][a-z0-9]*|\*)?(?:([.#])([\w-]+))?", re.I)
+ZERO = re.compile(r"[+-]?(?:0+(?:\.0*)?|\.0+)%?")
+# Fixed values of CSS.
+PROPERTIES = frozenset("display visibility opacity white-space".split())
+OWN_LINES = frozenset("block flex grid list-item table flow-root".split())
+IN_LINE = frozenset("inline inline-block inline-flex inline-grid contents".split())
+KEEPS = frozenset("pre pre-wrap pre-line break-spaces".split())
+ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "foreign")
+    """An element. ``gone``: neither it nor what is in it is shown; ``seen``: its own text is; ``kept``: white space
+    counts; ``lines``: whether it has lines of its own, where a style says so."""
+
+    __slots__ = ("tag", "attributes", "children", "foreign", "gone", "seen", "kept", "lines")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.attributes, self.children, self.foreign = tag, attributes, [], False
+        self.gone, self.seen, self.kept, self.lines = False, True, False, None
 
-    def with_children(self, children: list) -> Node:
-        self.children = children
-        return self
+    def around(self, children: list) -> Node:
+        """A block of some of its children."""
+        node = Node("div")
+        node.children, node.seen, node.kept = children, self.seen, self.kept
+        return node
 
     def get(self, name: str) -> str | None:
         for m in ATTRIBUTE.finditer(self.attributes):
@@ -74,12 +89,124 @@ class Node:
         return None
 
     def hidden(self) -> bool:
+        """Whether it is hidden unless a style shows it."""
+        low = self.attributes.lower()
+        return "hidden" in low and self.get("hidden") is not None or self.tag == "dialog" and self.get("open") is None
+
+    def never(self) -> bool:
+        """Whether it is hidden whatever styles say."""
         if self.tag in HIDDEN or self.foreign and self.tag in UNDRAWN:
             return True
-        if not self.attributes:
-            return False
-        low = self.attributes.lower()
-        return "hidden" in low and (self.get("hidden") is not None or self.tag == "input" and (self.get("type") or "").lower() == "hidden") or "style" in low and bool(UNSEEN.search((self.get("style") or "").lower())) or self.tag == "dialog" and self.get("open") is None
+        return self.tag == "input" and "hidden" in self.attributes.lower() and (self.get("type") or "").lower() == "hidden"
+
+
+def declarations(css: str) -> Iterator[tuple[str, str, bool]]:
+    """(property, value, whether important) of those that bear on what is shown, lower-cased."""
+    for part in css.lower().split(";"):
+        name, colon, value = part.partition(":")
+        if colon and (name := name.strip()) in PROPERTIES:
+            value, mark, _ = value.partition("!")
+            yield name, value.strip(), bool(mark)
+
+
+class Sheet:
+    """The rules of a page's style sheets by (tag, kind, name): of each property the value that wins, with its rank. A node
+    looks up its tag, id and classes, however many rules there are."""
+
+    def __init__(self):
+        self.rules: dict[tuple, dict[str, tuple]] = {}
+        self.order = 0
+
+    def read(self, css: str) -> None:
+        css, at = COMMENT.sub(" ", css.replace("<!--", " ").replace("-->", " ")), 0
+        while (brace := css.find("{", at)) >= 0:
+            head = css[at:brace].rpartition(";")[2].strip()
+            if head.startswith("@"):  # with the rules inside it
+                depth, at = 1, brace + 1
+                for m in re.compile(r"[{}]").finditer(css, at):
+                    depth += 1 if m[0] == "{" else -1
+                    if not depth:
+                        break
+                at = m.end() if depth == 0 else len(css)
+                continue
+            end = css.find("}", brace)
+            end = len(css) if end < 0 else end
+            if found := [*declarations(css[brace + 1 : end])]:
+                for selector in head.split(","):
+                    if (m := SELECTOR.fullmatch(selector.strip())) and m[0]:
+                        self.add(m, found)
+            at = end + 1
+
+    def add(self, selector: re.Match, found: list) -> None:
+        tag, kind, name = (selector[1] or "*").lower(), selector[2] or "", selector[3] or ""
+        weight = (kind == "#", kind == ".", tag != "*")
+        own = self.rules.setdefault((tag, kind, name), {})
+        for prop, value, important in found:
+            self.order += 1
+            own[prop] = max(own.get(prop, ((),)), ((important, 0, *weight, self.order), value))
+
+    def of(self, node: Node) -> dict[str, str]:
+        """What the rules and the node's own style say."""
+        best: dict[str, tuple] = {}
+        if self.rules:
+            names = [("", "")]
+            if node.attributes:
+                names += [(".", c) for c in SPACE.split(node.get("class") or "") if c] + [("#", i) for i in [node.get("id")] if i]
+            for kind, name in names:
+                for tag in (node.tag, "*"):
+                    for prop, ranked in self.rules.get((tag, kind, name), {}).items():
+                        best[prop] = max(best.get(prop, ((),)), ranked)
+        if node.attributes and "style" in node.attributes.lower():
+            for i, (prop, value, important) in enumerate(declarations(COMMENT.sub(" ", node.get("style") or ""))):
+                best[prop] = max(best.get(prop, ((),)), ((important, 1, False, False, False, i), value))
+        return {prop: value for prop, (_, value) in best.items()}
+
+
+def styled(root: Node) -> None:
+    """Sets what is shown of each node: what a display or opacity hides is gone with all in it; visibility and white space
+    are handed down until a node in it says otherwise."""
+    sheet, more = Sheet(), [root]
+    while more:
+        node = more.pop()
+        if node.tag == "style" and not node.foreign and (node.get("media") or "all").lower().strip() in ("", "all", "screen"):
+            sheet.read("".join(c for c in node.children if isinstance(c, str)))
+        elif node.tag not in ("template", "noscript"):
+            more += reversed([c for c in node.children if isinstance(c, Node)])
+    more = [(root, True, False)]
+    while more:
+        node, node.seen, node.kept = more.pop()
+        says = sheet.of(node) if sheet.rules or node.attributes else {}
+        display = says.get("display")
+        node.gone = node.never() or display == "none" or display is None and node.hidden() or bool(ZERO.fullmatch(says.get("opacity", "1")))
+        if node.gone:
+            continue
+        if (v := says.get("visibility")) in ("visible", "hidden", "collapse"):
+            node.seen = v == "visible"
+        if (w := says.get("white-space")) in KEEPS or w in ("normal", "nowrap"):
+            node.kept = w in KEEPS
+        elif node.tag in ("pre", "listing", "xmp", "plaintext", "textarea"):
+            node.kept = True
+        elif node.tag == "table":  # as browsers do in pages without a type
+            node.kept = False
+        node.lines = True if display in OWN_LINES else False if display in IN_LINE else None
+        more += [(c, node.seen, node.kept) for c in node.children if isinstance(c, Node)]
+
+
+def counted(number: int, kind: str | None) -> str:
+    """A number as the mark of a list of type 1, a, A, i or I; decimal where that has none."""
+    if kind in ("a", "A") and number > 0:
+        out = ""
+        while number:
+            number, digit = divmod(number - 1, 26)
+            out = chr(ord(kind) + digit) + out
+        return out
+    if kind in ("i", "I") and 0 < number < 4000:
+        out = ""
+        for value, sign in ROMAN:
+            times, number = divmod(number, value)
+            out += sign * times
+        return out if kind == "i" else out.upper()
+    return str(number)
 
 
 class Builder:
@@ -387,8 +514,8 @@ def table(node: Node, at: Place) -> Generator:
         for child in part.children:
             if isinstance(child, str):
                 if child.strip():
-                    captions += yield lines_of(Node("div").with_children([child]), at)
-            elif child.hidden():
+                    captions += yield lines_of(node.around([child]), at)
+            elif child.gone:
                 continue
             elif child.tag in ("tbody", "thead", "tfoot"):
                 groups += 1
@@ -396,15 +523,15 @@ def table(node: Node, at: Place) -> Generator:
             elif child.tag == "tr":
                 cells = []
                 for c in child.children:
-                    if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden():
+                    if isinstance(c, Node) and c.tag in ("td", "th") and not c.gone:
                         cells.append(cell(c, (yield lines_of(c, at))))
                 loose = [c for c in child.children if (not isinstance(c, Node) or c.tag not in ("td", "th"))]
-                if text := (yield lines_of(Node("div").with_children(loose), at)):
+                if text := (yield lines_of(child.around(loose), at)):
                     cells.append((text, 1, 1))
                 rows.append((group, cells))
             elif child.tag in ("td", "th"):
                 rows.append((group, [cell(child, (yield lines_of(child, at)))]))
-            elif text := (yield lines_of(Node("div").with_children([child]), at)):
+            elif text := (yield lines_of(node.around([child]), at)):
                 captions += text
         more += reversed(own)
     return captions + aligned(gridded(rows), at)
@@ -413,31 +540,38 @@ def table(node: Node, at: Place) -> Generator:
 def rendered(node: Node, size: int) -> list[str]:
     """The lines of a page of so many characters. Blanks that indent and align are at most BLANKS times as many, for all
     tables, lists and quotations of the page together; where they run out, text stands without."""
+    styled(node)
     return run(lines_of(node, Place(0, [4096 + BLANKS * size])))
 
 
 def lines_of(node: Node, at: Place) -> Generator:
     flow = Flow()
-    yield fill(flow, node, False, at)
+    yield fill(flow, node, at)
     return flow.done()
 
 
-def fill(flow: Flow, node: Node, kept: bool, at: Place) -> Generator:
-    """Puts what is visible in node into flow; ``kept`` where white space counts."""
+def fill(flow: Flow, node: Node, at: Place) -> Generator:
+    """Puts what is visible in node into flow. What is there but unseen stands as a space."""
     shut = node.tag == "details" and node.get("open") is None
-    item = number(node.get("start"), 1, -(10**9), 10**9) if node.tag == "ol" and node.attributes else 1
+    item, step, kind = 1, 1, None
+    if node.tag == "ol" and node.attributes:
+        if node.get("reversed") is not None:
+            item, step = sum(isinstance(c, Node) and c.tag == "li" and not c.gone for c in node.children), -1
+        item, kind = number(node.get("start"), item, -(10**9), 10**9), node.get("type")
     for child in node.children:
         if isinstance(child, str):
             if not shut:
-                flow.text(child, kept)
+                flow.text(child if node.seen else " ", node.seen and node.kept)
             continue
         tag = child.tag
-        if child.hidden() or shut and tag != "summary":
+        if child.gone or shut and tag != "summary":
             continue
         if tag == "br":
             flow.line(True)
         elif tag == "hr":
             flow.block(True)
+        elif tag in ("img", "input") and not child.seen:
+            continue
         elif tag == "img":
             if text := child.get("alt"):
                 flow.text(text)
@@ -448,40 +582,44 @@ def fill(flow: Flow, node: Node, kept: bool, at: Place) -> Generator:
             continue
         elif tag == "text" and child.foreign:  # a label at a place of its own
             flow.text(" ")
-            yield fill(flow, child, kept, at)
+            yield fill(flow, child, at)
             flow.text(" ")
+        elif child.lines is False and tag != "table":
+            yield fill(flow, child, at)
         elif tag == "table" or tag == "li" or tag in ("blockquote", "dd"):
             margin = tag in MARGIN
             flow.block(margin)
             if tag == "li" and child.attributes:
                 item = number(child.get("value"), item, -(10**9), 10**9)
+            mark = ""
+            if tag == "li":
+                mark = ("- " if node.tag != "ol" else counted(item, (child.get("type") if child.attributes else None) or kind) + ". ") if child.seen else ""
+                item += step
             if at.level >= LEVELS:
                 start = len(flow.lines)
                 if tag == "li":
-                    flow.marks.append(f"{item}. " if node.tag == "ol" else "- ")
-                    item += 1
-                yield fill(flow, child, False, at)
+                    flow.marks.append(mark)
+                yield fill(flow, child, at)
                 flow.block(margin)
                 if tag == "li" and len(flow.lines) == start:
                     flow.marks.pop()
                 continue
             if tag == "table":
-                lines, mark = (yield table(child, at.inside())), ""
+                lines = yield table(child, at.inside())
             else:
                 lines = yield lines_of(child, at.inside())
-                mark = "  " if tag != "li" else f"{item}. " if node.tag == "ol" else "- "
-                item += tag == "li"
+                mark = mark if tag == "li" else "  "
             indent = " " * len(mark) if at.take(len(mark) * len(lines)) else ""
             for i, line in enumerate(lines):
                 flow.put((mark if not i else indent) + line if line else "")
             flow.block(margin)
-        elif tag in BLOCK:
+        elif tag in BLOCK or child.lines:
             margin = tag in MARGIN and not (tag in LISTS and node.tag == "li")
             flow.block(margin)
-            yield fill(flow, child, kept or tag in ("pre", "listing", "xmp", "plaintext", "textarea"), at)
+            yield fill(flow, child, at)
             flow.block(margin)
         else:
-            yield fill(flow, child, kept or tag == "textarea", at)
+            yield fill(flow, child, at)
 
 
 def extract(page: str) -> tuple[str, str, dict[str, int]]:

@@ -170,3 +170,48 @@ def test_indents_of_lists_in_lists_are_bounded_for_the_page():
     page = "<ul><li>" * 190 + "<br>".join("x" * 3000) + "</ul>" * 190
     text = htmltext.extract(page)[1]
     assert len(text) < 4096 + 10 * len(page) and text.count("x") == 3000
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("a<div style='visibility:hidden'>b<span style='visibility:visible'>c</span>d</div>e", "a\nc\ne"),
+        ("<div style='display:none'>b<span style='display:block;visibility:visible'>c</span></div>e", "e"),
+        ("a <span style='opacity:0.0'>b</span>c<i style='opacity:.5'>d</i>", "a cd"),
+        ("<p hidden style='display:block'>shown</p><dialog style='display:block'>too</dialog>", "shown\n\ntoo"),
+        ("<style>.x{display:none} #y , p.z{visibility:hidden}</style><p class='a x'>1<p id=y>2<p class=z>3</p><b class=z>4", "4"),
+        ("<style>p{display:none}.on{display:block}</style><p>1<p class=on>2", "2"),
+        ("<style>.on{display:block}p{display:none}</style><p class=on>id, class, tag, then order", "id, class, tag, then order"),
+        ("<style>p{display:none !important}#i{display:block}</style><p id=i style='display:block'>1</p>2", "2"),
+        ("<style>p{display:none}</style><p style='display:block'>own style</p>", "own style"),
+        ("<style>a.b:hover{display:none} .c .d{display:none} @media print{.e{display:none} .f{display:none}} .g{display:none}</style><a class=b>1</a> <b class=d>2</b> <b class=e>3</b> <b class=f>4</b> <b class=g>5</b>", "1 2 3 4"),
+        ("<style media=print>p{display:none}</style><style>/* p{display:none} */ <!-- .h{display:none} --></style><p>1</p><i class=h>2</i>", "1"),
+        ("<style>.u{display:none}", ""),
+        ("<p>x</p><style>.u{display:none</style><p class=u>y</p>", "x"),
+        ("a<span style='display:block'>b</span>c", "a\nb\nc"),
+        ("<ul><li style='display:inline'>a</li> <li style='display:inline-block'>b</li></ul>", "a b"),
+        ("<span style='white-space:pre'>a   b\n  c</span>", "a   b\n  c"),
+        ("<pre>a  b<span style='white-space:normal'>  c  </span></pre>", "a  b c"),
+        ("<ol reversed><li>a<li hidden>x<li>b</ol>", "2. a\n1. b"),
+        ("<ol reversed start=9><li>a<li value=3>b<li>c</ol>", "9. a\n3. b\n2. c"),
+        ("<ol type=a start=26><li>a<li>b<li type=I>c<li type=1>d</ol>", "z. a\naa. b\nXXVIII. c\n29. d"),
+        ("<ol type=i start=0><li>a<li>b</ol><ol type=A start=-1><li>c</ol>", "0. a\ni. b\n\n-1. c"),
+        ("<table><tr><td>a<td style='visibility:hidden'>b<td>c<tr><td>dd<td>e<td>f</table>", "a      c\ndd  e  f"),
+        ("<ul><li style='visibility:hidden'>a<b style='visibility:visible'>b</b><li>c</ul>", "b\n- c"),
+        ("x<img alt=y style='visibility:hidden'>z", "xz"),
+    ],
+)
+def test_styles(page, want):
+    assert htmltext.extract(page)[1] == want
+
+
+@pytest.mark.parametrize("many", [lambda n: "<style>" + "".join(f".c{i}{{display:none}}" for i in range(n)) + "</style>" + "<b class='d'>x</b>" * n, lambda n: "<style>" + ".a{display:none}" * n + "</style>" + "<b class='a'>x</b>" * n, lambda n: "<style>" + "@media{" * n + "/*" * n, lambda n: f"<style>.a{{visibility:hidden}}</style><b class='{'a ' * n}'>x</b>", lambda n: "<span style='visibility:hidden'>" * n + "x"])
+def test_styles_are_read_in_linear_time(many):
+    def seconds(n):
+        page = many(n)
+        began = time.perf_counter()
+        htmltext.extract(page)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 12 * max(seconds(10_000), 0.02)
