@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lotwise.llm import jaccard, linededup, substring
@@ -319,3 +320,43 @@ def test_jaccard_rows_without_ids(spark):
     assert (None, None) in kept and (None, "") in kept
     found = jaccard.near_duplicates(frame(spark, rows)).collect()
     assert sorted(str(r.component_id) for r in found) == ["9"] * 3 + ["None"] * 4
+
+
+def test_long_sets_that_link_share_a_part():
+    rng = np.random.default_rng(3)
+    for n in (320, 399, 400, 499, 500, 501, 777, 1500, 4000):
+        for _ in range(20):
+            more = int(rng.integers(0, n // 4 + 1))  # all that n more shingles leave of 80 %, spent on other ones
+            u = n + more
+            other = (u - -(-u * 80 // 100)) - more
+            x = rng.choice(1 << 62, n + more + 2 * max(other, 0), replace=False).astype(np.uint64)
+            a, b = np.sort(x[:n]), np.sort(x[max(other, 0) : n + more])
+            common = len(np.intersect1d(a, b))
+            assert 100 * common >= 80 * (len(a) + len(b) - common)
+            if max(len(a), len(b)) < jaccard.LONG:
+                continue
+            size = np.array([len(a), len(b)])
+            keys = [set(), set()]
+            for key, row in jaccard.part_rows(np.concatenate([a, b]), np.repeat([0, 1], size), size, np.ones(2, bool), 80):
+                for k, i in zip(key.tolist(), row.tolist(), strict=True):
+                    keys[i].add(k)
+            assert keys[0] & keys[1]
+    few = np.array([400, 480])  # whose shingles are all frequent ones and left out
+    keys = [(k, i) for key, row in jaccard.part_rows(np.zeros(0, np.uint64), np.zeros(0, np.int64), few, np.ones(2, bool), 80) for k, i in zip(key.tolist(), row.tolist(), strict=True)]
+    assert {k for k, i in keys if i == 0} & {k for k, i in keys if i == 1}
+
+
+def test_long_texts_meet_over_more_than_a_passage(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passages = [[word() for _ in range(60)] for _ in range(121)]
+    texts = [passages[i] + [word() for _ in range(rng.randint(500, 900))] + passages[i + 1] for i in range(120)]
+    texts += [[word() if rng.random() < 0.01 else w for w in t] for t in texts[:30]]  # of their 5-word shingles some 95 % stay
+    rows = frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    names = jaccard.Names()
+    blocks = components(jaccard.chains(jaccard.prefix_rows(rows, 5, 80, np.zeros(0, np.uint64), names), 80))
+    assert max(r["count"] for r in blocks.groupBy("root").count().collect()) <= 8
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    expected = list(range(120)) + [i if 100 * len(sets[i] & sets[120 + i]) >= 80 * len(sets[i] | sets[120 + i]) else 120 + i for i in range(30)]
+    assert sum(x < 30 for x in expected[120:]) >= 25
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(rows).collect()} == dict(enumerate(expected))
