@@ -3,9 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lotwise.operators import graph, periods
+from lotwise.operators import graph, periods, resampling
+from lotwise.plans import timed
+from lotwise.sources import adapters
 from lotwise.sources.synthetic import causes, synthetic
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.mark.parametrize("batch", [7, 200])
 def test_sensors_leave_at_the_stop_th_exceedance(spark, batch):
@@ -34,3 +38,16 @@ def test_blocks_that_differ_see_many_permutations(spark):
     units = x.select("unit_id", "y").distinct().withColumn("ts", (F.lit(1_700_000_000) + F.col("unit_id") * 3600).cast("timestamp"))
     got = {r["sensor_id"]: r for r in periods.sequential_invariance(x, graph.checkpointed(units), 3, 100, 4, 8).collect()}
     assert got[0]["p"] < 0.05 and got[0]["n_perms"] == 100 and got[1]["p"] > got[0]["p"]
+
+
+def test_permuted_heterogeneity_is_that_of_each_permutation(spark):
+    units = adapters.event_units(spark, SF)
+    readings = adapters.event_readings(spark, SF).drop("ts")
+    rows = lambda df: {(r["rep"], r["sensor_id"]): (r["k"], round(r["q"], 9)) for r in df.collect()}
+    expected = rows(periods.heterogeneity(readings, resampling.permuted_blocks(units, 5, 2, start=3), ["rep"]))
+    assert rows(periods.permuted_heterogeneity(readings, units, 5, 2, 3)) == expected and len(expected) == 8
+
+
+def test_gate_has_no_plan_of_the_readings(spark):
+    gate = timed.invariance_gate(spark, SF)
+    assert len(gate._jdf.queryExecution().optimizedPlan().toString()) < 30_000
