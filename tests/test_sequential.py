@@ -51,3 +51,16 @@ def test_permuted_heterogeneity_is_that_of_each_permutation(spark):
 def test_gate_has_no_plan_of_the_readings(spark):
     gate = timed.invariance_gate(spark, SF)
     assert len(gate._jdf.queryExecution().optimizedPlan().toString()) < 30_000
+
+
+def test_a_batch_deals_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(periods, "AT_ONCE", 1000)
+    asked = []
+
+    def null(n, start, sensors):
+        asked.append(n)
+        return spark.createDataFrame([(r, s, 0.0) for r in range(start, start + n) for s in sensors], "rep int, sensor_id int, x double")
+
+    real = spark.createDataFrame([(1, 1.0)], "sensor_id int, x double")
+    assert [tuple(r) for r in periods.sequential_p(real, null, 40, 3, 16, 100).collect()] == [(1, 40, 0, 1 / 41)]
+    assert asked == [10, 10, 10, 10]
