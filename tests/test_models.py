@@ -1,8 +1,9 @@
 """The model queries on the smallest tables: every sensor, every fold, and what comes out. Grids are made smaller here."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from lotwise.operators import evaluation, fits, graph, loop, models, resampling, trees
+from lotwise.operators import evaluation, fits, graph, loop, models, resampling, spread, trees
 from lotwise.plans import compared, decided
 from lotwise.sources.synthetic import causes, synthetic
 
@@ -95,6 +96,28 @@ def test_large_fits_are_left_to_the_cluster(spark, monkeypatch):
         assert models.auc_of(made.score(x)) > 0.7 and abs(sum(made.importance().values()) - 1) < 1e-6
 
 
+def test_large_fits_have_permutation_importances(spark, monkeypatch):
+    """Beyond the rows of a group: a cause's fall of AUC is found, and values change places without getting lost."""
+    monkeypatch.setattr(fits, "LARGE", 100)
+    monkeypatch.setattr(fits.spread, "DEPTH", 8)
+    x = graph.checkpointed(synthetic(spark, 300, 4, 1, 0.3, 0.05, 3))
+    for spec in (trees.Forest(10), trees.Boosted(5)):
+        found = models.permutation_importance(x, spec, [0, 1, 2, 3], 2, 2)
+        assert set(found) == {0, 1, 2, 3} and max(found, key=found.get) in causes(4, 1) and max(found.values()) > 0.05
+    wide, members = fits.wide(x), models.everyone(x).withColumn("train", F.col("unit_id") % 3 > 0)
+    _, rest = spread.fitted(wide, members, fits.Plan(0, trees.Boosted(2), (0, 2, 3)))
+    rest = graph.checkpointed(rest)
+    before = [(r.unit_id, list(r.features)) for r in rest.collect()]
+    after = spread.swapped(rest, (0, 2, 3), 2).collect()
+    assert len(after) == 6 * len(before)
+    for j, sensor in enumerate((0, 2, 3)):
+        for rep in range(2):
+            own = {r.unit_id: list(r.features) for r in after if r.swap == sensor and r.rep == rep}
+            assert sorted(v[j] for v in own.values()) == sorted(v[j] for _, v in before)
+            assert sum(own[u][j] != v[j] for u, v in before) > len(before) / 2
+            assert all(own[u][i] == v[i] for u, v in before for i in range(3) if i != j)
+
+
 def test_headline_arms_are_registered():
     every = models.arms() | loop.arms()
     assert set(decided.HEADLINE) <= set(every) and set(decided.CV_ARMS) <= set(every)
