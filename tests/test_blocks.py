@@ -75,3 +75,31 @@ def test_swapped_scores_are_those_of_swapped_rows():
             other = x.copy()
             other[:, j] = x[order, j]
             assert (next(scorer.scores(other, []))[2] == s).all()
+
+
+def test_bootstraps_drawn_in_blocks_are_those_drawn_as_rows(spark, monkeypatch):
+    """Multiplicities, and all that a loop by models finds, with units that count several times."""
+    x, members = odd_readings(spark), members_of(spark)
+    wide, again = graph.checkpointed(fits.wide(x)), fits.Again("loop")
+
+    def work(data, block, place):
+        parts = [(data * 256 + rep, *again.drawn(block, data * 256 + rep)) for rep in range(6)]
+        rows = [(n, block.unit[int(r)].as_py(), int(y), int(t)) for n, row, ys, times, _ in parts for r, y, t in zip(row, ys, times, strict=True)]
+        return dict(zip(("data", "unit_id", "y", "times"), map(list, zip(*rows, strict=True)), strict=True))
+
+    drawn = fits.by_data(wide, members.filter("train"), "data long, unit_id long, y long, times long", work)
+    plain = loop.drawn_again(members, 6, "loop").select("data", "unit_id", "y", "times")
+    assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, plain.collect()))
+    assert loop.good_draws(wide, members, 6, again) == sorted(r[0] for r in plain.select("data").distinct().collect())
+    for base, screen in (("logreg", "multivariate"), ("rf", "model")):
+        monkeypatch.setitem(models.BASES, "rf", trees.Forest(8))
+        cfg = loop.Config(base=base, screen=screen, attribution="model", n_screen=4, n_screen_boot=3, n_boot=4)
+        kept = models.kept_sensors(x, members)
+        first, votes, boots = loop.ranked_by_models(wide, members, kept, cfg)
+        key = lambda rows, *names: {tuple(r[n] for n in names): round(r.importance, 7) for r in rows.collect()}
+        assert key(first, "data", "sensor_id") == key(loop.ranked(x, wide, members, kept, cfg, 4, 3, 3, "loop"), "data", "sensor_id")
+        rows = graph.checkpointed(loop.drawn_again(members, 4, "loop"))
+        assert boots == sorted(r[0] for r in rows.select("data").distinct().collect())
+        other = loop.ranked(x, wide, rows, {b: kept[b // 256] for b in boots}, cfg, 3, 1, 2, "loopb")
+        other = other.select(F.floor(F.col("data") / 256).alias("data"), (F.col("data") % 256).alias("rep"), "sensor_id", "importance")
+        assert key(votes, "data", "rep", "sensor_id") == key(other, "data", "rep", "sensor_id")
