@@ -103,3 +103,18 @@ def test_bootstraps_drawn_in_blocks_are_those_drawn_as_rows(spark, monkeypatch):
         other = loop.ranked(x, wide, rows, {b: kept[b // 256] for b in boots}, cfg, 3, 1, 2, "loopb")
         other = other.select(F.floor(F.col("data") / 256).alias("data"), (F.col("data") % 256).alias("rep"), "sensor_id", "importance")
         assert key(votes, "data", "rep", "sensor_id") == key(other, "data", "rep", "sensor_id")
+
+
+def test_configurations_of_a_sweep_are_scored_together(spark, tmp_path, monkeypatch):
+    """One job of base models for all that share their evidence, each with its own records."""
+    x = odd_readings(spark)
+    units = spark.range(240).select(F.col("id").alias("unit_id"), (F.col("id") % 5 == 0).cast("int").alias("y"))
+    x = graph.checkpointed(x.join(units, "unit_id"))
+    roles = graph.checkpointed(units.select(F.lit(0).alias("fold"), "unit_id", F.when(F.col("unit_id") % 3 == 0, "test").otherwise("train").alias("role")))
+    base = {"base": "logreg", "attribution": "model", "n_boot": 2}
+    configs = [loop.Config(**base, corr_threshold=c, max_select=m) for c in (0.6, 1.01) for m in (1, 6)]
+    calls, scores = [], fits.scores
+    monkeypatch.setattr(fits, "scores", lambda *a, **k: calls.append(1) or scores(*a, **k))
+    got = {r.config: r for r in loop.sweep(x, roles, configs, f"{tmp_path}/sweep", ["fold"]).collect()}
+    assert len(calls) == 1 and set(got) == {loop.key_of(c) for c in configs}
+    assert [got[loop.key_of(c)].n_selected for c in configs][::2] == [1, 1] and got[loop.key_of(configs[3])].n_selected >= got[loop.key_of(configs[1])].n_selected
