@@ -148,3 +148,24 @@ def test_boosted_trees_use_what_is_missing():
                 if min(low.sum(), (~low).sum()) >= 20:
                     best = max(best, sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (low, ~low)) - g.sum() ** 2 / (h.sum() + 1))
     assert np.isclose(found[0], best)
+
+
+def test_cells_of_a_node_are_the_same_counted_and_sorted():
+    """Rows, draws and draws of class 1 up to each bin, for dense nodes and for small ones."""
+    rng = np.random.default_rng(7)
+    n, width = 40, 16
+    q, code = np.sort(rng.integers(0, n, 20_000)), rng.integers(0, width, 20_000).astype(np.uint8)
+    q[:n] = np.arange(n)
+    draws, ones = rng.integers(1, 9, 20_000), rng.integers(0, 2, 20_000)
+    number = np.arange(32)
+    worth = trees.packed(np.ones_like(number), number >> 1, (number >> 1) * (number & 1))
+    token, size = (2 * draws + ones).astype(np.uint8), np.bincount(q, minlength=n)
+    counted = trees.lows(q, code, token, worth, size, width)
+    few = rng.permutation(20_000)[:300]
+    few = np.concatenate([few, np.arange(n)])
+    other = trees.lows(q[few], code[few], token[few], worth, np.bincount(q[few], minlength=n), width)
+    for (node, at, low), own in ((counted, np.arange(20_000)), (other, few)):
+        for i, j, total in zip(node.tolist(), at.tolist(), low, strict=True):
+            here = own[(q[own] == i) & (code[own] <= j)]
+            assert [int(x) for x in trees.unpacked(total)] == [len(here), draws[here].sum(), (draws * ones)[here].sum()]
+        assert len(node) == len(set(zip(q[own].tolist(), code[own].tolist(), strict=True)))
