@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.hashing import digest
-from lotwise.operators import resampling, stability
+from lotwise.operators import fits, kernels, resampling, stability
 from lotwise.operators.graph import checkpointed
 from lotwise.operators.resampling import halves
 from lotwise.operators.running import shuffled
@@ -14,6 +18,67 @@ from lotwise.operators.running import shuffled
 ALPHAS = (0.10, 0.05, 0.01)
 
 
+def weights_of_worlds(units: DataFrame, n_null: int, n_real: int, n_boot: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """(world, rep, unit_id, y, mult), the units of each replicate with at least ``least`` failures, and these (world, rep)."""
+    n = n_null + n_real
+    drawn = resampling.bootstrap(units, n * n_boot, 0).withColumn("world", F.floor(F.col("rep") / n_boot).cast("int"))
+    null = resampling.permuted_labels(units, n_null).withColumnRenamed("rep", "world")
+    real = resampling.reps(units.select("unit_id", "y"), n_real, "world").withColumn("world", F.col("world") + n_null)
+    labels = null.select("world", "unit_id", "y").unionByName(real.select("world", "unit_id", "y"))
+    w = drawn.drop("y").join(labels, ["world", "unit_id"]).select("world", "rep", "unit_id", "y", "mult")
+    good = w.groupBy("world", "rep").agg(F.sum(F.col("y") * F.col("mult")).alias("p")).filter(F.col("p") >= least).select("world", "rep")
+    return w.join(F.broadcast(good), ["world", "rep"], "left_semi"), good
+
+
+def drawn_worlds(units: DataFrame, readings: DataFrame, n_null: int, n_real: int, n_boot: int, least: int) -> DataFrame:
+    """(world, rep, sensor_id, n1, n0, won) of the replicates of weights_of_worlds(): positives, negatives and twice the pairs
+    in order of each sensor. Blocks of worlds have each unit once, fits.LARGE at most, and draw labels and bootstraps by
+    the same digests; no replicate is a row a unit."""
+    spark, n_worlds = units.sparkSession, n_null + n_real
+    n_blocks = max(1, min(n_worlds, 2 * spark.sparkContext.defaultParallelism))
+    name = F.col("unit_id").cast("string")
+    rows = units.select("unit_id", F.col("y").cast("int").alias("y"), name.alias("name"), digest("order", F.col("unit_id")).alias("h"))
+    rows = rows.join(fits.wide(readings.select("unit_id", "sensor_id", "value")), "unit_id", "left")
+    rows = rows.withColumn("cells", F.coalesce("cells", F.array().cast(rows.schema["cells"].dataType)))
+    blocks = spark.createDataFrame(list(enumerate(fits.apart(spark, n_blocks))), "number int, block int")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("h", "ascending"), ("unit_id", "ascending")])
+        n, y, cells = table.num_rows, table.column("y").to_numpy(), fits.one_array(table.column("cells"))
+        sensors = tuple(np.unique(cells.flatten().field("sensor_id").to_numpy()).tolist())
+        along = []
+        for v in (fits.scattered(cells, sensors) if sensors else np.zeros((n, 0))).T:
+            order = np.argsort(v, kind="stable")[: n - int(np.isnan(v).sum())]
+            along.append((order, np.flatnonzero(np.r_[True, v[order][1:] != v[order][:-1]])))
+        names = [x.encode() for x in table.column("name").to_pylist()]
+        tails = [b"%d" % i for i in range(1, n + 1)]
+        digests = lambda head, parts: b"".join([hashlib.md5(head + x).digest() for x in parts])
+        out = []
+        for world in range(table.column("number")[0].as_py(), n_worlds, n_blocks):
+            label = y
+            if world < n_null:
+                label = np.empty_like(y)
+                label[np.argsort(np.frombuffer(digests(b"perm:%d:" % world, names), "S16"), kind="stable")] = y
+            for rep in range(world * n_boot, (world + 1) * n_boot):
+                # the first 48 bits modulo n
+                row = (np.frombuffer(digests(b"boot:%d:" % rep, tails), ">u8")[::2] >> np.uint64(16)) % np.uint64(n)
+                mult = np.bincount(row.astype(np.int64), minlength=n)
+                p, q = mult * label, mult * (1 - label)
+                if p.sum() < least:
+                    continue
+                for sensor, (order, start) in zip(sensors, along, strict=True):
+                    a, b = p[order], q[order]
+                    if len(start) < len(order):
+                        a, b = np.add.reduceat(a, start), np.add.reduceat(b, start)
+                    below = np.cumsum(b)
+                    out.append((world, rep, sensor, int(a.sum()), int(below[-1]), int((a * (2 * below - b)).sum())))
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int32()] * 3 + [pa.int64()] * 3, strict=True)], ["world", "rep", "sensor_id", "n1", "n0", "won"])
+
+    dealt = rows.crossJoin(F.broadcast(blocks)).repartition(n_blocks, "block")
+    return dealt.groupBy("block").applyInArrow(run, "world int, rep int, sensor_id int, n1 bigint, n0 bigint, won bigint")
+
+
 def worlds(units: DataFrame, readings: DataFrame, n_null: int, n_real: int, n_boot: int, select_k: int, least: int = 5) -> DataFrame:
     """(world, permuted, sensor_id, hits, n_eff, support): worlds 0 to n_null - 1 have permuted labels, the others the
     real ones; each is bootstrapped n_boot times and the select_k best sensors of a replicate get a vote."""
@@ -22,15 +87,13 @@ def worlds(units: DataFrame, readings: DataFrame, n_null: int, n_real: int, n_bo
 
 def worlds_by_depth(units: DataFrame, readings: DataFrame, n_null: int, n_real: int, n_boot: int, depths: tuple[int, ...], least: int = 5) -> DataFrame:
     """worlds() for several numbers of votes a replicate, under ``depth``: replicates are ranked once, to the largest."""
-    n = n_null + n_real
-    drawn = resampling.bootstrap(units, n * n_boot, 0).withColumn("world", F.floor(F.col("rep") / n_boot).cast("int"))
-    null = resampling.permuted_labels(units, n_null).withColumnRenamed("rep", "world")
-    real = resampling.reps(units.select("unit_id", "y"), n_real, "world").withColumn("world", F.col("world") + n_null)
-    labels = null.select("world", "unit_id", "y").unionByName(real.select("world", "unit_id", "y"))
-    w = drawn.drop("y").join(labels, ["world", "unit_id"]).select("world", "rep", "unit_id", "y", "mult")
-    good = w.groupBy("world", "rep").agg(F.sum(F.col("y") * F.col("mult")).alias("p")).filter(F.col("p") >= least).select("world", "rep")
-    w = w.join(F.broadcast(good), ["world", "rep"], "left_semi")
-    ranked = checkpointed(stability.replicate_rankings(readings, w, max(depths), ["world", "rep"]))
+    if units.count() <= fits.LARGE:
+        found = checkpointed(drawn_worlds(units, readings, n_null, n_real, n_boot, least))
+        good = found.select("world", "rep").distinct()
+        ranked = checkpointed(kernels.top(stability.scored(found, ["world", "rep"]), ["world", "rep"], F.col("score"), max(depths)))
+    else:
+        w, good = weights_of_worlds(units, n_null, n_real, n_boot, least)
+        ranked = checkpointed(stability.replicate_rankings(readings, w, max(depths), ["world", "rep"]))
     out = None
     for k in depths:
         own = stability.support(ranked.filter(F.col("rnk") <= k), good, ["world"]).withColumn("depth", F.lit(k))
