@@ -142,3 +142,21 @@ def test_sweeps_go_on_where_they_were(spark, tmp_path, monkeypatch):
     whole = key(loop.sweep(x, roles, configs, f"{tmp_path}/sweep", ["rep", "fold"]))
     assert len(whole) == 8 and set(first) <= set(whole) and made[1:] == [[0, 1]]
     assert key(loop.sweep(x, roles, configs, f"{tmp_path}/sweep", ["rep", "fold"])) == whole and len(made) == 2
+
+
+def test_forests_of_many_rows_are_those_of_few(spark, monkeypatch):
+    """Grown from bins beyond the rows that a block holds as values: the same trees, scores and falls, none by pyspark.ml."""
+    x = synthetic(spark, 300, 4, 1, 0.3, 0.05, 3).filter("sensor_id <> 2 or unit_id % 3 > 0")
+    x = graph.checkpointed(x.withColumn("value", F.round("value", 1)))  # few values, so that cuts are exact
+    wide = graph.checkpointed(fits.wide(x))
+    filled = graph.checkpointed(x.select("unit_id", "y").distinct().select(F.explode(F.array(F.lit(0), F.lit(1))).alias("data"), "unit_id", "y"))
+    members = graph.checkpointed(filled.select("data", "unit_id", "y", (1 + F.col("unit_id") % 2).cast("int").alias("times"), (F.col("unit_id") % 4 > F.col("data")).alias("train")))
+    plans = {0: fits.Plan(0, trees.Forest(20), (0, 1, 3)), 1: fits.Plan(1, trees.Forest(20, 1), (0, 1)), 2: fits.Plan(0, trees.Forest(9), (3,))}
+    monkeypatch.setattr(fits.spread, "fitted", lambda *a: 1 / 0)
+    found = []
+    for large in (fits.LARGE, 100):
+        monkeypatch.setattr(fits, "LARGE", large)
+        scores = {(r.fit, r.swap, r.rep, r.unit_id): round(r.s, 9) for r in fits.scores(wide, members, plans, 1).collect()}
+        found.append((scores, {(r.fit, r.sensor_id): round(r.importance, 9) for r in fits.importances(wide, members, plans).collect()}))
+    assert found[0][1] == found[1][1] and len(found[0][1]) == 6
+    assert found[0][0] == found[1][0] and {k[0] for k in found[0][0]} == {0, 1, 2} and len({k[1] for k in found[0][0]}) == 4
