@@ -1,4 +1,4 @@
-"""Forests that are grown together or in parts, against forests one by one."""
+"""Trees that are grown together, in parts or on arrays that are used again, against plain ones."""
 
 import numpy as np
 import pytest
@@ -43,3 +43,33 @@ def test_no_core_has_a_forest_to_itself():
     blocks = fits.dealt({t: (plans[alike[0]].data, plans[alike[0]].sensors, e) for t, (alike, _, _, e) in tasks.items()}, sizes, 24, 100_000)
     assert sorted(t for own in blocks.values() for t in own) == sorted(tasks)
     assert max(sum(tasks[t][3] for t in own) for own in blocks.values()) <= 2 * whole / 24
+
+
+@pytest.mark.parametrize("kept", [True, False])
+def test_cuts_of_histograms_that_share_arrays(monkeypatch, kept):
+    """Of one node after another, with missing values and without, the best cut is that of all cuts tried one by one."""
+    monkeypatch.setattr(trees, "PLACED", 1 << 23 if kept else 0)
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 12, (300, 4)).astype(np.uint8)
+    codes[rng.random(codes.shape) < 0.2] = trees.MISSING
+    codes[:, 1] = rng.integers(0, 255, 300)
+    g, h = rng.normal(size=300) + (codes[:, 2] > 5), rng.random(300) + 0.1
+    spec = trees.Boosted(least=15)
+    shared = trees.Histograms(codes, spec)
+    assert (shared.places is not None) == kept
+    for rows in (np.arange(300), np.flatnonzero(codes[:, 0] < 6), np.flatnonzero(codes[:, 1] > 100), np.arange(20)):
+        sums, counts = shared.of(rows, g, h)
+        assert (counts.sum(1) == len(rows)).all()
+        score = lambda own: g[own].sum() ** 2 / (h[own].sum() + spec.l2)
+        best = 0.0
+        for j in range(4):
+            for cut in range(trees.MISSING):
+                for missing_left in (False, True):
+                    low = np.where(codes[rows, j] == trees.MISSING, missing_left, codes[rows, j] <= cut)
+                    if min(low.sum(), (~low).sum()) >= spec.least:
+                        best = max(best, score(rows[low]) + score(rows[~low]) - score(rows))
+        gain, j, cut, missing_left = shared.best(sums, counts)
+        assert gain == pytest.approx(best)
+        if j >= 0:
+            low = np.where(codes[rows, j] == trees.MISSING, missing_left, codes[rows, j] <= cut)
+            assert score(rows[low]) + score(rows[~low]) - score(rows) == pytest.approx(best)
